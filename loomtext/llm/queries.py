@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomtext.llm.exact_dedup import exact_dedup
 from loomtext.llm.minhash import near_duplicates
+from loomtext.llm.quality import good_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,6 +35,13 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_quality(spark, sf_dir):
+    """The documents that the classifier keeps, and their scores."""
+    kept = good_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return kept.select("doc_id", "quality_score")
+
+
 ORACLE_SQL["op7_exact_dedup"] = r"""
 SELECT doc_id, text, lang, source, n_chars
 FROM (
