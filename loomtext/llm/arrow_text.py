@@ -72,22 +72,33 @@ with np.errstate(over="ignore"):
     _POWERS = _powers(4096)
 
 
-def words(body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the whitespace-separated words of each text, and the texts' bounds among them.
+#: Bytes that separate words when punctuation is to be ignored: all of ASCII but letters, digits and the apostrophe.
+PUNCTUATION = np.ones(256, dtype=bool)
+PUNCTUATION[128:] = False
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), 39]] = False
 
-    A word is hashed over all its bytes and its length; text ends separate words as spaces do.
+
+def words(body: np.ndarray, bounds: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of each text, and the texts' bounds among them; see :func:`placed_words`."""
+    return placed_words(body, bounds, separators)[:2]
+
+
+def placed_words(body: np.ndarray, bounds: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of each text, the texts' bounds among them, and the byte at which each word starts.
+
+    A word is hashed over all its bytes and its length; text ends separate words as separator bytes do.
     """
     n = len(body)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
-    inside = ~_SPACE[body]
+        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64), np.zeros(0, np.int64)
+    inside = ~separators[body]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     edges = bounds[:-1][bounds[:-1] < n]
     first[edges] = inside[edges]
     starts = np.flatnonzero(first)
     if len(starts) == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64), starts
     at = np.arange(n, dtype=np.int64)
     lengths = np.diff(np.append(starts, n))
     at[starts[0] :] -= np.repeat(starts, lengths)
@@ -100,7 +111,7 @@ def words(body: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         sums = np.add.reduceat(wide, starts)
         filled = np.add.reduceat(inside.astype(np.int64), starts).astype(np.uint64)
         hashes = mix64(sums + filled * _PRIME)
-    return hashes, np.searchsorted(starts, bounds).astype(np.int64)
+    return hashes, np.searchsorted(starts, bounds).astype(np.int64), starts
 
 
 def word_hash(word: str) -> int:

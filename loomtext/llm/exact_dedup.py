@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from loomtext.llm.storage import fresh
 
-#: Splitters come from at most so many texts, of which so many leading characters are looked at. Both only balance the ranges.
+#: Splitters come from about so many texts at most, of which so many leading characters are looked at. Both only balance the ranges.
 SAMPLE_ROWS, SAMPLE_CHARS = 200_000, 512
 
 
@@ -26,11 +26,12 @@ def normalised(text):
     return F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"^[ \t\n\f]+|[ \t\n\f]+\z", "")
 
 
-def splitters(docs: DataFrame, norm, ranges: int) -> list[str]:
-    """At most ``ranges - 1`` texts that cut the sampled order evenly; the sample is the texts of least hash, so it is repeatable."""
-    rows = min(SAMPLE_ROWS, 20 * ranges)
-    sample = docs.where(norm.isNotNull()).select(F.xxhash64(norm).alias("h"), F.substring(norm, 1, SAMPLE_CHARS).alias("s")).orderBy("h").limit(rows)
-    got = sorted(r.s for r in sample.collect())
+def splitters(docs: DataFrame, text, norm, ranges: int) -> list[str]:
+    """At most ``ranges - 1`` texts that cut the sampled order evenly; the sample is picked by the texts' hashes, so it is repeatable."""
+    grain = 1 << 30
+    share = min(1.0, min(SAMPLE_ROWS, 20 * ranges) / max(1, docs.count()))
+    picked = docs.where(F.pmod(F.xxhash64(text), F.lit(grain)) < int(share * grain))
+    got = sorted(r.s for r in picked.select(F.substring(norm, 1, SAMPLE_CHARS).alias("s")).where("s IS NOT NULL").collect())
     return sorted({got[len(got) * k // ranges] for k in range(1, ranges)}) if got else []
 
 
@@ -43,7 +44,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     norm = normalised(F.col(text_col))
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = spark.sparkContext.broadcast(splitters(docs, norm, ranges))
+    cuts = spark.sparkContext.broadcast(splitters(docs, F.col(text_col), norm, ranges))
     n_, own_, part_ = fresh(docs.columns, "norm", "own", "range")
     rest = [c for c in docs.columns if c != text_col]
     # The text itself travels only where it differs from its normalised form.

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from loomtext.llm.exact_dedup import exact_dedup
 from loomtext.llm.minhash import near_duplicates
 from loomtext.llm.quality import good_documents
+from loomtext.llm.token_counts import token_counts
+from loomtext.llm.toxicity import toxic_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -42,6 +44,18 @@ def op8_quality(spark, sf_dir):
     return kept.select("doc_id", "quality_score")
 
 
+@query
+def op9_token_counts(spark, sf_dir):
+    """Tokens of every document."""
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_toxicity(spark, sf_dir):
+    """The toxic documents, with their significant passages."""
+    return toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 ORACLE_SQL["op7_exact_dedup"] = r"""
 SELECT doc_id, text, lang, source, n_chars
 FROM (
