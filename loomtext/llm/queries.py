@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomtext.llm.exact_dedup import exact_dedup
 from loomtext.llm.minhash import near_duplicates
+from loomtext.llm.mixing import copies, rated
+from loomtext.llm.packing import packed
 from loomtext.llm.quality import good_documents
 from loomtext.llm.token_counts import token_counts
 from loomtext.llm.toxicity import toxic_documents
@@ -25,6 +28,29 @@ def query(f):
     return f
 
 
+#: Shares of the tokens that each language is to have.
+TARGETS = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
+
+
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The table the domain classifier learns from: the documents that were labelled by hand, with their language as the domain."""
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(labels.select("doc_id"), "doc_id", "left_semi")
+
+
+@query
+def op2_packing(spark, sf_dir):
+    """Where every piece of every document is packed."""
+    return packed(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_mixing(spark, sf_dir):
+    """Every document's rate, and how often it is taken."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = rated(docs, labelled_domains(docs, _table(spark, sf_dir, "labels")), TARGETS)
+    return out.select("doc_id", "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+
+
 @query
 def op6_minhash(spark, sf_dir):
     """Every near duplicate with the document kept for it."""
