@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.llm.arc import convert
 from loomtext.llm.exact_dedup import exact_dedup
+from loomtext.llm.fingerprints import fingerprints
 from loomtext.llm.minhash import near_duplicates
 from loomtext.llm.mixing import copies, rated
 from loomtext.llm.packing import packed
 from loomtext.llm.quality import good_documents
 from loomtext.llm.token_counts import token_counts
 from loomtext.llm.toxicity import toxic_documents
+from loomtext.llm.url_filter import judged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,6 +31,105 @@ def query(f):
     return f
 
 
+_ABOUT = {
+    1: "1 0 pages\nURL IP-address Archive-date Content-type Archive-length\n\n",
+    2: "2 0 pages\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n\n",
+}
+_HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+
+
+def archived(pages: DataFrame) -> DataFrame:
+    """Each page as an ARC file ``(path, content)``: of version 1 for even ids and of version 2 for odd ones."""
+    even = F.col("page_id") % 2 == 0
+    path = F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".arc"))
+    date = F.concat(F.lit("200102"), F.lpad((F.pmod("page_id", F.lit(28)) + 1).cast("string"), 2, "0"), F.lit("120000"))
+    about = F.when(even, F.lit(_ABOUT[1])).otherwise(F.lit(_ABOUT[2]))
+    block = F.concat(F.lit(_HTTP), F.col("html"))
+    size = lambda x: F.octet_length(x).cast("string")
+    more = lambda result, check: F.when(even, F.lit(" ")).otherwise(F.concat(F.lit(f" {result} "), check, F.lit(" - 0 "), path, F.lit(" ")))
+    head = F.concat(F.lit("filedesc://"), path, F.lit(" 0.0.0.0 "), date, F.lit(" text/plain"), more(200, F.lit("-")), size(about), F.lit("\n"), about, F.lit("\n"))
+    page = F.concat(F.col("url"), F.lit(" 192.0.2.1 "), date, F.lit(" text/html"), more(200, F.md5("html")), size(block), F.lit("\n"), block, F.lit("\n"))
+    return pages.select(path.alias("path"), F.encode(F.concat(head, page), "UTF-8").alias("content"))
+
+
+@query
+def op1_arc_to_warc(spark, sf_dir):
+    """The WARC records of all pages, without their blocks."""
+    return convert(archived(_table(spark, sf_dir, "pages")), blocks=False).drop("block")
+
+
+def _chr(text: str) -> str:
+    return "('" + text.replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '") + "')"
+
+
+def _base32(text: str) -> str:
+    bits = f"((('0x' || substr(sha1({text}), CAST(5 * (i // 4) + 1 AS INTEGER), 5))::INTEGER >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31)"
+    return f"'sha1:' || array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {bits}, 1)), '')"
+
+
+ORACLE_SQL["op1_arc_to_warc"] = f"""
+WITH p AS (
+  SELECT page_id, url, html, page_id % 2 = 0 AS even, 'page-' || page_id || '.arc' AS path,
+         '200102' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') || '120000' AS date,
+         CASE WHEN page_id % 2 = 0 THEN {_chr(_ABOUT[1])} ELSE {_chr(_ABOUT[2])} END AS about,
+         {_chr(_HTTP)} || html AS page
+  FROM pages
+), q AS (
+  SELECT *, strlen('filedesc://' || path || ' 0.0.0.0 ' || date || ' text/plain' || CASE WHEN even THEN ' ' ELSE ' 200 - - 0 ' || path || ' ' END || strlen(about)) + 1 + strlen(about) + 1 AS here
+  FROM p
+), r AS (
+  SELECT path, 0::BIGINT AS "offset", even, 'warcinfo' AS warc_type, 'filedesc://' || path AS name, date, NULL AS target_uri, NULL AS ip_address, 'application/warc-fields' AS content_type, about AS block, NULL AS html, NULL AS http_status FROM q
+  UNION ALL
+  SELECT path, here, even, 'response', url, date, url, '192.0.2.1', 'application/http; msgtype=response', page, html, 200 FROM q
+), s AS (
+  SELECT *, sha1(path || chr(10) || "offset" || chr(10) || name || chr(10) || date) AS h FROM r
+)
+SELECT path, "offset", CASE WHEN even THEN 1 ELSE 2 END::INTEGER AS arc_version, warc_type,
+       '<urn:uuid:' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) || '>' AS warc_record_id,
+       substr(date, 1, 4) || '-' || substr(date, 5, 2) || '-' || substr(date, 7, 2) || 'T12:00:00Z' AS warc_date,
+       CAST(target_uri AS VARCHAR) AS target_uri, CAST(ip_address AS VARCHAR) AS ip_address, content_type, strlen(block)::BIGINT AS content_length,
+       {_base32("block")} AS block_digest, CASE WHEN html IS NOT NULL THEN {_base32("html")} END AS payload_digest,
+       http_status::INTEGER AS http_status, NULL::VARCHAR AS problem
+FROM s
+"""
+
+#: What crawls of these sites may keep.
+ENTRIES = [
+    ("example.net", "block"), ("tionsh.example.net", "allow"), ("tionsh.example.net/de", "block"), ("example.net/en", "allow"), ("example.com/fr", "block"), ("tionble.example.com/fr", "allow"),
+    ("blog.tionble.example.com", "block"), ("m.thernd.example.com", "block"), ("m.thernd.example.com/en", "allow"), ("thering.example.org", "block"), ("www.thering.example.org", "allow"), ("example.org/es", "block"),
+]
+
+
+@query
+def op3_url_filter(spark, sf_dir):
+    """Every page's action and the entry that decided it."""
+    entries = spark.createDataFrame(ENTRIES, "entry string, action string")
+    return judged(_table(spark, sf_dir, "pages").select("page_id", "url"), entries)
+
+
+ORACLE_SQL["op3_url_filter"] = r"""
+WITH e AS (
+  SELECT entry, action, regexp_extract(entry, '^[^/]*') AS host, regexp_extract(entry, '/.*$') AS path FROM (VALUES %s) AS t(entry, action)
+), u AS (
+  SELECT page_id, url,
+         array_to_string(list_filter(string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.'), lambda x: x <> ''), '.') AS host,
+         '/' || array_to_string(list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> ''), '/') AS path
+  FROM pages
+), m AS (
+  SELECT u.page_id, e.entry, e.action,
+         row_number() OVER (PARTITION BY u.page_id ORDER BY length(e.host) - length(replace(e.host, '.', '')) DESC, length(e.path) - length(replace(e.path, '/', '')) DESC, e.action = 'block' DESC) AS nth
+  FROM u JOIN e ON (u.host = e.host OR ends_with(u.host, '.' || e.host)) AND (e.path = '' OR u.path = e.path OR starts_with(u.path, e.path || '/'))
+)
+SELECT u.page_id, u.url, coalesce(m.action, 'allow') AS action, m.entry FROM u LEFT JOIN m ON u.page_id = m.page_id AND m.nth = 1
+""" % ", ".join(f"('{e}', '{a}')" for e, a in ENTRIES)
+
+
+@query
+def op4_fingerprints(spark, sf_dir):
+    """Every document's root name and signatures."""
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 #: Shares of the tokens that each language is to have.
 TARGETS = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
 
