@@ -8,5 +8,475 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomtext.functions import text as T
+from loomtext.operators import conditions, filters, ignore, intervals, lookup, render, report
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a tree of files: ``source/lang/id.md``."""
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
+    return table(spark, sf_dir, "documents").withColumn("rel_path", path)
+
+
+def url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files: host and path of the URL."""
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$|/$", "").alias("rel_path"), "html")
+
+
+_PATH = "source || '/' || lang || '/' || doc_id || '.md'"
+_URL = "regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$|/$', '')"
+
+
+def _tokens(x: str) -> str:
+    return f"len(regexp_extract_all({x}, '[A-Za-z0-9_]+|[^A-Za-z0-9_\\s]'))"
+
+
+def _share(a: str, b: str) -> str:
+    return f"CASE WHEN {b} <> 0 THEN {a} / ({b})::DOUBLE * 100.0 ELSE 0.0 END"
+
+
+TREE = filters.FilterNode(
+    "allow", ["/src1*/", "/src2/"], ["**/*7.md"],
+    {"src1": filters.FilterNode("block", block=["/de/"]), "src12/en": filters.FilterNode("allow", ["*1.md", "*2.md"])},
+)
+_TREE_SQL = r"""(regexp_matches(p, '^src1[^/]*/.') OR starts_with(p, 'src2/')) AND NOT regexp_matches(p, '7\.md$')
+    AND NOT (starts_with(p, 'src1/') AND starts_with(p, 'src1/de/'))
+    AND NOT (starts_with(p, 'src12/') AND NOT starts_with(p, 'src12/en/'))
+    AND NOT (starts_with(p, 'src12/en/') AND NOT regexp_matches(p, '[12]\.md$'))"""
+CUT = 300
+_CUT_SQL = f"CASE WHEN raw <= {CUT} THEN text ELSE regexp_replace(substr(text, 1, greatest(1, floor(length(text) * {CUT} / raw::DOUBLE))::INT), '\\s+$', '') END"
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    raw = T.token_count(F.col("text"))
+    cut = T.truncate_to_tokens(F.col("text"), CUT, F.col("tokens_raw"))
+    return docs.withColumn("tokens_raw", raw).withColumn("processed_text", cut).withColumn("tokens_processed", T.token_count(F.col("processed_text"))).withColumn("size_bytes", F.octet_length("text").cast("bigint"))
+
+
+_MEASURED = f"""m AS (
+  SELECT *, {_tokens('done')} AS processed, strlen(text) AS size
+  FROM (SELECT *, {_CUT_SQL} AS done FROM (SELECT *, {_PATH} AS p, {_tokens('text')} AS raw FROM documents))
+)"""
+
+
+@query(f"""WITH {_MEASURED}
+SELECT p AS path, size AS "sizeBytes", raw AS "tokensRaw", processed AS "tokensProcessed", raw - processed AS "savedTokens",
+       CASE WHEN raw <> 0 THEN (1.0::DOUBLE - processed / raw::DOUBLE) * 100.0 ELSE 0.0 END AS "savedPct",
+       {_share('processed', 'sum(processed) OVER ()')} AS "promptShare", {_share('processed', '128000')} AS "ctxShare"
+FROM m WHERE {_TREE_SQL} ORDER BY path""")
+def report_files(spark, sf_dir):
+    docs = corpus(spark, sf_dir).where(filters.included(TREE, F.col("rel_path")))
+    stats = measured(docs).select(F.col("rel_path").alias("path"), "size_bytes", "tokens_raw", "tokens_processed")
+    total = report.with_share(stats, "tokens_processed", "promptShare")
+    raw, done = F.col("tokens_raw"), F.col("tokens_processed")
+    return total.select(
+        "path", F.col("size_bytes").alias("sizeBytes"), raw.alias("tokensRaw"), done.alias("tokensProcessed"), (raw - done).alias("savedTokens"), T.saved_percent(raw, done).alias("savedPct"),
+        "promptShare", T.ratio(done, F.lit(report.CONTEXT_LIMIT)).alias("ctxShare"),
+    ).orderBy("path")
+
+
+@query(f"""WITH {_MEASURED}, s AS (SELECT source, sum(processed) + 2 AS rendered FROM m GROUP BY source)
+SELECT sum(size)::BIGINT AS "sizeBytes", sum(processed)::BIGINT AS "tokensProcessed", sum(raw)::BIGINT AS "tokensRaw", (sum(raw) - sum(processed))::BIGINT AS "savedTokens",
+       (1.0::DOUBLE - sum(processed) / sum(raw)::DOUBLE) * 100.0 AS "savedPct", sum(processed) / 128000::DOUBLE * 100.0 AS "ctxShare",
+       (SELECT sum(rendered) FROM s)::BIGINT AS "renderedTokens", ((SELECT sum(rendered) FROM s) - sum(processed))::BIGINT AS "renderedOverheadTokens"
+FROM m""")
+def report_totals(spark, sf_dir):
+    m = measured(corpus(spark, sf_dir)).select("source", "size_bytes", "tokens_raw", "tokens_processed")
+    sections = m.groupBy("source").agg((F.sum("tokens_processed") + 2).alias("tokens_rendered"))
+    return report.totals(m, sections)
+
+
+@query("""WITH u AS (SELECT doc_id, source AS section, doc_id AS ord FROM documents UNION ALL SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'toxic' ELSE 'clean' END, 100000000 + d.doc_id FROM documents d JOIN labels l USING (doc_id))
+SELECT doc_id AS path, array_to_string(list(section ORDER BY ord), ',') AS sections FROM (SELECT DISTINCT ON (doc_id, section) * FROM u ORDER BY ord) GROUP BY doc_id""")
+def report_section_usage(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    first = docs.select(F.col("doc_id").alias("path"), F.col("source").alias("section"), F.col("doc_id").alias("ord"))
+    kind = F.when(F.col("toxic") == 1, "toxic").otherwise("clean")
+    second = docs.select("doc_id").join(labels, "doc_id").select(F.col("doc_id").alias("path"), kind.alias("section"), (F.col("doc_id") + 100_000_000).alias("ord"))
+    return report.file_stats(first.unionByName(second)).select("path", F.array_join("sections", ",").alias("sections"))
+
+
+@query("""SELECT section, arg_max(tokens, ord) AS tokens_rendered, arg_max(chars, ord) AS size_bytes, count(*) AS uses
+FROM (SELECT lang AS section, doc_id AS ord, n_chars AS chars, length(text) AS tokens FROM documents) GROUP BY section""")
+def section_last_writer(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return report.section_stats(docs.select(F.col("lang").alias("section"), F.col("doc_id").alias("ord"), F.length("text").cast("bigint").alias("tokens_rendered"), F.col("n_chars").alias("size_bytes")))
+
+
+@query("""SELECT event_type AS key, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS value FROM events GROUP BY event_type""")
+def meta_summary(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    meta = events.select(F.create_map(F.col("event_type"), F.get_json_object("props", "$.k")).alias("meta"))
+    return report.meta_summary(report.meta_entries(meta))
+
+
+@query(f"""WITH {_MEASURED}, t AS (SELECT sum(processed)::BIGINT AS sections, sum(raw)::BIGINT AS final FROM m)
+SELECT final AS "finalRenderedTokens", greatest(0, final - sections) AS "templateOnlyTokens", {_share('greatest(0, final - sections)', 'final')} AS "templateOverheadPct", {_share('final', '128000')} AS "finalCtxShare" FROM t""")
+def context_overhead(spark, sf_dir):
+    t = measured(corpus(spark, sf_dir)).agg(F.sum("tokens_processed").alias("sections"), F.sum("tokens_raw").alias("final"))
+    return t.select(*report.context_block(F.col("final"), F.col("sections")))
+
+
+@query("SELECT event_type AS key, sum(value) AS number, arg_max(props, event_id) AS text FROM events GROUP BY event_type")
+def merged_metrics(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return report.merged_metrics(e.select(F.col("event_type").alias("key"), F.col("event_id").alias("ord"), F.col("value").alias("number"), F.col("props").alias("text")))
+
+
+@query(f"SELECT p AS rel_path FROM (SELECT {_PATH} AS p FROM documents) WHERE {_TREE_SQL}")
+def filter_tree(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    return docs.where(filters.included(TREE, F.col("rel_path"))).select("rel_path")
+
+
+@query(f"SELECT p AS rel_path FROM (SELECT {_PATH} AS p FROM documents) WHERE (starts_with(p, 'src3/') OR starts_with(p, 'src4/')) AND NOT regexp_matches(p, '/fr/')")
+def filter_conditional(spark, sf_dir):
+    ctx = conditions.Context({"more", "web"}, {"size": {"more", "less"}})
+    node = filters.FilterNode("allow", ["/src3/"], [], {}, [("TAGONLY:size:more AND NOT tag:minimal", ["/src4/"], ["**/fr/**"]), ("tag:minimal OR scope:parent", ["/src5/"], []), ("tag:", ["/src6/"], [])])
+    live = filters.conditioned(node, lambda c: conditions.evaluate(c, ctx))
+    return corpus(spark, sf_dir).where(filters.included(live, F.col("rel_path"))).select("rel_path")
+
+
+@query(f"SELECT page_id, p AS rel_path FROM (SELECT page_id, {_URL} AS p FROM pages) WHERE lower(regexp_extract(regexp_extract(p, '([^/]*)$', 1), '.(\\.[^./]+)$', 1)) IN ('.html', '.htm') OR regexp_extract(p, '([^/]*)$', 1) IN ('README', 'Dockerfile', 'Makefile', 'pyproject.toml')")
+def filter_extension(spark, sf_dir):
+    return url_paths(spark, sf_dir).where(filters.has_extension(F.col("rel_path"), [".HTML", "htm"])).select("page_id", "rel_path")
+
+
+@query("SELECT doc_id, n_chars - n_chars % 2000 AS size FROM documents WHERE NOT (n_chars - n_chars % 2000 = 0 AND CASE lang WHEN 'de' THEN true WHEN 'fr' THEN false ELSE source = 'never' OR true END)")
+def filter_empty(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", (F.col("n_chars") - F.col("n_chars") % 2000).alias("size"))
+    policy = F.when(F.col("lang") == "de", "exclude").when(F.col("lang") == "fr", "include")
+    return docs.where(~filters.skips_empty(F.col("size"), True, policy)).select("doc_id", "size")
+
+
+@query(f"SELECT p AS rel_path FROM (SELECT {_PATH} AS p FROM documents) WHERE p = 'src1/en' OR starts_with(p, 'src1/en/')")
+def filter_scope(spark, sf_dir):
+    return corpus(spark, sf_dir).where(filters.in_scope(F.col("rel_path"), "src1/en")).select("rel_path")
+
+
+@query("SELECT source, count(*) > 0 AND bool_and(CASE WHEN lang = 'en' THEN 'markdown' WHEN lang = 'fr' THEN '' ELSE lang END IN ('markdown', '')) AS doc_only FROM documents WHERE doc_id % 5 <> 0 OR lang <> 'de' GROUP BY source")
+def filter_doc_only(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("doc_id % 5 <> 0 OR lang <> 'de'")
+    kind = F.when(F.col("lang") == "en", "markdown").when(F.col("lang") == "fr", "").otherwise(F.col("lang"))
+    return docs.groupBy("source").agg(lookup.is_doc_only(kind).alias("doc_only"))
+
+
+_RULES = {"": ["**/*1", "# note", "Never", "/m.*"], "blog.tionble.example.com": ["de/", "!/de/*1"], "tionsh.example.net": ["fr", "*7"]}
+
+
+@query(f"""WITH u AS (SELECT page_id, {_URL} AS p FROM pages), r(ord, neg, re) AS (VALUES
+  (0, false, '^(?:.+/)?[^/]*1(?:/.*)?$'), (1, false, '^m\\.[^/]*(?:/.*)?$'), (2, false, '^blog\\.tionble\\.example\\.com/(?:.+/)?de/.*$'),
+  (3, true, '^blog\\.tionble\\.example\\.com/de/[^/]*1(?:/.*)?$'), (4, false, '^tionsh\\.example\\.net(?:/.+)?/fr(?:/.*)?$'), (5, false, '^tionsh\\.example\\.net(?:/.+)?/[^/]*7(?:/.*)?$'))
+SELECT page_id, p AS rel_path, coalesce((SELECT NOT arg_max(neg, ord) FROM r WHERE regexp_matches(lower(u.p), re)), false) AS ignored FROM u""")
+def ignore_rules(spark, sf_dir):
+    rules = ignore.compiled(_RULES)
+    return url_paths(spark, sf_dir).select("page_id", "rel_path", ignore.is_ignored(F.col("rel_path"), rules).alias("ignored"))
+
+
+@query(ORACLE_SQL["ignore_rules"].replace("SELECT page_id, p AS rel_path, coalesce(", "SELECT DISTINCT p AS rel_path FROM u WHERE coalesce(").replace(", false) AS ignored FROM u", ", false)"))
+def ignore_rule_table(spark, sf_dir):
+    rules = spark.createDataFrame(ignore.compiled(_RULES), "ord int, negated boolean, regex string")
+    return ignore.ignored_paths(url_paths(spark, sf_dir), F.broadcast(rules))
+
+
+@query("SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")
+def dedup_first(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01')")
+def changed_semi(spark, sf_dir):
+    changed = table(spark, sf_dir, "lineitem").where("l_shipdate >= TIMESTAMP '1998-06-01'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf_dir, "orders").join(changed, "o_orderkey", "left_semi").select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def ignored_anti(spark, sf_dir):
+    gone = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf_dir, "orders").join(gone, "o_orderkey", "left_anti").select("o_orderkey")
+
+
+@query("SELECT user_id FROM events WHERE event_type = 'click' UNION SELECT user_id FROM events WHERE event_type = 'view' UNION SELECT user_id FROM events WHERE value > 90")
+def change_union(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.where("event_type IN ('click', 'view') OR value > 90").select("user_id").distinct()
+
+
+@query("""WITH t AS (SELECT doc_id, list_filter([CASE WHEN quality = 1 THEN 'good' END, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'clean' END], lambda x: x IS NOT NULL) AS tags FROM labels)
+SELECT doc_id, (NOT list_contains(tags, 'toxic') AND list_contains(tags, 'clean')) AS only_clean, (list_contains(tags, 'good') OR list_contains(tags, 'toxic')) AND true AS mixed, true AS unknown_set, false AS unknown_only FROM t""")
+def tagset_condition(spark, sf_dir):
+    tags = F.array_compact(F.array(F.when(F.col("quality") == 1, "good"), F.when(F.col("toxic") == 1, "toxic").otherwise("clean")))
+    ctx = conditions.Context(tagsets={"tone": {"toxic", "clean"}})
+    c = lambda text: conditions.column(text, F.col("tags"), ctx)
+    return table(spark, sf_dir, "labels").withColumn("tags", tags).select(
+        "doc_id", c("TAGONLY:tone:clean").alias("only_clean"), c("(tag:good OR TAGSET:tone:toxic) AND NOT scope:parent").alias("mixed"), c("TAGSET:none:x").alias("unknown_set"), c("TAGONLY:none:x").alias("unknown_only")
+    )
+
+
+_NAMES = "CASE lang WHEN 'en' THEN 'README' WHEN 'fr' THEN doc_id || '.PY' WHEN 'de' THEN 'Dockerfile' ELSE doc_id || '.tar.rs' END"
+
+
+@query(f"SELECT doc_id, {_NAMES} AS name, CASE lang WHEN 'en' THEN '' WHEN 'fr' THEN 'python' WHEN 'de' THEN 'dockerfile' ELSE 'rust' END AS language, CASE lang WHEN 'fr' THEN 'python' WHEN 'es' THEN 'rust' ELSE 'base' END AS adapter FROM documents")
+def language_lookup(spark, sf_dir):
+    one = F.col("doc_id").cast("string")
+    name = F.when(F.col("lang") == "en", "README").when(F.col("lang") == "fr", F.concat(one, F.lit(".PY"))).when(F.col("lang") == "de", "Dockerfile").otherwise(F.concat(one, F.lit(".tar.rs")))
+    return table(spark, sf_dir, "documents").select("doc_id", name.alias("name")).select("doc_id", "name", lookup.language(F.col("name")).alias("language"), lookup.adapter(F.col("name")).alias("adapter"))
+
+
+@query(f"""SELECT page_id, CASE WHEN p LIKE 'm.%/en/%' THEN 'all' WHEN regexp_matches(p, '/en/') THEN 'en' WHEN regexp_matches(p, 'ex') THEN 'base' END AS level, CASE WHEN regexp_matches(p, '/en/') AND p LIKE '%1' THEN 'yes' END AS strip
+FROM (SELECT page_id, {_URL} AS p FROM pages)""")
+def target_override(spark, sf_dir):
+    targets = [(["m.*/en/*"], {"level": "all"}), (["*/en/*"], {"level": "en"}), (["*ex*"], {"level": "base"}), (["/*/en/*1"], {"strip": "yes"})]
+    o = lookup.target_overrides(F.col("rel_path"), targets)
+    return url_paths(spark, sf_dir).select("page_id", o.alias("o")).select("page_id", F.try_element_at("o", F.lit("level")).alias("level"), F.try_element_at("o", F.lit("strip")).alias("strip"))
+
+
+@query(f"""WITH p AS (SELECT DISTINCT {_URL} AS p FROM pages), s AS (SELECT p, k, len(string_split(p, '/')) = k AS whole, array_to_string(string_split(p, '/')[-k:], '/') AS s FROM (SELECT p, unnest(range(1, len(string_split(p, '/')) + 1)) AS k FROM p)),
+n AS (SELECT *, count(*) OVER (PARTITION BY s, k) AS n FROM s)
+SELECT p AS rel_path, arg_min(s, k) AS label FROM n WHERE n = 1 OR whole GROUP BY p""")
+def label_basename(spark, sf_dir):
+    return lookup.unique_suffixes(url_paths(spark, sf_dir).where("rel_path <> ''"))
+
+
+@query(f"SELECT doc_id, CASE WHEN starts_with(p, 'src1/') THEN substr(p, 6) ELSE p END AS label, CASE WHEN lang = 'en' THEN 'sec:' || source ELSE 'sec@' || lang || ':' || source END AS key FROM (SELECT *, {_PATH} AS p FROM documents)")
+def label_scope(spark, sf_dir):
+    scope = F.when(F.col("lang") == "en", "self").otherwise(F.col("lang"))
+    return corpus(spark, sf_dir).select("doc_id", lookup.relative_label(F.col("rel_path"), "src1/").alias("label"), lookup.resource_key(F.lit("sec"), scope, F.col("source")).alias("key"))
+
+
+@query(f"SELECT text, {_tokens('text')} AS tokens, count(*) AS uses FROM documents GROUP BY text")
+def token_count(spark, sf_dir):
+    """Each distinct text is counted once."""
+    return table(spark, sf_dir, "documents").groupBy("text").agg(F.count(F.lit(1)).alias("uses")).select("text", T.token_count(F.col("text")).alias("tokens"), "uses")
+
+
+@query(f"SELECT doc_id, {_CUT_SQL} AS cut FROM (SELECT *, {_tokens('text')} AS raw FROM documents)")
+def token_truncate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.truncate_to_tokens(F.col("text"), CUT).alias("cut"))
+
+
+@query("""WITH s AS (SELECT doc_id, n_chars AS a, doc_id % 4 * n_chars // 3 AS b FROM documents)
+SELECT doc_id, greatest(0, a - b) AS saved, greatest(0, a - b) / greatest(b, 1)::DOUBLE AS ratio, greatest(0, a - b) / greatest(b, 1)::DOUBLE >= 2.0 AND (b <> 0 OR greatest(0, a - b) >= 5) AS pays FROM s""")
+def token_economy(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("a"), F.floor(F.col("doc_id") % 4 * F.col("n_chars") / 3).alias("b"))
+    s = T.savings(F.col("a"), F.col("b"))
+    return d.select("doc_id", s["saved"].alias("saved"), s["ratio"].alias("ratio"), T.is_economical(F.col("a"), F.col("b"), F.col("b") == 0).alias("pays"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(trim(lower(substr(text, 1, 60))), '\s+', '-', 'g'), '[^a-z0-9\-]+', '', 'g'), '-{2,}', '-', 'g'), '-') AS slug FROM documents WHERE lang = 'en' AND regexp_matches(substr(text, 1, 60), '^[\x00-\x7F]*$')")
+def slugify(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.substring("text", 1, 60).alias("t")).where(F.col("t").rlike(r"^[\x00-\x7F]*$")).select("doc_id", T.ascii_slug(F.col("t")).alias("slug"))
+
+
+@query(r"""SELECT doc_id, coalesce(CASE WHEN len(s) >= 2 THEN trim(list_filter(s, lambda x: trim(x) <> '')[1]) END, trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]), text) AS sentence FROM (SELECT doc_id, text, regexp_split_to_array(text, '[.!?]+') AS s FROM documents)""")
+def first_sentence(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.first_sentence(F.col("text")).alias("sentence"))
+
+
+@query("""SELECT source, lang, n, '… ' || CASE WHEN n > 1 THEN n || ' ' ELSE '' END || CASE WHEN n = 1 THEN k WHEN k = 'class' THEN 'classes' WHEN k = 'function body' THEN 'function bodies' WHEN k = 'entry' THEN 'entries' ELSE 'comments' END || ' omitted' || CASE WHEN lines > 1 THEN ' (' || lines || ' lines)' ELSE '' END AS placeholder
+FROM (SELECT source, lang, count(*) AS n, CASE lang WHEN 'de' THEN 'class' WHEN 'fr' THEN 'function body' WHEN 'es' THEN 'entry' ELSE 'comment' END AS k, sum(len(string_split(text, chr(10))))::BIGINT AS lines FROM documents GROUP BY source, lang)""")
+def plural_placeholder(spark, sf_dir):
+    kind = F.when(F.col("lang") == "de", "class").when(F.col("lang") == "fr", "function_body").when(F.col("lang") == "es", "entry").otherwise("comment")
+    g = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum(T.count_lines(F.col("text"))).alias("lines"))
+    return g.select("source", "lang", "n", T.omission(kind, F.lit("omitted"), F.col("n"), F.col("lines")).alias("placeholder"))
+
+
+@query("SELECT page_id, length(html) - length(regexp_replace(html, '<!--.*?-->', '', 'gs')) AS saved, md5(regexp_replace(html, '<!--.*?-->', '', 'gs')) AS digest FROM pages")
+def strip_comments(spark, sf_dir):
+    bare = T.strip_html_comments(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", (F.length("html") - F.length(bare)).cast("bigint").alias("saved"), F.md5(bare).alias("digest"))
+
+
+@query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))::BIGINT AS filled, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS lines, strlen(text)::BIGINT AS bytes FROM documents")
+def lines_nonblank(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.count_filled_lines(t).alias("filled"), T.count_lines(t).alias("lines"), F.octet_length("text").cast("bigint").alias("bytes"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(replace(text, '. ', chr(10) || chr(10) || chr(10)), '\n{3,}', chr(10) || chr(10), 'g')) AS digest FROM documents")
+def blank_squeeze(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.squeeze_blank_lines(F.replace("text", F.lit(". "), F.lit("\n\n\n")))).alias("digest"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(replace(substr(text, 1, 400), ' the ', chr(10) || ' ** '), chr(10)), lambda x: trim(regexp_replace(trim(x), '^\*+', ''))), lambda x: x <> ''), chr(10)) AS bare FROM documents""")
+def block_comment_clean(spark, sf_dir):
+    starred = F.replace(F.substring("text", 1, 400), F.lit(" the "), F.lit("\n ** "))
+    return table(spark, sf_dir, "documents").select("doc_id", T.clean_block_comment(starred).alias("bare"))
+
+
+def outlined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as outlines: every line is a heading whose level comes from its length, or text."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    level = (F.length("body") % 5).cast("int")
+    return lines.select("doc_id", "line", "body", F.when(level > 0, level).alias("level"))
+
+
+_OUTLINE = "o AS (SELECT doc_id, line - 1 AS line, body, CASE WHEN length(body) % 5 > 0 THEN length(body) % 5 END::INT AS level FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, unnest(string_split(text, chr(10))) AS body FROM documents))"
+
+
+@query(f"WITH {_OUTLINE} SELECT doc_id, line::INT AS line, level, trim(body) AS title FROM o WHERE level IS NOT NULL")
+def heading_parse(spark, sf_dir):
+    """Heading lines found by their marks in Markdown built from the outline."""
+    md = outlined(spark, sf_dir).withColumn("md", F.when(F.col("level").isNull(), F.col("body")).otherwise(F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("body"))))
+    mark = F.regexp_extract("md", r"^ {0,3}(#{1,6})[ \t]+.", 1)
+    return md.where(mark != "").select("doc_id", "line", F.length(mark).alias("level"), F.trim(F.regexp_extract("md", r"^ {0,3}#{1,6}[ \t]+(.*)$", 1)).alias("title"))
+
+
+@query(f"WITH {_OUTLINE} SELECT doc_id, line::INT AS line, least(6, level + 3 - min(level) OVER (PARTITION BY doc_id))::INT AS level FROM o WHERE level IS NOT NULL")
+def heading_shift(spark, sf_dir):
+    h = outlined(spark, sf_dir).where("level IS NOT NULL").select("doc_id", "line", "level")
+    return h.withColumn("level", F.least(F.lit(6), F.col("level") + 3 - F.min("level").over(Window.partitionBy("doc_id"))))
+
+
+_REGION = "h AS (SELECT a.doc_id, a.line, a.level, (SELECT min(b.line) FROM o b WHERE b.doc_id = a.doc_id AND b.line > a.line AND b.level <= a.level) AS stop, (SELECT max(line) + 1 FROM o c WHERE c.doc_id = a.doc_id) AS n FROM o a WHERE a.level IS NOT NULL)"
+
+
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings with where their sections end. Levels are at most six, so six running minima find the next one that is no deeper."""
+    o = outlined(spark, sf_dir)
+    n = F.max("line").over(Window.partitionBy("doc_id")) + 1
+    after = Window.partitionBy("doc_id").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
+    h = o.withColumn("n", n)
+    ends = [F.min(F.when(F.col("level") <= k, F.col("line"))).over(after) for k in range(1, 7)]
+    h = h.where("level IS NOT NULL").select("doc_id", "line", "level", "n", F.array(*ends).alias("e"))
+    return h.select("doc_id", "line", "level", F.coalesce(F.element_at("e", F.col("level")), F.col("n")).alias("stop"), "n")
+
+
+@query(f"WITH {_OUTLINE}, {_REGION} SELECT doc_id, line::INT AS line, level, coalesce(stop, n)::INT AS stop FROM h")
+def heading_tree(spark, sf_dir):
+    return regions(spark, sf_dir).drop("n")
+
+
+_DROPPED = "d AS (SELECT doc_id, line, coalesce(stop, n) AS stop FROM h WHERE level = 2)"
+
+
+@query(f"WITH {_OUTLINE}, {_REGION}, {_DROPPED} SELECT doc_id, line::INT AS line FROM o WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.doc_id = o.doc_id AND o.line >= d.line AND o.line < d.stop)")
+def section_drop(spark, sf_dir):
+    d = regions(spark, sf_dir).where("level = 2").select("doc_id", F.col("line").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("end"))
+    return intervals.in_any(outlined(spark, sf_dir).select("doc_id", "line"), d, ["doc_id"], "line").where("NOT inside").select("doc_id", "line")
+
+
+@query(f"WITH {_OUTLINE}, {_REGION}, {_DROPPED} SELECT doc_id, line::INT AS line FROM o WHERE EXISTS (SELECT 1 FROM d WHERE d.doc_id = o.doc_id AND o.line >= d.line AND o.line < d.stop)")
+def section_keep(spark, sf_dir):
+    d = regions(spark, sf_dir).where("level = 2").select("doc_id", F.col("line").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("end"))
+    return intervals.in_any(outlined(spark, sf_dir).select("doc_id", "line"), d, ["doc_id"], "line").where("inside").select("doc_id", "line")
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as an interval of seconds that is as long as its value says."""
+    e = table(spark, sf_dir, "events")
+    start = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return e.select("user_id", "event_id", start.alias("start"), (start + 3600 * (1 + F.col("event_id") % 7)).alias("end"), "event_type", "value")
+
+
+_SPANS = "s AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS a, floor(epoch(ts))::BIGINT + 3600 * (1 + event_id % 7) AS b, event_type FROM events)"
+_MERGED = f"""{_SPANS}, i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY a, b, event_id) AS isl FROM (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY user_id ORDER BY a, b, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM s)),
+g AS (SELECT user_id, min(a) AS a, max(b) AS b, sum(event_id)::BIGINT AS ids, first(event_type ORDER BY b - a DESC, a, b, event_id) AS kind, count(*) AS parts FROM i GROUP BY user_id, isl)"""
+
+
+@query(f'WITH {_MERGED} SELECT user_id, a AS start, b AS "end", ids AS event_id, kind AS event_type, parts FROM g')
+def interval_merge(spark, sf_dir):
+    s = spans(spark, sf_dir).withColumn("n", F.col("event_id"))
+    out = intervals.merged(s.withColumnRenamed("n", "ord"), ["user_id"], sums=("event_id",), widest=("event_type",), order="ord")
+    return out
+
+
+@query(f"""WITH {_MERGED}, k AS (SELECT user_id, max(b) + 1000 AS n FROM s GROUP BY user_id), x AS (SELECT user_id, coalesce(lag(b) OVER (PARTITION BY user_id ORDER BY a), 0) AS a, a AS b FROM g UNION ALL SELECT k.user_id, m, n FROM k JOIN (SELECT user_id, max(b) AS m FROM g GROUP BY user_id) USING (user_id))
+SELECT user_id, a AS start, b AS "end" FROM x WHERE a < b""")
+def interval_invert(spark, sf_dir):
+    s = spans(spark, sf_dir)
+    return intervals.inverted(s, s.groupBy("user_id").agg((F.max("end") + 1000).alias("length")), ["user_id"])
+
+
+@query(f"WITH {_SPANS} SELECT user_id, event_id FROM s WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.user_id = s.user_id AND t.a <= s.a AND t.b >= s.b AND (t.a <> s.a OR t.b <> s.b))")
+def nested_range_filter(spark, sf_dir):
+    return intervals.outermost(spans(spark, sf_dir), ["user_id"]).select("user_id", "event_id")
+
+
+@query(f"WITH {_SPANS} SELECT user_id, event_id FROM s WHERE EXISTS (SELECT 1 FROM s t WHERE t.user_id = s.user_id AND t.a <= s.a AND t.b >= s.b AND t.event_id <> s.event_id)")
+def nested_ranges(spark, sf_dir):
+    return intervals.nested(spans(spark, sf_dir), ["user_id"]).select("user_id", "event_id")
+
+
+_LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+@query(f"""WITH w AS (SELECT *, row_number() OVER p AS rn, sum(l_quantity) OVER p AS run FROM lineitem WINDOW p AS (PARTITION BY l_orderkey ORDER BY {', '.join(_LINE)} ROWS UNBOUNDED PRECEDING))
+SELECT l_orderkey, l_linenumber, l_partkey, bool_and(run <= 60 OR rn <= 1) OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_LINE)} ROWS UNBOUNDED PRECEDING) AS kept FROM w""")
+def budget_prefix(spark, sf_dir):
+    return intervals.budget_prefix(table(spark, sf_dir, "lineitem"), ["l_orderkey"], _LINE, "l_quantity", 60, 1).select("l_orderkey", "l_linenumber", "l_partkey", "kept")
+
+
+@query("SELECT doc_id, CASE WHEN n_chars <= 800 THEN 0 WHEN n_chars // 2 <= 800 THEN 1 WHEN n_chars // 4 <= 800 THEN 2 ELSE 3 END AS step FROM documents")
+def budget_ladder(spark, sf_dir):
+    costs = [F.floor(F.col("n_chars") / k) for k in (1, 2, 4, 8)]
+    return table(spark, sf_dir, "documents").select("doc_id", intervals.ladder_step(costs, 800).alias("step"))
+
+
+@query("""WITH m AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, run, any_value(event_type) AS event_type, count(*) AS n, sum(value) AS total FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS run FROM m) GROUP BY user_id, run""")
+def run_grouping(spark, sf_dir):
+    r = intervals.runs(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["event_type"])
+    return r.groupBy("user_id", "run").agg(F.any_value("event_type").alias("event_type"), F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+@query("""SELECT event_id, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id, seg ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS near
+FROM (SELECT *, sum(CASE WHEN value > 95 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seg FROM events)""")
+def asof_heading(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    e = table(spark, sf_dir, "events").withColumn("seg", F.sum((F.col("value") > 95).cast("int")).over(w))
+    near = intervals.as_of(e, ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "view", F.col("event_id")), F.col("seg"))
+    return e.select("event_id", near.alias("near"))
+
+
+@query("SELECT event_id, floor(epoch(ts))::BIGINT - lag(floor(epoch(ts))::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events")
+def adjacency_lag(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").select("event_id", (at - F.lag(at).over(w)).alias("gap"))
+
+
+@query(r"""SELECT conv_id, md5(regexp_replace(string_agg('```' || role || ':' || conv_id || '/' || turn || chr(10) || regexp_replace(text, '\n+$', '') || chr(10) || '```' || chr(10) || chr(10), '' ORDER BY turn), '\s+$', '') || chr(10)) AS digest FROM conversations GROUP BY conv_id""")
+def render_fenced(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("rel_path", F.concat_ws("/", "conv_id", "turn"))
+    plan = c.select("conv_id", F.col("turn").alias("pos"), "rel_path", F.col("rel_path").alias("label"), F.col("role").alias("language"), F.lit(True).alias("use_fence"))
+    return render.rendered(plan, c.select("conv_id", "rel_path", F.col("text").alias("processed_text")), ["conv_id"]).select("conv_id", F.md5("text").alias("digest"))
+
+
+@query("SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+def render_doc(spark, sf_dir):
+    return render.joined(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text").select("conv_id", F.md5("text").alias("digest"))
+
+
+_EXTENDS = [("app", "base"), ("app", "web"), ("web", "base"), ("api", "base"), ("base", "root")]
+
+
+@query("WITH RECURSIVE e(child, parent) AS (VALUES %s), r(child, parent, depth) AS (SELECT child, parent, 1 FROM e UNION ALL SELECT r.child, e.parent, depth + 1 FROM r JOIN e ON r.parent = e.child) SELECT child, parent, max(depth)::INT AS depth FROM r GROUP BY child, parent" % ", ".join(map(str, _EXTENDS)))
+def extends_resolution(spark, sf_dir):
+    rows = ", ".join(map(str, _EXTENDS))
+    return spark.sql(f"WITH RECURSIVE e(child, parent) AS (SELECT * FROM VALUES {rows}), r(child, parent, depth) AS (SELECT child, parent, 1 FROM e UNION ALL SELECT r.child, e.parent, depth + 1 FROM r JOIN e ON r.parent = e.child) SELECT child, parent, max(depth) AS depth FROM r GROUP BY child, parent")
+
+
+@query("SELECT sha1(string_agg('F ' || md5(text) || ' ' || p, chr(10) ORDER BY p)) AS fingerprint FROM (SELECT text, " + _PATH + " AS p FROM documents)")
+def fingerprint(spark, sf_dir):
+    """One digest for a tree: the sorted digests of its files."""
+    d = corpus(spark, sf_dir).select(F.concat(F.lit("F "), F.md5("text"), F.lit(" "), "rel_path").alias("l"), "rel_path")
+    return d.agg(F.sha1(F.expr("listagg(l, '\\n') WITHIN GROUP (ORDER BY rel_path)")).alias("fingerprint"))
