@@ -38,11 +38,13 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[
         todo = histogram[length]
         if not 0 < length <= capacity:
             raise ValueError(f"length {length} is outside 1..{capacity}")
-        # A pack that has just taken this length may take it again, when it is still the one with the most room.
         while todo:
             if not room or -room[0][0] < length:
-                push(todo, (length,), capacity - length)
-                break
+                # A new pack has the most room until it can't take another of this length.
+                many = min(todo, capacity // length)
+                push(todo // many, (length,) * many, capacity - many * length)
+                todo %= many
+                continue
             _, at = heapq.heappop(room)
             count, lengths, left = open_.pop(at)
             used = min(count, todo)
