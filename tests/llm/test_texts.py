@@ -61,8 +61,10 @@ def test_wrong_lengths_are_reported_and_reading_goes_on():
         assert [r["problem"] for r in rows] == [None, "length", None] and rows[1]["block"] == PAGE
     rows = table(arc.records("f", archive(1, record(1, b"http://a.b/", PAGE, length=10**6))))
     assert rows[1]["problem"] == "truncated" and rows[1]["block"].startswith(PAGE)
-    rows = table(arc.records("f", archive(1, b"some garbage here\nand more\n", good)))
-    assert [r["problem"] for r in rows] == [None, "no header", None]
+    rows = table(arc.records("f", b"some garbage here\nand more\n" + archive(1, good)))
+    assert [r["problem"] for r in rows] == ["no header", None, None] and rows[0]["block"] == b"some garbage here\nand more\n"
+    rows = table(arc.records("f", archive(1, good, b"garbage\n", good)))
+    assert [r["problem"] for r in rows] == [None, "length", None]
     rows = table(arc.records("f", archive(1, record(1, b"http://a.b/", PAGE, date=b"20019903040506"))))
     assert rows[1]["problem"] == "date" and rows[1]["warc_date"] is None
     rows = table(arc.records("f", archive(1, record(1, b"http://a.b/", PAGE, mime=b"text/html; charset=utf-8"))))
