@@ -159,6 +159,12 @@ def evaluate(node: Node | str, ctx: Context) -> bool:
     raise ValueError(node.kind)
 
 
+def bound(ctx: Context):
+    """``f(condition) -> bool`` over a copy of the context, which workers can be sent."""
+    own = Context(set(ctx.active), {k: set(v) for k, v in ctx.tagsets.items()}, ctx.origin, ctx.task, ctx.provider)
+    return lambda condition: evaluate(condition, own)
+
+
 def column(node: Node | str, active: Column, ctx: Context) -> Column:
     """The condition for rows that carry their own active tags (an array); the rest comes from ``ctx``."""
     node = parse(node) if isinstance(node, str) else node

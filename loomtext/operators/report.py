@@ -86,7 +86,8 @@ def merged_metrics(metrics: DataFrame, order: str = "ord") -> DataFrame:
 
 def result(files: DataFrame, total: DataFrame, scope: str, target: str, library: str, encoder: str, limit: int = CONTEXT_LIMIT, context: dict | None = None) -> DataFrame:
     """The whole report as one JSON text; file rows are gathered in path order, as that document needs them all."""
-    listed = files.agg(F.array_sort(F.collect_list(F.struct("path", *[c for c in files.columns if c != "path"]))).alias("files"))
+    by_path = lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0)
+    listed = files.agg(F.array_sort(F.collect_list(F.struct("path", *[c for c in files.columns if c != "path"])), by_path).alias("files"))
     head = [F.lit(PROTOCOL).alias("protocol"), F.lit(scope).alias("scope"), F.lit(target).alias("target"), F.lit(library).alias("tokenizerLib"), F.lit(encoder).alias("encoder"), F.lit(limit).cast("bigint").alias("ctxLimit")]
     extra = [F.from_json(F.lit(json.dumps(context)), F.schema_of_json(F.lit(json.dumps(context)))).alias("context")] if context is not None else []
     return total.select(F.struct(*total.columns).alias("total")).crossJoin(listed).select(F.to_json(F.struct(*head, "total", "files", *extra)).alias("json"))

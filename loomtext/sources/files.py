@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import pandas as pd
@@ -27,15 +28,17 @@ def listing(spark: SparkSession, root: str, glob: str | None = None) -> DataFram
 
 
 def _bare(path: str) -> str:
-    import re
-
     return re.sub("/{2,}", "/", re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path)).rstrip("/")
 
 
-@F.pandas_udf("string")
-def decoded(content: pd.Series) -> pd.Series:
+def decoded(content: Column) -> Column:
     """UTF-8 text; bytes that are not UTF-8 are dropped."""
-    return content.map(lambda b: bytes(b).decode("utf-8", "ignore"), na_action="ignore")
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: bytes(b).decode("utf-8", "ignore"), na_action="ignore")
+
+    return run(content)
 
 
 def scanned(files: DataFrame, extensions: Iterable[str], tree: filters.FilterNode | None = None, rules: list[tuple[int, bool, str]] | None = None, scope: str = "") -> DataFrame:
@@ -68,7 +71,7 @@ def external(files: DataFrame, globs: Iterable[str], scope: str = "") -> DataFra
 
 
 def with_text(files: DataFrame) -> DataFrame:
-    return files.withColumn("text", decoded("content")).drop("content")
+    return files.withColumn("text", decoded(F.col("content"))).drop("content")
 
 
 def first_by(files: DataFrame, key: str = "abs_path", order: str = "rel_path") -> DataFrame:
