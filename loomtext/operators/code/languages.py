@@ -41,7 +41,7 @@ _JS_DECL = (
     ("field", rf"{_HEAD}(?P<name>[#A-Za-z_$][\w$]*)\??\s*(?::[^=;\n]+)?(?:=[^=>]|;)"),
 )
 _TS_DECL = (("interface", rf"{_HEAD}interface\s+{_NAME}"), ("type", rf"{_HEAD}type\s+{_NAME}[^=\n]*="), ("enum", rf"{_HEAD}(?:const\s+)?enum\s+{_NAME}"), ("namespace", rf"{_HEAD}(?:namespace|module)\s+(?P<name>[\w$.]+)"), *_JS_DECL)
-_C_FUNC = rf"{_HEAD}(?!(?:return|else|if|for|while|switch|case|goto|throw|new|delete|typedef|using|namespace|struct\s*\{{|enum\s*\{{)\b)[A-Za-z_][\w:<>,*&\s~]*?[\s*&](?P<name>(?:[A-Za-z_]\w*::)*~?[A-Za-z_]\w*)\s*\([^;{{}}()]*(?:\([^()]*\)[^;{{}}()]*)*\)\s*(?:const|override|noexcept|final|\s)*(?:->\s*[\w:<>]+\s*)?(?::[^;{{]*)?(?=\{{|;)"
+_C_FUNC = rf"{_HEAD}(?!(?:return|else|if|for|while|switch|case|goto|throw|new|delete|typedef|using|namespace|struct\s*\{{|enum\s*\{{)\b|(?:public|private|protected)\s*:(?!:))[A-Za-z_][\w:<>,*&\s~]*?[\s*&](?P<name>(?:[A-Za-z_]\w*::)*~?[A-Za-z_]\w*)\s*\([^;{{}}()]*(?:\([^()]*\)[^;{{}}()]*)*\)\s*(?:const|override|noexcept|final|\s)*(?:->\s*[\w:<>]+\s*)?(?::[^;{{]*)?(?=\{{|;)"
 
 LANGUAGES: dict[str, Language] = {
     "python": Language("python", ("#",), (), (), (), containers=frozenset({"class"}), collections=("[", "{", "(")),

@@ -431,15 +431,16 @@ def finish(src: Source, ratio: float, least: int) -> str:
     return model.apply(text, done)
 
 
-def reduced(text: str, language: str, o: Mapping, count: Callable[[str], int] = count_tokens) -> tuple[str, dict]:
-    src = Source(text, language, count)
+def reduced(src: Source, o: Mapping) -> tuple[str, dict]:
+    """One pass; what was read of the text is kept for the next."""
+    src.edits, src.metrics = [], {}
     if o["public_api_only"]:
         public_api(src)
     bodies(src, o["bodies"])
     comments(src, o["comments"])
     imports(src, o["imports"])
     literals(src, o["literals"])
-    out = finish(src, o["placeholders"]["ratio"], o["placeholders"]["least"]) if src.edits else text
+    out = finish(src, o["placeholders"]["ratio"], o["placeholders"]["least"]) if src.edits else src.text
     return out, src.metrics
 
 
@@ -489,8 +490,9 @@ def process(text: str, language: str, given: Mapping | None = None, count: Calla
         # Under a budget any saving counts.
         o["placeholders"] = {"ratio": 0.0, "least": 1}
     best: tuple[str, dict] | None = None
+    src = Source(text, language, count)
     for k, step in enumerate(ladder(o) if limit is not None else [o]):
-        out, metrics = reduced(text, language, step, count)
+        out, metrics = reduced(src, step)
         if best is None or count(out) < count(best[0]):
             best = out, metrics | ({f"{language}.budget_step": k} if limit is not None else {})
         if limit is None or count(best[0]) <= limit:

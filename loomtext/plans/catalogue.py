@@ -480,3 +480,130 @@ def fingerprint(spark, sf_dir):
     """One digest for a tree: the sorted digests of its files."""
     d = corpus(spark, sf_dir).select(F.concat(F.lit("F "), F.md5("text"), F.lit(" "), "rel_path").alias("l"), "rel_path")
     return d.agg(F.sha1(F.expr("listagg(l, '\\n') WITHIN GROUP (ORDER BY rel_path)")).alias("fingerprint"))
+
+
+_INCLUDES = {"main": ["intro", "body"], "body": ["part", "intro"], "part": ["leaf"], "other": ["leaf"]}
+
+
+@query("WITH RECURSIVE e(a, b, ord) AS (VALUES %s), r(a, path, b) AS (SELECT 'main', '', 'main' UNION ALL SELECT r.b, r.path || '/' || e.ord, e.b FROM r JOIN e ON r.b = e.a) SELECT path, b AS fragment FROM r" % ", ".join(f"('{a}', '{b}', {i})" for a, bs in _INCLUDES.items() for i, b in enumerate(bs)))
+def include_expansion(spark, sf_dir):
+    """Every fragment of an include tree, with the positions that lead to it."""
+    rows = ", ".join(f"('{a}', '{b}', {i})" for a, bs in _INCLUDES.items() for i, b in enumerate(bs))
+    return spark.sql(f"WITH RECURSIVE e(a, b, ord) AS (SELECT * FROM VALUES {rows}), r(a, path, b) AS (SELECT 'main', '', 'main' UNION ALL SELECT r.b, r.path || '/' || e.ord, e.b FROM r JOIN e ON r.b = e.a) SELECT path, b AS fragment FROM r")
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a small Python module: one function a line, private when the line's length is odd."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    name = F.concat(F.when(F.length("line") % 2 == 1, "_").otherwise(""), F.lit("f"), F.col("i").cast("string"))
+    body = F.concat(F.lit("# "), F.length("line").cast("string"), F.lit("\ndef "), name, F.lit('(x):\n    """First. Second."""\n    y = x + '), F.col("i").cast("string"), F.lit("\n    return y\n"))
+    text = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", body.alias("b")))), lambda x: x["b"]), "\n").alias("text"))
+    head = F.concat(F.lit("import os\nfrom .near import thing\n\n"), F.col("text"))
+    return text.select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("rel_path"), head.alias("text"), F.lit("python").alias("adapter"), F.lit("x.py").alias("label"))
+
+
+@query("""SELECT doc_id || '.py' AS rel_path, 'function' AS kind, CASE WHEN length(line) % 2 = 1 THEN '_' ELSE '' END || 'f' || (i - 1) AS name, length(line) % 2 = 0 AS public
+FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, unnest(string_split(text, chr(10))) AS line FROM documents)""")
+def code_elements(spark, sf_dir):
+    from loomtext.operators.code import frames
+
+    return frames.elements(sources(spark, sf_dir)).select("rel_path", "kind", "name", "public")
+
+
+@query("SELECT doc_id || '.py' AS rel_path, m AS module, e AS external FROM documents, (VALUES ('os', true), ('.near', false)) AS t(m, e)")
+def code_imports(spark, sf_dir):
+    from loomtext.operators.code import frames
+
+    return frames.imports(sources(spark, sf_dir)).select("rel_path", "module", "external")
+
+
+@query("SELECT doc_id || '.py' AS rel_path, len(string_split(text, chr(10)))::BIGINT AS removed FROM documents")
+def code_bodies(spark, sf_dir):
+    from loomtext.operators.code import frames
+
+    files = sources(spark, sf_dir).withColumn("options", F.lit('{"strip_function_bodies": true, "placeholders": {"min_savings_ratio": 0}}'))
+    out = frames.processed_files(files)
+    return out.select("rel_path", F.col("meta")["python.removed.function_body"].cast("bigint").alias("removed"))
+
+
+@query()
+def code_budget(spark, sf_dir):
+    """Every module within 200 tokens, or as near as the ladder comes."""
+    from loomtext.operators.code import frames
+
+    files = sources(spark, sf_dir).withColumn("options", F.lit('{"budget": {"max_tokens_per_file": 200}}'))
+    return frames.processed_files(files).select("rel_path", T.token_count(F.col("text")).alias("before"), T.token_count(F.col("processed_text")).alias("after"))
+
+
+@query()
+def code_literals(spark, sf_dir):
+    """Documents' first words as string lists, trimmed to twelve tokens."""
+    from loomtext.operators.code import frames
+
+    words = F.slice(F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " +"), 1, 40)
+    text = F.concat(F.lit("X = ["), F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), w, F.lit('"'))), ", "), F.lit("]\n"))
+    files = table(spark, sf_dir, "documents").select(F.concat("doc_id", F.lit(".py")).alias("rel_path"), text.alias("text"), F.lit("python").alias("adapter"), F.lit("x").alias("label"), F.lit('{"literals": {"max_tokens": 12}}').alias("options"))
+    return frames.processed_files(files).select("rel_path", "processed_text")
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'yes' ELSE 'no' || chr(10) END || substr(text, 1, 20) AS text FROM documents")
+def md_templating(spark, sf_dir):
+    """Directives inside documents."""
+    from loomtext.functions import markdown
+
+    said = F.concat(F.lit("<!-- doc:comment:start -->gone<!-- doc:comment:end --><!-- doc:if tag:"), F.col("lang"), F.lit(" -->yes<!-- doc:else -->no\n<!-- doc:endif -->"), F.substring("text", 1, 20))
+    ctx = conditions.bound(conditions.Context({"en"}))
+
+    @F.pandas_udf("string")
+    def run(texts):
+        return texts.map(lambda t: markdown.directives(t, ctx)[0])
+
+    return table(spark, sf_dir, "documents").select("doc_id", run(said).alias("text"))
+
+
+@query()
+def slugs(spark, sf_dir):
+    """Anchors of titles in all languages, by Unicode decomposition."""
+    from loomtext.functions import markdown
+
+    return table(spark, sf_dir, "documents").select("doc_id", markdown.slugs(F.substring("text", 1, 60)).alias("slug"))
+
+
+@query("SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS DISTINCT FROM role GROUP BY conv_id")
+def conversation_runs(spark, sf_dir):
+    """Consecutive turns of a role count once."""
+    c = intervals.runs(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], ["role"])
+    one = c.groupBy("conv_id", "run").agg(F.any_value("role").alias("role"))
+    return render.joined(one, ["conv_id"], "run", "role", ">", "roles")
+
+
+@query("SELECT DISTINCT user_id, event_type AS provider FROM events")
+def supported_providers(spark, sf_dir):
+    """The union of map keys over rows, as providers are gathered over modes."""
+    e = table(spark, sf_dir, "events").select("user_id", F.create_map("event_type", "event_id").alias("runs"))
+    keys = F.array_distinct(F.flatten(F.collect_set(F.map_keys("runs"))))
+    return e.groupBy("user_id").agg(keys.alias("k")).select("user_id", F.explode("k").alias("provider"))
+
+
+@query("SELECT coalesce(c.k, p.k) AS set_id, coalesce(c.title, p.title) AS title FROM (SELECT n_nationkey AS k, n_name AS title FROM nation WHERE n_nationkey < 15) p FULL JOIN (SELECT n_nationkey AS k, lower(n_name) AS title FROM nation WHERE n_nationkey >= 10) c ON p.k = c.k")
+def model_merge(spark, sf_dir):
+    """Sets of a parent and a child: the child's title wins."""
+    n = table(spark, sf_dir, "nation")
+    p = n.where("n_nationkey < 15").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("pt"))
+    c = n.where("n_nationkey >= 10").select(F.col("n_nationkey").alias("k"), F.lower("n_name").alias("ct"))
+    return p.join(c, "k", "full").select(F.col("k").alias("set_id"), F.coalesce("ct", "pt").alias("title"))
+
+
+@query("SELECT regexp_extract(min(p), '^(.*)/[^/]*$', 1) AS prefix FROM (SELECT 'tree/all/' || source || '/' || doc_id AS p FROM documents WHERE source = 'src1')")
+def common_prefix(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("source = 'src1'").select(F.concat_ws("/", F.lit("tree/all"), "source", F.col("doc_id").cast("string")).alias("rel_path"))
+    return lookup.common_directory(d)
+
+
+@query("SELECT event_id, a FROM (SELECT e.event_id, u.a FROM (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS a FROM events) e JOIN (SELECT user_id, min(floor(epoch(ts))::BIGINT) AS a, max(floor(epoch(ts))::BIGINT) AS b FROM events WHERE event_type = 'purchase' GROUP BY user_id) u ON e.user_id = u.user_id AND e.a >= u.a AND e.a < u.b)")
+def range_membership(spark, sf_dir):
+    """Events between a user's first and last purchase, by a sweep over both."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "event_type")
+    r = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.min("at").alias("start"), F.max("at").alias("end"))
+    hit = intervals.in_any(e.select("event_id", "user_id", "at"), r, ["user_id"], "at").where("inside")
+    return hit.join(r.select("user_id", F.col("start").alias("a")), "user_id").select("event_id", "a")
