@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,9 +23,14 @@ def listing(spark: SparkSession, root: str, glob: str | None = None) -> DataFram
         reader = reader.option("pathGlobFilter", glob)
     base = root.rstrip("/")
     abs_path = F.regexp_replace(F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/{2,}", "/")
-    files = reader.load(root).withColumn("abs_path", abs_path)
+    found = reader.load(root)
+    filled = found.select(abs_path.alias("abs_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), "content")
+    # Spark lists empty files but doesn't read them.
+    named = spark.createDataFrame([(_bare(unquote(p)),) for p in found.inputFiles()], "abs_path string")
+    hollow = named.join(filled.select("abs_path"), "abs_path", "left_anti").select("abs_path", F.lit(0).cast("bigint").alias("size_bytes"), F.lit(None).cast("timestamp").alias("modified"), F.lit(b"").alias("content"))
     rel = F.substring("abs_path", F.lit(len(_bare(base)) + 2), F.length("abs_path"))
-    return files.select(rel.alias("rel_path"), "abs_path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), "content").where(~F.concat(F.lit("/"), F.col("rel_path")).contains("/.git/"))
+    files = filled.unionByName(hollow).withColumn("rel_path", rel)
+    return files.select("rel_path", "abs_path", "size_bytes", "modified", "content").where(~F.concat(F.lit("/"), F.col("rel_path")).contains("/.git/"))
 
 
 def _bare(path: str) -> str:
