@@ -27,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
         v.add_argument("--encoder", default="")
         v.add_argument("--ctx-limit", type=int, default=128_000)
     v = verbs.add_parser("list")
-    v.add_argument("what", choices=("sections", "contexts", "mode-sets", "tag-sets", "tokenizer-libs", "encoders"))
+    v.add_argument("what", choices="sections contexts mode-sets tag-sets tokenizer-libs encoders".split())
     v.add_argument("--context")
     v.add_argument("--provider")
     v.add_argument("--lib")
@@ -56,8 +56,8 @@ def listed(a, make) -> object:
     return [r.asDict() for r in rows.collect()]
 
 
-def main(argv: list[str] | None = None) -> int:
-    a = parser().parse_args(argv)
+def main(words: list[str] | None = None) -> int:
+    a = parser().parse_args(words)
 
     def make(options: engine.Options = engine.Options()) -> engine.Engine:
         from loomtext.session import local_session

@@ -151,28 +151,32 @@ def merge(intervals: list[tuple[int, int, dict]]) -> list[tuple[int, int, dict]]
     return [(s, e, meta | {k: v for k, v in best.items() if v is not None}) for s, e, meta, _, best in out]
 
 
+def _meta(kind: str, reason: str | None, **more) -> dict:
+    return {"kind": kind, "reason": reason, **more, "count": 1}
+
+
 def invert(kept: list[tuple[int, int, dict]], length: int) -> list[tuple[int, int, dict]]:
     if not kept:
-        return [(0, length, {"kind": "inverse", "reason": "keep_mode_drop_all", "count": 1})]
+        return [(0, length, _meta("inverse", "keep_mode_drop_all"))]
     out, at = [], 0
     for s, e, _ in [*merge(kept), (length, length, {})]:
         if at < s:
-            out.append((at, s, {"kind": "inverse", "reason": "keep_mode_inversion", "count": 1}))
+            out.append((at, s, _meta("inverse", "keep_mode_inversion")))
         at = max(at, e)
     return out
 
 
 def drops(doc: Document, rules: list[Rule], keep: bool = False, front: bool = False) -> list[tuple[int, int, dict]]:
     """The intervals to remove: what the rules take, or with ``keep`` what they don't; ``front`` is for front matter likewise."""
-    found = [(h.start, h.end, {"kind": "section", "title": h.title, "level": h.level, "reason": r.reason, "placeholder": r.placeholder, "count": 1}) for r in rules for h in doc.headings if r.takes(doc, h)]
+    found = [(h.start, h.end, _meta("section", r.reason, title=h.title, level=h.level, placeholder=r.placeholder)) for r in rules for h in doc.headings if r.takes(doc, h)]
     if front and doc.front:
-        found.append((*doc.front, {"kind": "frontmatter", "title": None, "level": None, "reason": "frontmatter", "placeholder": None, "count": 1}))
+        found.append((*doc.front, _meta("frontmatter", "frontmatter", title=None, level=None, placeholder=None)))
     return invert(found, len(doc.lines)) if keep else merge(found)
 
 
 def omit(lines: list[str], intervals: list[tuple[int, int, dict]], template: str | None = "> *(omitted)*") -> tuple[str, int]:
     """The text without the intervals, a placeholder for each unless ``template`` is None, and no more than one blank line in a row at the end."""
-    if not intervals:
+    if len(intervals) == 0:
         return "\n".join(lines), 0
     out: list[str] = []
     made = at = 0
@@ -196,7 +200,7 @@ def omit(lines: list[str], intervals: list[tuple[int, int, dict]], template: str
         at = e
     for line in lines[at:]:
         put(line)
-    return re.sub("\n{3,}", "\n\n", "\n".join(out)), made
+    return re.sub(r"\n\n\n+", "\n" * 2, "\n".join(out)), made
 
 
 def normalised(text: str, max_level: int | None = None, strip_h1: bool = False, label: str = "", in_heading: bool = False) -> tuple[str, dict]:
@@ -213,7 +217,7 @@ def normalised(text: str, max_level: int | None = None, strip_h1: bool = False,
     else:
         at = title_lines
     lines.insert(at, f"<!-- FILE: {label} -->")
-    meta = {"md.removed_h1": int(removed), "md.shifted": False, "md.file_label_inserted": True}
+    meta = {"md.file_label_inserted": True, "md.shifted": False, "md.removed_h1": int(removed)}
     if max_level is None:
         return "\n".join(lines), meta
     levels, fenced, heads = [], False, {}

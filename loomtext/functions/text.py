@@ -81,7 +81,7 @@ def strip_html_comments(text: Column) -> Column:
     return F.regexp_replace(text, "(?s)<!--.*?-->", "")
 
 
-IRREGULAR = {"class": "classes", "interface body": "interface bodies", "function body": "function bodies", "method body": "method bodies", "property": "properties", "body": "bodies", "import": "imports", "entry": "entries"}
+IRREGULAR = {**{f"{x} body": f"{x} bodies" for x in ("function", "interface", "method")}, "body": "bodies", "class": "classes", "entry": "entries", "property": "properties"}
 
 
 def pluralised(word: Column, count: Column) -> Column:

@@ -70,7 +70,7 @@ def _rule(d: dict) -> markdown.Rule:
 
 def markdown_options(o: dict) -> markdown.MarkdownOptions:
     """From a section's Markdown options; unknown keys raise."""
-    known = {"max_heading_level", "strip_h1", "drop", "keep", "placeholder", "enable_templating", "directive_prefix", "placeholder_inside_heading", "empty_policy"}
+    known = set("directive_prefix drop empty_policy enable_templating keep max_heading_level placeholder placeholder_inside_heading strip_h1".split())
     if bad := set(o) - known:
         raise markdown.MarkdownError(f"unknown Markdown options: {', '.join(sorted(bad))}")
     drop, keep, place = o.get("drop") or {}, o.get("keep") or {}, o.get("placeholder") or {}
@@ -107,6 +107,6 @@ def processed_files(files: DataFrame, holds: Callable[[str], bool] = lambda _: F
             rows.append((True, out.rstrip("\n") + "\n" if out else out, {k: str(v) for k, v in meta.items()}))
         return pd.DataFrame(rows, columns=["keep", "text", "meta"])
 
-    (done,) = ("__done",)
+    done = "__done"
     wide = files.withColumn(done, run("rel_path", "text", "adapter", "options", "label"))
     return wide.where(f"{done}.keep").select(*files.columns, F.col(f"{done}.text").alias("processed_text"), F.col(f"{done}.meta").alias("meta"))

@@ -55,7 +55,7 @@ LANGUAGES: dict[str, Language] = {
         declarations=(("case_class", rf"{_HEAD}(?<=case\s)class\s+{_NAME}"), ("class", rf"{_HEAD}class\s+{_NAME}"), ("trait", rf"{_HEAD}trait\s+{_NAME}"), ("object", rf"{_HEAD}object\s+{_NAME}"), ("type", rf"{_HEAD}type\s+{_NAME}"), ("function", rf"{_HEAD}def\s+(?P<name>[^\s(\[:=]+)"), ("variable", rf"{_HEAD}(?:val|var)\s+{_NAME}")), import_pattern=r"^[ \t]*import\s+(?P<module>[\w.]+(?:\.\{[^}]*\}|\._|\.\*)?)[^\n]*"),
     "go": Language("go", doc_marks=(), strings=(("`", "`", False), ('"', '"', True), ("'", "'", True)), containers=frozenset({"struct", "interface"}), collections=("{",),
         declarations=(("struct", r"^[ \t]*(?P<mods>)type\s+(?P<name>\w+)(?:\[[^\]]*\])?\s+struct\b"), ("interface", r"^[ \t]*(?P<mods>)type\s+(?P<name>\w+)(?:\[[^\]]*\])?\s+interface\b"), ("type", r"^[ \t]*(?P<mods>)type\s+(?P<name>\w+)"), ("method", r"^(?P<mods>)func\s+\([^)]*\)\s*(?P<name>\w+)\s*\("), ("function", r"^(?P<mods>)func\s+(?P<name>\w+)\s*(?:\[[^\]]*\])?\("), ("constant", r"^(?P<mods>)const\s+(?P<name>\w+)"), ("variable", r"^(?P<mods>)var\s+(?P<name>\w+)")), import_pattern=r"^[ \t]*(?:import\s+)?(?:[\w.]+\s+)?\"(?P<module>[^\"\n]+)\"[ \t]*$"),
-    "rust": Language("rust", doc_marks=("///", "//!", "/**", "/*!"), strings=(('r##"', '"##', False), ('r#"', '"#', False), ('r"', '"', False), ('"', '"', True)), containers=frozenset({"impl", "trait", "mod"}), collections=("[",), factories=("vec!",),
+    "rust": Language("rust", doc_marks=tuple("/// //! /** /*!".split()), strings=(('r##"', '"##', False), ('r#"', '"#', False), ('r"', '"', False), ('"', '"', True)), containers=frozenset({"impl", "trait", "mod"}), collections=("[",), factories=("vec!",),
         declarations=tuple((kind, rf"^[ \t]*(?P<mods>(?:#\[[^\]]*\]\s*)*(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|unsafe|const|extern|default)\s+)*){word}\s+(?P<name>\w+)") for kind, word in (("struct", "struct"), ("trait", "trait"), ("union", "union"), ("enum", "enum"), ("mod", "mod"), ("type", "type"), ("function", "fn"), ("static", r"static(?:\s+mut)?"), ("const", "const"))) + (("impl", r"^[ \t]*(?P<mods>)(?:unsafe\s+)?impl\b(?:<[^>]*>)?\s*(?P<name>[\w:<>,\s&']+?)(?=\s*(?:where\b|\{))"), ("macro", r"^[ \t]*(?P<mods>(?:#\[[^\]]*\]\s*)*)macro_rules!\s*(?P<name>\w+)")), import_pattern=r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:use|extern\s+crate)\s+(?P<module>[^;]+);[^\n]*"),
     "c": Language("c", strings=(('"', '"', True), ("'", "'", True)), containers=frozenset({"struct", "union", "enum"}), collections=("{",),
         declarations=(("typedef", r"^[ \t]*(?P<mods>)typedef\b[^;{]*?(?P<name>\w+)\s*(?=;)"), ("struct", r"^[ \t]*(?P<mods>(?:typedef\s+)?)struct\s+(?P<name>\w+)\s*(?=\{)"), ("union", r"^[ \t]*(?P<mods>(?:typedef\s+)?)union\s+(?P<name>\w+)\s*(?=\{)"), ("enum", r"^[ \t]*(?P<mods>(?:typedef\s+)?)enum\s+(?P<name>\w+)\s*(?=\{)"), ("function", _C_FUNC), ("variable", rf"^(?P<mods>(?:static\s+|extern\s+|const\s+)*)(?!(?:return|typedef|struct\s+\w+\s*\{{)\b)[A-Za-z_][\w\s*]*?[\s*]{_NAME}\s*(?:\[[^\]]*\]\s*)*(?:=|;)")), import_pattern=r"^[ \t]*#[ \t]*include[ \t]*(?P<module>[<\"][^>\"\n]+[>\"])[^\n]*"),

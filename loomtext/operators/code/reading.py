@@ -119,7 +119,7 @@ def elements(text: str, language: str) -> list[Element]:
     for kind, pattern in lang.declarations:
         for m in re.finditer(pattern, code, re.MULTILINE):
             name = m["name"]
-            if re.fullmatch(r"if|for|while|switch|catch|return|else|do|try|function|new|constructor(?=x)", name):
+            if re.fullmatch(r"if|for|while|switch|catch|return|else|do|try|function|new", name):
                 continue
             start = m.start() + len(m[0]) - len(m[0].lstrip())
             if start not in found:
@@ -158,7 +158,7 @@ def _closed(code: str, kind: str, name: str, start: int, at: int, lang: Language
             continue
         if c == "{":
             end = matching(code, i)
-            body = (i + 1, end - 1) if kind in ("function", "method", "constructor", "init", "getter", "setter", "macro") or (kind == "impl" and False) else None
+            body = (i + 1, end - 1) if kind in ("function", "method", "constructor", "init", "getter", "setter", "macro") else None
             while end < n and code[end] in ";," and kind not in ("function", "method"):
                 end += 1
             return Element(kind, name, start, end, body=body)
@@ -221,7 +221,7 @@ def _python_elements(text: str, all_docs: bool = False) -> list[Element]:
     out: list[Element] = []
 
     def public(name):
-        return not name.startswith("_") or (name.startswith("__") and name.endswith("__"))
+        return not name.startswith("_") or bool(re.fullmatch("__.*__", name))
 
     def doc(node):
         first = node.body[0] if node.body else None
@@ -320,7 +320,7 @@ def is_trivial(path: str, text: str, language: str) -> bool:
             every = lambda n: isinstance(n, (ast.Assign, ast.AugAssign)) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in getattr(n, "targets", [getattr(n, "target", None)]))
             return all(doc(n) or isinstance(n, (ast.Import, ast.ImportFrom)) or every(n) for n in body)
         case "typescript" | "javascript":
-            names = {"typescript": ("index.ts", "index.tsx"), "javascript": ("index.js", "index.jsx", "index.mjs", "index.cjs")}[language]
+            names = {"typescript": ("index.ts", "index.tsx"), "javascript": tuple(f"index.{e}" for e in ("cjs", "mjs", "jsx", "js"))}[language]
             joined = re.sub(r"\{[^}]*\}", "{}", code)
             return name in names and all(re.match(r"export\s+.*\bfrom\b", x.strip()) for x in joined.splitlines() if x.strip())
         case "java":

@@ -14,7 +14,7 @@ from loomtext.operators.intervals import skip_fit
 TOKEN = re.compile(r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]")
 IRREGULAR = {"class": "classes", "body": "bodies", "property": "properties", "entry": "entries"}
 LADDER = (512, 256, 128, 64, 32)
-STEPS = ("imports_external", "literals", "comments", "imports_local", "private_bodies", "public_api_only", "public_bodies", "docstrings_first_sentence")
+STEPS = tuple("imports_external literals comments imports_local private_bodies public_api_only public_bodies docstrings_first_sentence".split())
 
 
 class OptionError(ValueError):
@@ -229,8 +229,6 @@ def comments(src: Source, o: Mapping) -> None:
         if keep:
             if keep != body:
                 src.remove(s.start, s.end, kind, keep, "truncated", mark=False)
-        elif s.kind == "docstring":
-            src.remove(s.start, s.end, kind)
         else:
             src.remove(s.start, s.end, kind)
 
@@ -346,7 +344,7 @@ def literals(src: Source, o: Mapping) -> None:
     for at in sorted(set(opens)):
         end = reading.matching(code, at)
         before = code[_line_start(code, at) : at].rstrip()
-        if code[at] in "{(" and at not in opens[len(opens) :] and not _is_literal(src, at, before, declared):
+        if code[at] in "{(" and not _is_literal(src, at, before, declared):
             continue
         if code[at] == "[" and re.search(r"[\w\])]$", before) and not re.search(r"\b(return|in|yield|case)$|!$", before):
             continue
@@ -410,8 +408,7 @@ def finish(src: Source, ratio: float, least: int) -> str:
             if src.count(e.text) < src.count(text[e.start : e.end]):
                 done.append(e)
             continue
-        head = text[_line_start(text, e.start) : e.start]
-        rest = text[e.end : _line_end(text, e.end)]
+        head, rest = text[_line_start(text, e.start) : e.start], text[e.end : _line_end(text, e.end)]
         first = text[e.start : e.end]
         indent = re.match(r"[ \t]*", first if not head.strip() and first[:1] in " \t" else head)[0]
         words = placeholder(e)

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"\s*(?:(?P<mark>[():.])|(?P<word>\w[\w-]*)|(?P<bad>\S))")
-MEDIA = (".cli", ".vscode", ".idea", ".api")
+MEDIA = tuple(f".{m}" for m in "api cli idea vscode".split())
 
 
 class ConditionError(ValueError):
@@ -126,7 +126,7 @@ def provider_base(provider: str) -> str:
 @dataclass
 class Context:
     active: set[str] = field(default_factory=set)
-    tagsets: Mapping[str, set[str]] = field(default_factory=dict)
+    tagsets: Mapping[str, set[str]] = field(default_factory=lambda: {})
     origin: str = ""
     task: str | None = None
     provider: str | None = None

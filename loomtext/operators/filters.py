@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import globs
 
-BARE_NAMES = ("README", "Dockerfile", "Makefile", "pyproject.toml")
+BARE_NAMES = tuple("Dockerfile Makefile README pyproject.toml".split())
 
 
 class FilterError(ValueError):
@@ -104,7 +104,7 @@ def _included(node: FilterNode, sub: Column) -> Column:
     return below
 
 
-def includes(node: FilterNode, path: str) -> bool:
+def includes(node: FilterNode, path: str):
     """:func:`included` for one path on the driver; the tree must be expanded."""
     sub, now = path.lower(), node
     while True:

@@ -14,21 +14,16 @@ from pyspark.sql.window import Window
 
 from loomtext.functions.globs import name_pattern
 
+def _spread(spec: str, dot: str = "") -> dict[str, str]:
+    """``"lang: a b; other: c"`` as ``{a: lang, b: lang, c: other}``; ``-`` stands for no language."""
+    return {dot + name: lang.strip().replace("-", "") for lang, _, names in (x.partition(":") for x in spec.split(";")) for name in names.split()}
+
+
 #: The language of a code fence, by extension and by file name.
-BY_EXTENSION = {
-    **dict.fromkeys((".js", ".jsx"), "javascript"), **dict.fromkeys((".ts", ".tsx"), "typescript"), **dict.fromkeys((".sh", ".bash", ".zsh"), "bash"), **dict.fromkeys((".md", ".markdown"), "markdown"),
-    **dict.fromkeys((".yml", ".yaml"), "yaml"), **dict.fromkeys((".txt", ".ini", ".cfg"), ""), **dict.fromkeys((".c", ".h"), "c"),
-    ".py": "python", ".java": "java", ".json": "json", ".toml": "toml", ".xml": "xml", ".html": "html", ".css": "css", ".scss": "scss", ".go": "go", ".rs": "rust", ".cpp": "cpp", ".sql": "sql",
-}
-BY_NAME = {
-    "pyproject.toml": "toml", "Pipfile": "", "pom.xml": "xml", "build.gradle": "groovy", "build.gradle.kts": "kotlin", "package.json": "json", "tsconfig.json": "json", "webpack.config.js": "javascript",
-    "Dockerfile": "dockerfile", "Makefile": "make", "README": "",
-}
+BY_EXTENSION = _spread("bash: bash sh zsh; c: h c; cpp: cpp; css: css; go: go; html: html; java: java; javascript: jsx js; json: json; markdown: markdown md; python: py; rust: rs; scss: scss; sql: sql; toml: toml; typescript: tsx ts; xml: xml; yaml: yaml yml; -: cfg ini txt", ".")
+BY_NAME = _spread("dockerfile: Dockerfile; groovy: build.gradle; javascript: webpack.config.js; json: tsconfig.json package.json; kotlin: build.gradle.kts; make: Makefile; toml: pyproject.toml; xml: pom.xml; -: README Pipfile")
 #: Which adapter treats a file; any other extension is passed through unchanged.
-ADAPTERS = {
-    "python": (".py",), "typescript": (".ts", ".tsx"), "javascript": (".js", ".jsx", ".mjs", ".cjs"), "java": (".java",), "kotlin": (".kt", ".kts"), "scala": (".scala", ".sc"), "go": (".go",),
-    "rust": (".rs",), "c": (".c", ".h"), "cpp": (".cpp", ".hpp", ".cc", ".hh", ".cxx", ".hxx"), "markdown": (".md", ".markdown"),
-}
+ADAPTER_OF = _spread("c: h c; cpp: hxx hpp hh cxx cpp cc; go: go; java: java; javascript: mjs jsx js cjs; kotlin: kts kt; markdown: markdown md; python: py; rust: rs; scala: scala sc; typescript: tsx ts", ".")
 
 
 def file_name(path: Column) -> Column:
@@ -51,7 +46,7 @@ def language(path: Column) -> Column:
 
 
 def adapter(path: Column) -> Column:
-    return F.coalesce(F.try_element_at(_map({e: a for a, es in ADAPTERS.items() for e in es}), extension(path)), F.lit("base"))
+    return F.coalesce(F.try_element_at(_map(ADAPTER_OF), extension(path)), F.lit("base"))
 
 
 def is_doc_only(language_col: Column) -> Column:
@@ -75,7 +70,7 @@ def merged_options(section: Column, override: Column) -> Column:
 
 
 def specificity(patterns: Iterable[str]) -> int:
-    return sum(len(p.replace("*", "").replace("?", "")) for p in patterns)
+    return len(re.sub("[*?]", "", "".join(patterns)))
 
 
 def target_overrides(path: Column, targets: list[tuple[list[str], Mapping[str, str]]]) -> Column:

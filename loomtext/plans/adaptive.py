@@ -187,7 +187,7 @@ def resolve(name: str, load: Callable[[str, str], tuple[str, Mapping]]) -> Resol
     return visit(name, "")
 
 
-SECTION_KEYS = {"extensions", "filters", "skip_empty", "path_labels", "targets", "extends", "mode-sets", "tag-sets"}
+SECTION_KEYS = set("extends extensions filters mode-sets path_labels skip_empty tag-sets targets".split())
 
 
 def mode_table(spark: SparkSession, model: Model) -> DataFrame:

@@ -93,7 +93,7 @@ class Engine:
             names[:] = [n for n in names if n != ".git"]
             if ".gitignore" in there:
                 rel = os.path.relpath(here, self.root)
-                found["" if rel == "." else rel] = Path(here, ".gitignore").read_text(encoding="utf-8", errors="ignore").splitlines()
+                found["" if rel == "." else rel] = Path(here, ".gitignore").read_bytes().decode("utf-8", "ignore").splitlines()
         return ignore.compiled(found)
 
     def load(self, kind: str, name: str, scope: str) -> tuple[str, str]:
@@ -191,9 +191,10 @@ class Engine:
         full = "/".join(filter(None, (where, pattern)))
         options: dict = {"max_heading_level": a["level"] or place.level, "strip_h1": place.strip_h1 if a["strip_h1"] is None else a["strip_h1"], "placeholder_inside_heading": place.in_heading}
         if a["anchor"]:
-            options["keep"] = {"sections": [{"match": {"kind": "slug", "pattern": markdown.slug(re.sub(r"\s+", " ", re.sub(r"\s*([:&])\s*", r"\1 ", a["anchor"])).strip())}}]}
+            anchor = markdown.slug(re.sub(r"\s+", " ", re.sub(r"\s*([:&])\s*", r"\1 ", a["anchor"])).strip())
+            options["keep"] = dict(sections=[dict(match=dict(pattern=anchor, kind="slug"))])
             options["placeholder"] = {"mode": "none"}
-        raw = {"extensions": [".md", ".markdown"], "filters": {"mode": "allow", "allow": ["/" + pattern]}, "markdown": options}
+        raw = dict(extensions=[".md", ".markdown"], filters=dict(mode="allow", allow=["/" + pattern]), markdown=options)
         done = self.section_frame(raw, f"md:{full}", scope, conditions.bound(ev.context()), "all").persist()
         text = self.section_text(done)
         if not text.strip() and "*" not in pattern and done.limit(1).count() == 0:

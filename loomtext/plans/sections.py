@@ -17,6 +17,7 @@ from loomtext.operators import filters, lookup
 from loomtext.plans.adaptive import SECTION_KEYS, MetaSectionError
 
 CONFIG_DIR = "context"
+LABELS = tuple("scope_relative basename relative".split())
 
 
 class SectionError(ValueError):
@@ -24,11 +25,13 @@ class SectionError(ValueError):
 
 
 def _yaml(path: Path) -> dict:
-    data = yaml.safe_load(path.read_text(encoding="utf-8")) or {}
+    with path.open(encoding="utf-8") as file:
+        data = yaml.safe_load(file) or {}
     if not isinstance(data, dict):
         raise SectionError(f"{path} doesn't hold a mapping")
     # An old file may still carry the number of its schema.
-    return {str(k): v for k, v in data.items() if k != "schema_version"}
+    data.pop("schema_version", None)
+    return {str(name): raw for name, raw in data.items()}
 
 
 @dataclass
@@ -112,8 +115,8 @@ def _decided(options: Mapping, holds: Callable[[str], bool]) -> dict:
 def parsed(name: str, raw: Mapping, holds: Callable[[str], bool], warn: Callable[[str], None] = lambda _: None) -> Section:
     if "filters" not in raw:
         raise MetaSectionError(f"section {name!r} has no filters and can only be extended")
-    labels = str(raw.get("path_labels", "scope_relative")).strip().lower()
-    if labels not in ("scope_relative", "relative", "basename"):
+    labels = str(raw.get("path_labels", LABELS[0])).lower().strip()
+    if labels not in LABELS:
         raise SectionError(f"section {name!r}: path_labels {labels!r}")
     adapters = {k: _decided(v, holds) for k, v in raw.items() if k not in SECTION_KEYS and _mapping(name, k, v)}
     targets = []
@@ -121,7 +124,7 @@ def parsed(name: str, raw: Mapping, holds: Callable[[str], bool], warn: Callable
         match = [t["match"]] if isinstance(t["match"], str) else list(t["match"])
         targets.append((match, {k: _decided(v, holds) for k, v in t.items() if k != "match" and _mapping(name, k, v)}))
     tree = filters.conditioned(filters.expanded(filters.FilterNode.parse(raw["filters"])), holds, warn)
-    return Section(name, list(map(str, raw.get("extensions", [".py"]))), tree, bool(raw.get("skip_empty", True)), labels, adapters, targets)
+    return Section(name, [str(e) for e in raw.get("extensions", (".py",))], tree, bool(raw.get("skip_empty", True)), labels, adapters, targets)
 
 
 def _mapping(section: str, key: str, value) -> bool:

@@ -38,8 +38,8 @@ class GitChanges:
 
     def changed(self) -> set[str]:
         """Unstaged, staged and untracked files."""
-        kinds = (("diff", "--name-only"), ("diff", "--name-only", "--cached"), ("ls-files", "--others", "--exclude-standard"))
-        return {path for kind in kinds for path in self._git(*kind) or ()}
+        kinds = ("diff --name-only", "diff --cached --name-only", "ls-files --exclude-standard --others")
+        return {path for kind in kinds for path in self._git(*kind.split()) or ()}
 
     def merge_base(self, target: str | None = None) -> str | None:
         """With the named branch, here or at origin; failing that with the first usual main branch there is."""

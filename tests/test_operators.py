@@ -28,7 +28,7 @@ def test_globs_in_spark(spark):
         assert df.where(F.col("p") == path).select(globs.any_match(F.col("p"), [pattern]).alias("m")).first().m is want, (pattern, path)
 
 
-TREE = {"mode": "allow", "allow": ["/src/", "/secure/"], "block": ["**/*.log"], "children": {"secure": {"mode": "allow", "allow": ["*.py"], "block": ["*_secret.py"]}, "src/gen/deep": {"mode": "block", "block": ["/no/"]}}}
+TREE = {"allow": ["/src/", "/secure/"], "mode": "allow", "block": ["**/*.log"], "children": {"secure": {"allow": ["*.py"], "mode": "allow", "block": ["*_secret.py"]}, "src/gen/deep": {"mode": "block", "block": ["/no/"]}}}
 PATHS = {"src/gen/deep/x.py": True, "src/gen/deep/no/x.py": False, "src/other.py": False, "src/a/b.py": False, "src/gen/debug.log": False, "secure/auth.py": True, "SECURE/Auth.PY": True, "secure/readme.md": False, "secure/data_secret.py": False, "docs/x.py": False, "src/gen/other": False}
 
 
@@ -63,10 +63,10 @@ def test_ignore_rules():
     assert [r for r in ignore.compiled({"": ["Big"]}, True) if re.search(r[2], "big")]
 
 
-CTX = conditions.Context({"a", "x"}, {"s": {"x", "y"}, "e": set()}, "apps/web", " go ", "com.x.claude.cli")
+CTX = conditions.Context({"a", "x"}, {"s": {"x", "y"}, "e": set()}, "apps/web", " go ", "com.x.tool.cli")
 CASES = {
     "tag:a": True, "tag:b": False, "NOT tag:b AND tag:a": True, "tag:b OR tag:a AND tag:b": False, "(tag:b OR tag:a) AND tag:a": True, "TAGSET:s:x": True, "TAGSET:s:y": False, "TAGSET:none:q": True, "TAGSET:e:q": True, "TAGONLY:s:x": True,
-    "TAGONLY:none:q": False, "scope:parent": True, "scope:local": False, "task": True, "provider:com.x.claude": True, "provider:com.x": False, "NOT NOT tag:a": True, "tag:tag": False, "tag:my-tag OR task": True,
+    "TAGONLY:none:q": False, "scope:parent": True, "scope:local": False, "task": True, "provider:com.x.tool": True, "provider:com.x": False, "NOT NOT tag:a": True, "tag:tag": False, "tag:my-tag OR task": True,
 }
 
 
