@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once. Only the size of temporaries depends on it, never a result.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)

@@ -49,7 +49,7 @@ def trigrams(column):
 
 @dataclass
 class Classifier:
-    """``weights`` (feature, domain) are log-probabilities; ``slope`` and ``bias`` turn a text's mean of them into log-posteriors."""
+    """``weights`` (domain, feature) are log-probabilities; ``slope`` and ``bias`` turn a text's mean of them into log-posteriors."""
 
     weights: np.ndarray
     slope: np.ndarray
@@ -57,10 +57,11 @@ class Classifier:
 
     def means(self, codes, at):
         n = np.diff(at)
-        out = np.zeros((len(n), self.weights.shape[1]))
+        out = np.zeros((len(n), len(self.weights)))
         some = np.flatnonzero(n)
         if len(some):
-            out[some] = np.add.reduceat(self.weights[codes], at[:-1][some], axis=0, dtype=np.float64) / n[some, None]
+            for k in range(out.shape[1]):  # a domain at a time: its weights stay in cache, and no row of all is made for each byte
+                out[some, k] = np.add.reduceat(self.weights[k][codes], at[:-1][some], dtype=np.float64) / n[some]
         return out - out.mean(axis=1, keepdims=True)
 
     def posteriors(self, means):
@@ -111,8 +112,8 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_
     for f, n in text.where("half = 0").select("text", "y").mapInArrow(count, "f bigint, n bigint").groupBy("f").agg(F.sum("n")).collect():
         sums[f] = n
     sums = sums.reshape(k, -1)
-    weights = np.log((sums + 0.5) / (sums.sum(axis=1, keepdims=True) + 0.5 * sums.shape[1])).T.astype(np.float32)
-    model = spark.sparkContext.broadcast(Classifier(np.ascontiguousarray(weights), np.eye(k), np.zeros(k)))
+    weights = np.log((sums + 0.5) / (sums.sum(axis=1, keepdims=True) + 0.5 * sums.shape[1])).astype(np.float32)
+    model = spark.sparkContext.broadcast(Classifier(weights, np.eye(k), np.zeros(k)))
 
     def means(batches):
         for batch in batches:
