@@ -23,7 +23,7 @@ SAMPLE_ROWS, SAMPLE_CHARS = 200_000, 512
 
 def normalised(text):
     """Line ends become ``\\n`` and white space at either end of the text goes; nothing else counts as equal."""
-    return F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"^[ \t\n\f]+|[ \t\n\f]+\z", "")
+    return F.btrim(F.regexp_replace(text, "\r\n?", "\n"), F.lit(" \t\n\f"))
 
 
 def splitters(docs: DataFrame, text, norm, ranges: int) -> list[str]:
