@@ -28,7 +28,7 @@ def truncate_to_tokens(text: Column, limit: Column | int, count: Column | None =
     limit = F.lit(limit) if isinstance(limit, int) else limit
     count = token_count(text) if count is None else count
     keep = F.greatest(F.lit(1), F.floor(F.length(text) * limit / F.greatest(count, F.lit(1)))).cast("int")
-    return F.when(count <= limit, text).when(limit <= 0, F.lit("")).otherwise(F.regexp_replace(F.substring(text, F.lit(1), keep), r"\s+\z", ""))
+    return F.when(count <= limit, text).when(limit <= 0, F.lit("")).otherwise(F.rtrim(F.substring(text, F.lit(1), keep), F.lit(" \t\n\r\f\x0b")))
 
 
 def savings(original: Column, replacement: Column) -> Column:

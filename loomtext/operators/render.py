@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 
 def trimmed_end(text: Column) -> Column:
-    return F.regexp_replace(text, r"\s+\z", "")
+    return F.rtrim(text, F.lit(" \t\n\r\f\x0b"))
 
 
 def _without_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, "\n+\\z", "")
+    return F.rtrim(text, F.lit("\n"))
 
 
 def fence(language: Column, label: Column, text: Column) -> Column:
