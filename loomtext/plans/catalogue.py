@@ -64,10 +64,16 @@ CUT = 300
 _CUT_SQL = f"CASE WHEN raw <= {CUT} THEN text ELSE regexp_replace(substr(text, 1, greatest(1, floor(length(text) * {CUT} / raw::DOUBLE))::INT), '\\s+$', '') END"
 
 
+def once(df: DataFrame, **columns) -> DataFrame:
+    """Adds columns as a generated row, so that the optimizer doesn't write their expressions out wherever they are used."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def measured(docs: DataFrame) -> DataFrame:
-    raw = T.token_count(F.col("text"))
-    cut = T.truncate_to_tokens(F.col("text"), CUT, F.col("tokens_raw"))
-    return docs.withColumn("tokens_raw", raw).withColumn("processed_text", cut).withColumn("tokens_processed", T.token_count(F.col("processed_text"))).withColumn("size_bytes", F.octet_length("text").cast("bigint"))
+    counted = once(docs, tokens_raw=T.token_count(F.col("text")), size_bytes=F.octet_length("text").cast("bigint"))
+    cut = once(counted, processed_text=T.truncate_to_tokens(F.col("text"), CUT, F.col("tokens_raw")))
+    # A text that isn't cut has been counted already.
+    return cut.withColumn("tokens_processed", F.when(F.col("tokens_raw") <= CUT, F.col("tokens_raw")).otherwise(T.token_count(F.col("processed_text"))))
 
 
 _MEASURED = f"""m AS (
