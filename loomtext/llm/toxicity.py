@@ -1,9 +1,10 @@
 """Toxic passages as maximum-scoring segments of word log-odds.
 
-Words get the log-odds of toxic against other labelled text under an informative Dirichlet prior whose shape is the
-corpus's own word counts. Words without significant odds share one small negative score. A linear-time scan finds all
-maximal scoring segments of a text; extreme-value statistics of clean held-out text say how surprising each is for a
-text of that length.
+Every word of the labelled text gets its log-odds of toxic against clean documents, shrunk by how far the labelled
+documents bear it out: the posterior mean under a prior over log-odds that is itself estimated from all words' counts
+(nonparametric empirical Bayes). Only labelled text enters, so what a word says does not depend on how much clean text
+the corpus holds. A linear-time scan finds all maximal scoring segments of a text; extreme-value statistics of clean
+held-out text say how surprising each is for a text of that length.
 """
 
 from __future__ import annotations
@@ -20,16 +21,19 @@ from loomtext.llm import arrow_text
 
 #: The fit sees at most so many labelled rows, those whose id hashes lowest; a fifth of them is held out for calibration.
 MAX_LABELLED = 40_000
-#: A word counts when so many toxic documents hold it, its log-odds are at least so large, and so many standard deviations above zero.
-#: The bound on the odds is for words that a few documents repeat, whose counts vary more than a multinomial's.
-MIN_DOCUMENTS, MIN_ODDS, MIN_Z = 3, 1.0, 4.0
+#: Log-odds that the prior may give weight to, and rounds of fitting those weights.
+GRID, ROUNDS = np.arange(-4, 8.01, 0.5), 200
+#: Taken from every word's log-odds, so that a passage must be more toxic than clean by so much a word.
+DRIFT = 0.2
+#: Clean segments above this quantile of their scores say how fast scores decay; log-odds themselves decay at rate 1.
+TAIL = 0.8
 #: A document is toxic when a passage as high as its best would turn up in a clean text of its length with at most this probability.
 ALPHA = 0.002
 
 
 @dataclass(frozen=True)
 class Model:
-    """``hashes`` (sorted) of the scored words, their ``scores``, the score of any ``other`` word, and the extreme-value parameters."""
+    """``hashes`` (sorted) of the scored words, their ``scores``, the score of ``other`` words, which no labelled document holds, and the extreme-value parameters."""
 
     hashes: np.ndarray
     scores: np.ndarray
@@ -74,116 +78,83 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, r - l) for a, b, l, r, _ in stack]
 
 
-def passages(hits: np.ndarray, gains: np.ndarray, other: float) -> list[tuple[int, int, float]]:
-    """:func:`segments` of a text whose words at ``hits`` score ``gains`` and all others ``other``, without looking at the others."""
+def passages(hits: np.ndarray, gains: np.ndarray, other: float | np.ndarray) -> list[tuple[int, int, float]]:
+    """:func:`segments` of a text whose words at ``hits`` score ``gains`` and all others ``other``, without looking at the others.
+
+    ``other`` may be the scores of all words instead, where those that are no hits must not be above 0.
+    """
     if len(hits) == 0:
         return []
     short = np.empty(2 * len(hits) - 1)
     short[::2] = gains
-    short[1::2] = other * (np.diff(hits) - 1)
+    if np.ndim(other):
+        total = np.cumsum(other)
+        short[1::2] = total[hits[1:] - 1] - total[hits[:-1]]
+    else:
+        short[1::2] = other * (np.diff(hits) - 1)
     return [(int(hits[a // 2]), int(hits[(b - 1) // 2]) + 1, s) for a, b, s in segments(short)]
 
 
-def solve_decay(probabilities: np.ndarray, scores: np.ndarray) -> float:
-    """The positive root of ``sum(p * exp(x * s)) = 1``, where the scores' mean is negative."""
-    f = lambda x: float((probabilities * np.exp(x * scores)).sum()) - 1
-    lo, hi = 0.0, 1.0
-    while f(hi) < 0 and hi < 64:
-        hi *= 2
-    lo = 1e-6
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
-    return hi
-
+def log_odds(toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, float]:
+    """Shrunken log-odds of words that so many toxic and clean documents hold, and those of a word that none holds.
 
-def log_odds(toxic: np.ndarray, n_toxic: float, clean: np.ndarray, n_clean: float, share: np.ndarray, mass: float):
-    """Log-odds and their z-scores for word counts under a Dirichlet prior of ``mass`` spread by ``share``."""
-    prior = mass * share
-    t, c = toxic + prior, clean + prior
-    delta = np.log(t / (n_toxic + mass - t)) - np.log(c / (n_clean + mass - c))
-    return delta, delta / np.sqrt(1 / t + 1 / c)
+    A word with log-odds x is toxic in each document that holds it with odds exp(x) times the average word's.
+    """
+    pairs, which, n = np.unique(np.stack([toxic, clean], axis=1), axis=0, return_inverse=True, return_counts=True)
+    at = np.log(toxic.sum() / clean.sum()) + GRID
+    fit_ = -pairs[:, :1] * np.log1p(np.exp(-at)) - pairs[:, 1:] * np.log1p(np.exp(at))
+    fit_ = np.exp(fit_ - fit_.max(axis=1, keepdims=True))
+    weights = np.full(len(GRID), 1 / len(GRID))
+    for _ in range(ROUNDS):
+        posterior = fit_ * weights
+        posterior /= posterior.sum(axis=1, keepdims=True)
+        weights = n @ posterior / n.sum()
+    posterior = fit_ * weights
+    return (posterior @ GRID / posterior.sum(axis=1))[which.reshape(-1)], float(weights @ GRID)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", max_labelled=MAX_LABELLED) -> Model | None:
-    """Log-odds from a bounded, repeatable sample of labelled documents, over a prior counted on all documents; None without toxic and clean labels."""
+    """Log-odds from a bounded, repeatable sample of labelled documents; None without words in toxic and in clean ones."""
     spark = docs.sparkSession
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(max_labelled).withColumn("held", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) == 0)
     ids = spark.createDataFrame(chosen.collect(), chosen.schema)
-    toxic_ids = F.broadcast(ids.where("y = 1 AND NOT held").select("id"))
 
-    def toxic_words(batches):
+    def count(batches):
+        """In how many toxic and clean documents each word occurs."""
         for batch in batches:
-            for _, _, hashes, bounds, _ in _words(batch.column(0)):
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            for first, _, hashes, bounds, _ in _words(batch.column(0)):
                 doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
                 order = np.lexsort((doc, hashes))
                 h, d = hashes[order], doc[order]
-                new = np.append(True, h[1:] != h[:-1])[: len(h)]
-                pair = new | np.append(True, d[1:] != d[:-1])[: len(h)]
-                at = np.flatnonzero(new)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[at].view(np.int64)), pa.array(np.diff(np.append(at, len(h)))), pa.array(np.add.reduceat(pair.astype(np.int64), at) if len(at) else at)], names=["h", "n", "docs"]
-                )
-
-    counted = text.join(toxic_ids, "id").select("text").mapInArrow(toxic_words, "h bigint, n bigint, docs bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    rows = counted.groupBy(F.when(F.col("docs") >= MIN_DOCUMENTS, F.col("h")).alias("h")).agg(F.sum("n").alias("n")).collect()
-    n_toxic = float(sum(r.n for r in rows))
-    known = sorted((r.h, r.n) for r in rows if r.h is not None)
-    if not known:
-        return None
-    order = np.array([h for h, _ in known], np.int64).view(np.uint64).argsort()
-    vocabulary = np.array([h for h, _ in known], np.int64).view(np.uint64)[order]
-    toxic = np.array([n for _, n in known], float)[order]
-    shared = spark.sparkContext.broadcast(vocabulary)
-    size = len(vocabulary)
-
-    def corpus_counts(batches):
-        """How often each known word occurs in all documents and in the clean labelled ones; row -1 has all words."""
-        own = shared.value
-        sums = np.zeros((2, size + 1), np.int64)
-        for batch in batches:
-            clean = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
-            for first, _, hashes, bounds, _ in _words(batch.column(0)):
-                at = np.searchsorted(own, hashes)
-                at[at == size] = 0
-                hit = own[at] == hashes
-                flag = np.repeat(clean[first : first + len(bounds) - 1], np.diff(bounds))
-                sums[0, :-1] += np.bincount(at[hit], minlength=size)
-                sums[1, :-1] += np.bincount(at[hit & flag], minlength=size)
-                sums[:, -1] += len(hashes), int(flag.sum())
-        some = np.flatnonzero(sums[0])
-        keys = np.where(some == size, -1, some)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums[0, some]), pa.array(sums[1, some])], names=["k", "n", "clean"])
-
-    flagged = text.join(F.broadcast(ids.where("y = 0 AND NOT held").select("id", F.lit(True).alias("clean"))), "id", "left").select("text", "clean")
-    counts = np.zeros((2, size + 1))
-    for k, n, c in flagged.mapInArrow(corpus_counts, "k bigint, n bigint, clean bigint").groupBy("k").agg(F.sum("n"), F.sum("clean")).collect():
-        counts[:, k] = n, c
-    total, n_clean = counts[:, -1]
-    if n_clean == 0:
-        return None
-    # The prior weighs as much as the toxic sample.
-    share = counts[0, :-1] / total
-    delta, z = log_odds(toxic, n_toxic, counts[1, :-1], n_clean, share, n_toxic)
-    told = (z >= MIN_Z) & (delta >= MIN_ODDS)
-    rest_t, rest_c, rest_s = n_toxic - toxic[told].sum(), n_clean - counts[1, :-1][told].sum(), 1 - share[told].sum()
-    other = min(-1e-4, float(np.log((rest_t + n_toxic * rest_s) / (2 * n_toxic)) - np.log((rest_c + n_toxic * rest_s) / (n_clean + n_toxic))))
-    clean_p = (counts[1, :-1][told] + n_toxic * share[told]) / (n_clean + n_toxic)
-    p, s = np.append(clean_p, 1 - clean_p.sum()), np.append(delta[told], other)
-    if not told.any() or (p * s).sum() >= 0:
+                once = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))[: len(h)]
+                h, toxic = h[once], y[first + d[once]] == 1
+                at = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+                n, of = np.diff(np.append(at, len(h))), np.add.reduceat(toxic.astype(np.int64), at) if len(at) else at
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(of), pa.array(n - of)], names=["h", "toxic", "clean"])
+
+    seen = text.join(F.broadcast(ids.where("NOT held").select("id", "y")), "id").select("text", "y")
+    counted = seen.mapInArrow(count, "h bigint, toxic bigint, clean bigint").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
+    vocabulary = counted.column("h").to_numpy().view(np.uint64)
+    order = vocabulary.argsort()
+    vocabulary, toxic, clean = vocabulary[order], counted.column("toxic").to_numpy()[order].astype(float), counted.column("clean").to_numpy()[order].astype(float)
+    if not toxic.sum() or not clean.sum():
         return None
-    model = Model(vocabulary[told], delta[told], other, solve_decay(p, s))
+    scores, other = log_odds(toxic, clean)
+    # Clean text must lose by the word, or segments would grow with the text.
+    drift = DRIFT + max(0.0, other, float(clean @ scores / clean.sum()))
+    model = Model(vocabulary, scores - drift, other - drift)
     held = text.join(F.broadcast(ids.where("y = 0 AND held").select("id")), "id")
     found = _scan(held.select(F.col("id"), "text"), spark.sparkContext.broadcast(model), None).select("score", "words").collect()
     length = _lengths(held)
     # Peaks over a floor: the clean segments' excess gives the rate of decay, which words that are toxic by chance make
     # slower than the theory's, and their number the scale. The theory's own rate counts as one more observation.
-    floor = float(delta[told].min())
+    floor = float(np.quantile([r.score for r in found], TAIL)) if found else 0.0
     excess = [r.score - floor for r in found if r.score >= floor]
     decay = min(model.decay, (len(excess) + 1) / (sum(excess) + 1 / model.decay))
-    return Model(model.hashes, model.scores, other, decay, (len(excess) + 1) / max(1, length) * float(np.exp(decay * floor)))
+    return Model(model.hashes, model.scores, model.other, decay, (len(excess) + 1) / max(1, length) * float(np.exp(decay * floor)))
 
 
 def _lengths(held: DataFrame) -> int:
@@ -208,12 +179,13 @@ def _scan(texts: DataFrame, shared, alpha: float | None) -> DataFrame:
             for first, at, hashes, bounds, starts in _words(batch.column(1)):
                 where = np.searchsorted(m.hashes, hashes)
                 where[where == len(m.hashes)] = 0
-                hits = np.flatnonzero(m.hashes[where] == hashes)
-                owner = np.searchsorted(bounds, hits, side="right") - 1
-                for doc in np.unique(owner):
-                    mine = hits[owner == doc] if len(hits) < 4096 else hits[np.searchsorted(owner, doc) : np.searchsorted(owner, doc, side="right")]
+                gain = np.where(m.hashes[where] == hashes, m.scores[where], m.other)
+                hits = np.flatnonzero(gain > 0)
+                spans = np.searchsorted(hits, bounds)
+                for doc in np.flatnonzero(np.diff(spans)):
+                    mine = hits[spans[doc] : spans[doc + 1]]
                     n = int(bounds[doc + 1] - bounds[doc])
-                    found = passages(mine - bounds[doc], m.scores[where[mine]], m.other)
+                    found = passages(mine - bounds[doc], gain[mine], gain[bounds[doc] : bounds[doc + 1]])
                     best = max(s for _, _, s in found)
                     p = float(-np.expm1(-m.expected(best, n)))
                     if alpha is not None and p > alpha:

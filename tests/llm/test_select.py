@@ -263,5 +263,21 @@ def test_toxicity_of_awkward_documents(spark):
     assert toxicity.toxic_documents(frame(spark, rows), lab.where("toxic = 1")).collect() == []
 
 
+def test_toxic_text_is_found_in_a_corpus_that_is_nearly_clean(spark):
+    rows, labels = tone(n=90)
+    more, kinds = tone(seed=9, n=4000)
+    rare = [x for x, (i, toxic) in zip(more, kinds, strict=True) if not toxic or i % 1000 == 0]
+    lab = spark.createDataFrame([(i - 90, t) for i, t in labels], "doc_id bigint, toxic int")
+    labelled = [(i - 90, *rest) for i, *rest in rows]
+    out = {r.doc_id for r in toxicity.toxic_documents(frame(spark, labelled + rare), lab).collect() if r.doc_id >= 0}
+    assert {0, 1000, 2000, 3000} <= out and len(out) <= 4 + 0.005 * len(rare)
+
+
+def test_shrunken_log_odds():
+    toxic, clean = np.array([9, 3, 1, 0, 1, 20] + [1] * 40 + [0] * 360, float), np.array([0, 0, 0, 1, 9, 180] + [0] * 40 + [1] * 360, float)
+    score, other = toxicity.log_odds(toxic, clean)
+    assert score[0] > score[1] > score[2] > score[3] and score[1] > score[5] > score[4] and score[1] > other
+
+
 def test_fresh_names():
     assert fresh(["a", "__X"], "x", "x") == ["__x_", "__x__"]
