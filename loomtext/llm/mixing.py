@@ -2,14 +2,15 @@
 
 A classifier fitted to a labelled table gives every document a posterior over domains. Nonnegative rates, one for each
 document, then bring the expected domain totals (sum of rate * tokens * posterior) to the targets by least squares with
-a small pull towards rate 1. The gradient at a document depends on its posterior only, so documents of equal (rounded)
-posterior share a rate: the projected gradient runs over a distributed table of such cells, one aggregation a step, and
-any document's rate follows from its posterior by replaying the steps.
+a small pull towards rate 1, which is taken back until the targets are met. At the optimum a document of posterior p has
+rate max(0, 1 + p @ lift), with one lift for each domain: Newton's method finds the lifts over a distributed table of
+documents of equal (rounded) posterior, one aggregation a step.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import warnings
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,8 @@ MAX_LABELLED = 6_000
 FEATURE_BITS = 15
 #: Posteriors are rounded to so many parts of one.
 PARTS = 64
-PULL = 1e-3
+#: The pull is divided by 10 until no domain's total misses its target by more than ``TOLERANCE``, down to ``LEAST_PULL``.
+PULL, LEAST_PULL = 1e-3, 1e-10
 MAX_STEPS, TOLERANCE = 80, 1e-4
 
 
@@ -132,57 +134,72 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_
 
 
 @dataclass
-class Steps:
-    """A projected-gradient run: replayed, it gives the rate for any posterior."""
+class Lifts:
+    """``lift`` of every domain, and the ``totals`` that the rates for them bring."""
 
-    size: float
-    pull: float
-    history: list = field(default_factory=list)
+    lift: np.ndarray
+    totals: np.ndarray | None = None
 
     def replay(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rates, and the extrapolated point at which the next gradient is taken."""
-        rate = ahead = np.ones(len(p))
-        for gradient, momentum in self.history:
-            new = np.maximum(0.0, ahead - self.size * (p @ gradient + self.pull * (ahead - 1)))
-            ahead = new + momentum * (new - rate)
-            rate = new
-        return rate, ahead
+        """The rates for posteriors, and whether they are above the bound."""
+        rate = 1.0 + p @ self.lift
+        return np.maximum(0.0, rate), rate > 0
 
 
-def solve(cells: DataFrame, weights: np.ndarray, total: float, pull: float = PULL) -> Steps:
-    """Accelerated projected gradient over the cells ``(p array<bigint>, n bigint)``, until the domain totals stand still."""
-    k = len(weights)
-
-    def moments(batches):
-        m = np.zeros((k, k))
-        for batch in batches:
-            if batch.num_rows:
-                p = np.array(batch.column(0).to_pylist(), float).reshape(-1, k) / PARTS
-                m += p.T @ (p * (batch.column(1).to_numpy() / total)[:, None])
-        yield pa.RecordBatch.from_arrays([pa.array(m.reshape(1, -1).tolist(), pa.list_(pa.float64()))], names=["m"])
+def solve(cells: DataFrame, weights: np.ndarray, total: float, pull: float = PULL, start: np.ndarray | None = None) -> Lifts:
+    """Newton's method with halved steps over the cells ``(p array<bigint>, n bigint)``, for one pull.
 
-    m = np.sum([r.m for r in cells.mapInArrow(moments, "m array<double>").collect()], axis=0).reshape(k, k)
-    steps = Steps(1.0 / (float(np.linalg.eigvalsh(m)[-1]) + pull), pull)
+    The lifts are the least point of the convex ``sum(n * rate**2) / 2 + pull * |lift|**2 / 2 - weights @ lift``.
+    """
+    k = len(weights)
 
-    def totals(batches):
-        s = np.zeros((2, k))
-        for batch in batches:
-            if batch.num_rows:
-                p = np.array(batch.column(0).to_pylist(), float).reshape(-1, k) / PARTS
-                n = batch.column(1).to_numpy() / total
-                rate, ahead = steps.replay(p)
-                s += (rate * n) @ p, (ahead * n) @ p
-        yield pa.RecordBatch.from_arrays([pa.array(s.reshape(1, -1).tolist(), pa.list_(pa.float64()))], names=["s"])
-
-    last, t = None, 1.0
+    def at(lift):
+        """The function, its gradient and second derivative, and the totals."""
+        lifts = Lifts(lift)
+
+        def sums(batches):
+            s = np.zeros(1 + k + k * k)
+            for batch in batches:
+                if batch.num_rows:
+                    p = np.array(batch.column(0).to_pylist(), float).reshape(-1, k) / PARTS
+                    n = batch.column(1).to_numpy() / total
+                    rate, free = lifts.replay(p)
+                    s += np.concatenate([[(n * rate**2).sum() / 2], (n * rate) @ p, (p.T @ (p * (n * free)[:, None])).reshape(-1)])
+            yield pa.RecordBatch.from_arrays([pa.array(s.reshape(1, -1).tolist(), pa.list_(pa.float64()))], names=["s"])
+
+        s = np.sum([r.s for r in cells.mapInArrow(sums, "s array<double>").collect()], axis=0)
+        now = s[1 : k + 1]
+        return s[0] + pull * lift @ lift / 2 - weights @ lift, now + pull * lift - weights, s[k + 1 :].reshape(k, k) + pull * np.eye(k), now
+
+    lift = np.zeros(k) if start is None else start
+    value, slope, curve, now = at(lift)
+    step, size = np.linalg.solve(curve, -slope), 1.0
     for _ in range(MAX_STEPS):
-        now, ahead = np.sum([r.s for r in cells.mapInArrow(totals, "s array<double>").collect()], axis=0).reshape(2, k)
-        if last is not None and np.abs(now - last).max() < TOLERANCE / 10 and (np.abs(now - weights).max() < TOLERANCE or len(steps.history) > 20):
+        if np.abs(slope).max() < TOLERANCE / 100:
+            break
+        new = at(lift + size * step)
+        if new[0] <= value + 1e-4 * size * (slope @ step) + 1e-12 * (1 + abs(value)):
+            lift = lift + size * step
+            value, slope, curve, now = new
+            step, size = np.linalg.solve(curve, -slope), 1.0
+        else:
+            size /= 2
+    return Lifts(lift, now)
+
+
+def reach(cells: DataFrame, weights: np.ndarray, total: float, pull: float = PULL) -> Lifts:
+    """:func:`solve` with ever less pull until the totals are the targets; a warning names the targets that cannot be met."""
+    lifts = solve(cells, weights, total, pull)
+    while True:
+        miss = np.abs(lifts.totals - weights)
+        # A domain of which there is nothing is out of reach of any pull.
+        if miss[lifts.totals > 0].max(initial=0.0) <= TOLERANCE and (lifts.totals > 0).any() or pull <= LEAST_PULL:
             break
-        last, t_new = now, (1 + np.sqrt(1 + 4 * t * t)) / 2
-        steps.history.append((ahead - weights, (t - 1) / t_new))
-        t = t_new
-    return steps
+        pull = max(LEAST_PULL, pull / 10)
+        lifts = solve(cells, weights, total, pull, lifts.lift)
+    if miss.max() > TOLERANCE:
+        warnings.warn(f"mixing: targets {weights.round(5).tolist()} are not met, but {lifts.totals.round(5).tolist()}", stacklevel=2)
+    return lifts
 
 
 def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col="doc_id", text_col="text", tokens: float | None = None, max_labelled=MAX_LABELLED, pull=PULL, rate_col="rate") -> DataFrame:
@@ -191,7 +208,8 @@ def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
     ``labelled`` holds ``id_col`` and ``domain`` for any part of the documents; of several domains of one document the
     first in ``targets`` counts, and other domains are ignored. ``targets`` are weights (they are scaled to sum to 1)
     of the ``tokens`` wanted, by default as many as there are; a token is a white-space separated word. A domain
-    without labelled documents has posterior 0. With fewer than two labelled domains, and for a null, empty or blank
+    without labelled documents has posterior 0. Targets that no rates can meet are met as nearly as can be, with a
+    warning. With fewer than two labelled domains, and for a null, empty or blank
     text, the rate is 1. Null ids and repeated rows are rated like any others. All columns are kept; one named like
     ``rate_col`` is replaced.
     """
@@ -219,7 +237,7 @@ def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
     if total == 0:
         return docs.withColumn(rate_col, F.lit(1.0))
     wanted = np.array([targets[d] for d in domains], float)
-    steps = solve(cells, wanted / wanted.sum() * ((tokens or total) / total), float(total), pull)
+    lifts = reach(cells, wanted / wanted.sum() * ((tokens or total) / total), float(total), pull)
     discard(cells)
     out = T.StructType([*docs.schema.fields, T.StructField(rate_col, T.DoubleType())])
     at_text = docs.columns.index(text_col)
@@ -230,7 +248,7 @@ def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
             for first, codes, at, words in trigrams(batch.column(at_text)):
                 p = shared.value.posteriors(shared.value.means(codes, at)) / PARTS
                 kinds, which = np.unique(p, axis=0, return_inverse=True)
-                rates[first : first + len(p)] = np.where(words > 0, steps.replay(kinds)[0][which.reshape(-1)], 1.0)
+                rates[first : first + len(p)] = np.where(words > 0, lifts.replay(kinds)[0][which.reshape(-1)], 1.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates)], names=[*batch.schema.names, rate_col])
 
     return docs.mapInArrow(rate, out)

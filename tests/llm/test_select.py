@@ -1,6 +1,7 @@
 """Quality, mixing, packing, toxicity."""
 
 import random
+import warnings
 from collections import Counter
 
 import numpy as np
@@ -169,6 +170,24 @@ def test_projected_gradient_finds_the_constrained_minimum(spark):
     assert (got >= 0).all() and loss(got) <= loss(r) + 1e-4
 
 
+@pytest.mark.parametrize("share", [10, 2, 1])
+def test_targets_of_rare_domains_are_met(spark, share):
+    """Domains of one posterior each, the last with ``share`` thousandths of the tokens."""
+    n, want = np.array([600, 200, 200 - share, share]), np.array([0.5, 0.2, 0.2, 0.1])
+    p = np.eye(4, dtype=int) * mixing.PARTS
+    cells = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(p, n)], "p array<bigint>, n bigint")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        rate = mixing.reach(cells, want, float(n.sum())).replay(np.eye(4))[0]
+    assert np.abs(rate * n / n.sum() - want).max() <= mixing.TOLERANCE
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    cells = spark.createDataFrame([([40, 24, 0], 10), ([24, 40, 0], 30)], "p array<bigint>, n bigint")
+    with pytest.warns(UserWarning, match="not met"):
+        mixing.reach(cells, np.array([0.1, 0.9, 0.0]), 40.0)
+
+
 def test_mixing_awkward_documents(spark):
     docs = frame(spark)
     lab = docs.select("doc_id", docs.lang.alias("domain"))
