@@ -52,6 +52,12 @@ def archived(pages: DataFrame) -> DataFrame:
     return pages.select(path.alias("path"), F.encode(F.concat(head, page), "UTF-8").alias("content"))
 
 
+@query
+def op1_warc_records(spark, sf_dir):
+    """The WARC records of all pages, whole: headers and blocks."""
+    return convert(archived(_table(spark, sf_dir, "pages")))
+
+
 @query
 def op1_arc_to_warc(spark, sf_dir):
     """The WARC records of all pages, without their blocks."""
@@ -92,6 +98,7 @@ SELECT path, "offset", CASE WHEN even THEN 1 ELSE 2 END::INTEGER AS arc_version,
        http_status::INTEGER AS http_status, NULL::VARCHAR AS problem
 FROM s
 """
+ORACLE_SQL["op1_warc_records"] = ORACLE_SQL["op1_arc_to_warc"].replace("NULL::VARCHAR AS problem", "NULL::VARCHAR AS problem, encode(block) AS block")
 
 #: What crawls of these sites may keep.
 ENTRIES = [

@@ -6,7 +6,7 @@ from llm_fixtures import empty
 from test_dedup import brute_groups, normal
 
 import corpus_pipeline
-from loomtext.llm import queries
+from loomtext.llm import arc, queries
 
 
 def test_stages_in_turn(spark, sf):
@@ -55,3 +55,11 @@ def test_queries_equal_their_sql(spark, sf, name):
 
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_warc_records_hold_their_blocks(spark, sf):
+    rows = queries.QUERIES["op1_warc_records"](spark, sf).collect()
+    html = {r.url: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    assert len(rows) == 2 * spark.read.parquet(f"{sf}/pages.parquet").count()
+    assert all(len(r.block) == r.content_length and arc.digest(bytes(r.block)) == r.block_digest for r in rows)
+    assert all(bytes(r.block).endswith(html[r.target_uri].encode()) for r in rows if r.warc_type == "response")
