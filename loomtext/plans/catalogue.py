@@ -184,6 +184,13 @@ def filter_doc_only(spark, sf_dir):
     return docs.groupBy("source").agg(lookup.is_doc_only(kind).alias("doc_only"))
 
 
+@query(ORACLE_SQL["filter_doc_only"].replace(" WHERE doc_id % 5 <> 0 OR lang <> 'de'", ""))
+def filter_doc_only_all(spark, sf_dir):
+    """:func:`filter_doc_only` over all documents."""
+    kind = F.when(F.col("lang") == "en", "markdown").when(F.col("lang") == "fr", "").otherwise(F.col("lang"))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(lookup.is_doc_only(kind).alias("doc_only"))
+
+
 _RULES = {"": ["**/*1", "# note", "Never", "/m.*"], "blog.tionble.example.com": ["de/", "!/de/*1"], "tionsh.example.net": ["fr", "*7"]}
 
 
@@ -292,6 +299,16 @@ def slugify(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.substring("text", 1, 60).alias("t")).where(F.col("t").rlike(r"^[\x00-\x7F]*$")).select("doc_id", T.ascii_slug(F.col("t")).alias("slug"))
 
 
+@query()
+def slugify_all(spark, sf_dir):
+    """Anchors of whole texts in all languages: in Spark for ASCII, by Unicode decomposition for the rest."""
+    from loomtext.functions import markdown
+
+    docs = table(spark, sf_dir, "documents").withColumn("ascii", F.col("text").rlike(r"^[\x00-\x7F]*\z"))
+    plain = docs.where("ascii").select("doc_id", T.ascii_slug(F.col("text")).alias("slug"))
+    return plain.unionByName(docs.where("NOT coalesce(ascii, false)").select("doc_id", markdown.slugs(F.col("text")).alias("slug")))
+
+
 @query(r"""SELECT doc_id, coalesce(CASE WHEN len(s) >= 2 THEN trim(list_filter(s, lambda x: trim(x) <> '')[1]) END, trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]), text) AS sentence FROM (SELECT doc_id, text, regexp_split_to_array(text, '[.!?]+') AS s FROM documents)""")
 def first_sentence(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.first_sentence(F.col("text")).alias("sentence"))
@@ -328,6 +345,13 @@ def block_comment_clean(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.clean_block_comment(starred).alias("bare"))
 
 
+@query(ORACLE_SQL["block_comment_clean"].replace("substr(text, 1, 400)", "text"))
+def block_comment_clean_all(spark, sf_dir):
+    """:func:`block_comment_clean` over whole texts."""
+    starred = F.replace(F.col("text"), F.lit(" the "), F.lit("\n ** "))
+    return table(spark, sf_dir, "documents").select("doc_id", T.clean_block_comment(starred).alias("bare"))
+
+
 def outlined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as outlines: every line is a heading whose level comes from its length, or text."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
@@ -543,10 +567,10 @@ def code_budget(spark, sf_dir):
 
 @query()
 def code_literals(spark, sf_dir):
-    """Documents' first words as string lists, trimmed to twelve tokens."""
+    """All words of the documents as string lists, trimmed to twelve tokens."""
     from loomtext.operators.code import frames
 
-    words = F.slice(F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " +"), 1, 40)
+    words = F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " +")
     text = F.concat(F.lit("X = ["), F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), w, F.lit('"'))), ", "), F.lit("]\n"))
     files = table(spark, sf_dir, "documents").select(F.concat("doc_id", F.lit(".py")).alias("rel_path"), text.alias("text"), F.lit("python").alias("adapter"), F.lit("x").alias("label"), F.lit('{"literals": {"max_tokens": 12}}').alias("options"))
     return frames.processed_files(files).select("rel_path", "processed_text")
@@ -555,24 +579,34 @@ def code_literals(spark, sf_dir):
 @query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'yes' ELSE 'no' || chr(10) END || substr(text, 1, 20) AS text FROM documents")
 def md_templating(spark, sf_dir):
     """Directives inside documents."""
+    return _templated(table(spark, sf_dir, "documents"), F.substring("text", 1, 20))
+
+
+@query(ORACLE_SQL["md_templating"].replace("substr(text, 1, 20)", "text"))
+def md_templating_all(spark, sf_dir):
+    """:func:`md_templating` with whole texts."""
+    return _templated(table(spark, sf_dir, "documents"), F.col("text"))
+
+
+def _templated(docs: DataFrame, text) -> DataFrame:
     from loomtext.functions import markdown
 
-    said = F.concat(F.lit("<!-- doc:comment:start -->gone<!-- doc:comment:end --><!-- doc:if tag:"), F.col("lang"), F.lit(" -->yes<!-- doc:else -->no\n<!-- doc:endif -->"), F.substring("text", 1, 20))
+    said = F.concat(F.lit("<!-- doc:comment:start -->gone<!-- doc:comment:end --><!-- doc:if tag:"), F.col("lang"), F.lit(" -->yes<!-- doc:else -->no\n<!-- doc:endif -->"), text)
     ctx = conditions.bound(conditions.Context({"en"}))
 
     @F.pandas_udf("string")
     def run(texts):
         return texts.map(lambda t: markdown.directives(t, ctx)[0])
 
-    return table(spark, sf_dir, "documents").select("doc_id", run(said).alias("text"))
+    return docs.select("doc_id", run(said).alias("text"))
 
 
 @query()
 def slugs(spark, sf_dir):
-    """Anchors of titles in all languages, by Unicode decomposition."""
+    """Anchors of whole texts in all languages, by Unicode decomposition."""
     from loomtext.functions import markdown
 
-    return table(spark, sf_dir, "documents").select("doc_id", markdown.slugs(F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", markdown.slugs(F.col("text")).alias("slug"))
 
 
 @query("SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS DISTINCT FROM role GROUP BY conv_id")
@@ -606,6 +640,13 @@ def common_prefix(spark, sf_dir):
     return lookup.common_directory(d)
 
 
+@query()
+def common_prefix_all(spark, sf_dir):
+    """:func:`common_prefix` of the documents of all sources."""
+    d = table(spark, sf_dir, "documents").select(F.concat_ws("/", F.lit("tree/all"), "source", F.col("doc_id").cast("string")).alias("rel_path"))
+    return lookup.common_directory(d)
+
+
 @query("SELECT event_id, a FROM (SELECT e.event_id, u.a FROM (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS a FROM events) e JOIN (SELECT user_id, min(floor(epoch(ts))::BIGINT) AS a, max(floor(epoch(ts))::BIGINT) AS b FROM events WHERE event_type = 'purchase' GROUP BY user_id) u ON e.user_id = u.user_id AND e.a >= u.a AND e.a < u.b)")
 def range_membership(spark, sf_dir):
     """Events between a user's first and last purchase, by a sweep over both."""

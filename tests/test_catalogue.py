@@ -1,7 +1,12 @@
+import os
+import re
+
 import oracle
 import pytest
 
 import __spark_entry__ as entry
+from loomtext.functions import markdown
+from loomtext.operators.code import frames
 from loomtext.plans import catalogue
 
 
@@ -21,3 +26,24 @@ def test_entry(spark):
 
 def test_registered_names():
     assert set(catalogue.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_whole_texts_without_sql_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    text = {r.doc_id: r.text for r in docs}
+    want = {i: markdown.slug(t) for i, t in text.items()}
+    for name in ("slugs", "slugify_all"):
+        assert {r.doc_id: r.slug for r in catalogue.QUERIES[name](spark, sf).collect()} == want
+    paths = [f"tree/all/{r.source}/{r.doc_id}" for r in docs]
+    assert [r.prefix for r in catalogue.QUERIES["common_prefix_all"](spark, sf).collect()] == [os.path.commonpath(paths)]
+
+
+def test_literals_are_made_of_all_words(spark, sf, monkeypatch):
+    seen = []
+    made = frames.processed_files
+    monkeypatch.setattr(frames, "processed_files", lambda files: seen.append(files) or made(files))
+    catalogue.QUERIES["code_literals"](spark, sf)
+    lists = {r.rel_path: r.text for r in seen[0].collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        words = re.split(" +", re.sub("[^A-Za-z ]", "", r.text))
+        assert lists[f"{r.doc_id}.py"] == "X = [" + ", ".join(f'"{w}"' for w in words) + "]\n"
