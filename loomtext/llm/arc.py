@@ -8,6 +8,7 @@ synthesised identifier, ISO timestamp, type and digests.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import re
 import uuid
@@ -28,19 +29,59 @@ FIELDS = [
 ]
 
 
-def unzipped(content: bytes) -> bytes:
-    """The bytes of all gzip members one after another; bytes that aren't gzip stay as they are, and a broken end is left out."""
+def unzipped(content: bytes) -> tuple[bytes, list[tuple[int, bytes]]]:
+    """The bytes of all gzip members one after another, and what could not be inflated with the places where it is missing.
+
+    Content that isn't gzip stays as it is. Of a damaged member what inflates is kept (its last bytes may be wrong), a
+    line feed ends it, and reading goes on at the next member that inflates; so it does past bytes between members.
+    """
     if content[:2] != b"\x1f\x8b":
-        return content
-    out = []
-    while content[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
+        return content, []
+    out, size, damaged, at = [], 0, [], 0
+    while at < len(content):
+        part, end, whole = _member(content, at) if content[at : at + 2] == b"\x1f\x8b" else (b"", at, False)
+        out.append(part)
+        size += len(part)
+        if not whole:
+            end = at + 1
+            while (end := content.find(b"\x1f\x8b\x08", end)) >= 0 and not _begins(content, end):
+                end += 1
+            end = end if end >= 0 else len(content)
+            damaged.append((size, content[at:end]))
+            out.append(b"\n")
+            size += 1
+        at = end
+        while content[at : at + 1] == b"\0":
+            at += 1
+    return b"".join(out), damaged
+
+
+def _begins(content: bytes, at: int) -> bool:
+    """Whether a gzip member begins here, by its first bytes."""
+    try:
+        return bool(zlib.decompressobj(31).decompress(content[at : at + 4096], 64))
+    except zlib.error:
+        return False
+
+
+def _member(content: bytes, at: int) -> tuple[bytes, int, bool]:
+    """What a member's bytes inflate to, where it ends, and whether it is whole."""
+    member = zlib.decompressobj(31)
+    try:
+        part = member.decompress(content[at:] if at else content)
+        return part, len(content) - len(member.unused_data), member.eof
+    except zlib.error:
+        pass
+    member, out, step = zlib.decompressobj(31), [], 1 << 14
+    while True:
+        before = member.copy()
         try:
-            out.append(member.decompress(content))
+            out.append(member.decompress(content[at : at + step]))
+            at += step
         except zlib.error:
-            break
-        content = member.unused_data.lstrip(b"\0")
-    return b"".join(out)
+            if step == 1:
+                return b"".join(out), at, False
+            member, step = before, 1
 
 
 def iso_date(date: str) -> str | None:
@@ -69,10 +110,17 @@ def records(source: str, content: bytes) -> Iterator[tuple]:
 
     ``problem`` is null for a sound record. Otherwise it says what is wrong: ``truncated`` (the file ends before the
     declared length), ``length`` (after the declared length no record begins; reading goes on at the next line that
-    looks like a header, and the block extends to it), ``date`` (no timestamp could be made), or ``no header`` (bytes
-    that belong to no record, with a null type).
+    looks like a header, and the block extends to it), ``date`` (no timestamp could be made), ``no header`` (bytes
+    that belong to no record, with a null type), or ``gzip`` (bytes of the file that did not inflate, with a null type
+    and the place where they are missing; these rows come last). A record that such bytes cut short is ``truncated``.
     """
-    data = unzipped(content)
+    data, damaged = unzipped(content)
+    yield from _records(source, data, [place for place, _ in damaged])
+    for place, lost in damaged:
+        yield (place, None, None, None, None, None, None, None, len(lost), digest(lost), None, None, "gzip", lost)
+
+
+def _records(source: str, data: bytes, cuts: list[int]) -> Iterator[tuple]:
     at, version, fields = 0, None, None
     while True:
         while at < len(data) and data[at : at + 1] in (b"\n", b"\r"):
@@ -102,10 +150,14 @@ def records(source: str, content: bytes) -> Iterator[tuple]:
         said = dict(zip(names, [*parts[:k], " ".join(parts[k : len(parts) - after]), *parts[len(parts) - after :]], strict=True))
         length, problem = int(said["length"]), None
         stop = body + length
-        if stop > len(data):
+        nth = bisect.bisect_left(cuts, body)
+        cut_short = nth < len(cuts) and cuts[nth] < stop
+        if cut_short:
+            stop, problem = cuts[nth], "truncated"
+        elif stop > len(data):
             stop, problem = len(data), "truncated"
         tail = data[stop : stop + 2].lstrip(b"\r\n")
-        if problem or (tail and not _HEADER.match(data, stop + (len(data[stop : stop + 2]) - len(tail)))):
+        if not cut_short and (problem or (tail and not _HEADER.match(data, stop + (len(data[stop : stop + 2]) - len(tail))))):
             nxt = _HEADER.search(data, body)
             if nxt and problem:
                 stop, problem = nxt.start() - 1, "length"

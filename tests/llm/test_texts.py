@@ -84,6 +84,31 @@ def test_any_bytes_round_trip(seed):
         assert b"Content-Length: %d" % len(r["block"]) in head
 
 
+@pytest.mark.parametrize("damage", ["body", "trailer", "between", "same length"])
+def test_records_after_a_damaged_member_are_kept(damage):
+    rng = random.Random(4)
+    page = PAGE + bytes(rng.choice(b"abcdefgh \n") for _ in range(60_000))
+    parts = [archive(1), record(1, b"http://a.b/", page), record(1, b"http://c.d/", PAGE), record(1, b"http://e.f/", b"x" * 900)]
+    want = table(arc.records("f", b"".join(parts)))
+    zipped = [gzip.compress(x, mtime=0) for x in parts]
+    if damage in ("body", "same length"):
+        half = len(zipped[1]) // 2
+        zipped[1] = zipped[1][:half] + b"\xff" * 40 + zipped[1][half + 40 :] if damage == "body" else zipped[1][:half]
+    elif damage == "trailer":
+        zipped[1] = zipped[1][:-8] + bytes(8)
+    else:
+        zipped[1] += b"not gzip"
+    rows = table(arc.records("f", b"".join(zipped)))
+    lost = [r for r in rows if r["problem"] == "gzip"]
+    assert len(lost) == 1 and lost[0]["warc_type"] is None and lost[0]["content_length"] == len(lost[0]["block"])
+    rows = [r for r in rows if r["problem"] != "gzip"]
+    assert [r["target_uri"] for r in rows] == [r["target_uri"] for r in want]
+    assert [(r["block"], r["problem"]) for r in rows[2:]] == [(r["block"], None) for r in want[2:]]
+    whole = damage in ("trailer", "between")
+    assert rows[1]["problem"] in ((None,) if whole else ("truncated", "length"))
+    assert rows[1]["block"] == page if whole else rows[1]["block"][:1000] == page[:1000]
+
+
 def test_convert_files(spark):
     data = archive(1, record(1, b"http://a.b/", PAGE))
     files = spark.createDataFrame([("a", data, 1), ("b", None, 2), ("c", b"", 3), (None, data, 4), ("a", data, 5), ("z", b"junk", None)], "path string, content binary, offset int")
