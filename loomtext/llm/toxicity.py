@@ -147,13 +147,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     drift = DRIFT + max(0.0, other, float(clean @ scores / clean.sum()))
     model = Model(vocabulary, scores - drift, other - drift)
     held = text.join(F.broadcast(ids.where("y = 0 AND held").select("id")), "id")
-    found = _scan(held.select(F.col("id"), "text"), spark.sparkContext.broadcast(model), None).select("score", "words").collect()
+    found = _scan(held.select(F.col("id"), "text"), spark.sparkContext.broadcast(model), None).select(F.explode("passages.score").alias("score")).toArrow().column("score").to_numpy()
     length = _lengths(held)
     # Peaks over a floor: the clean segments' excess gives the rate of decay, which words that are toxic by chance make
     # slower than the theory's, and their number the scale. The theory's own rate counts as one more observation.
-    floor = float(np.quantile([r.score for r in found], TAIL)) if found else 0.0
-    excess = [r.score - floor for r in found if r.score >= floor]
-    decay = min(model.decay, (len(excess) + 1) / (sum(excess) + 1 / model.decay))
+    floor = float(np.quantile(found, TAIL)) if len(found) else 0.0
+    excess = np.sort(found[found >= floor] - floor)
+    decay = min(model.decay, (len(excess) + 1) / (float(excess.sum()) + 1 / model.decay))
     return Model(model.hashes, model.scores, model.other, decay, (len(excess) + 1) / max(1, length) * float(np.exp(decay * floor)))
 
 
@@ -168,7 +168,7 @@ def _lengths(held: DataFrame) -> int:
 
 
 def _scan(texts: DataFrame, shared, alpha: float | None) -> DataFrame:
-    """``id, score, words, p_value, passages`` of the texts ``(id, text)`` that have a scoring segment, or one significant at ``alpha``."""
+    """``id, score, words, p_value, passages`` of the texts ``(id, text)`` that have a scoring segment, or one significant at ``alpha``; without ``alpha`` passages are all segments, without their text."""
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -191,7 +191,9 @@ def _scan(texts: DataFrame, shared, alpha: float | None) -> DataFrame:
                     if alpha is not None and p > alpha:
                         continue
                     shown = []
-                    if alpha is not None:
+                    if alpha is None:
+                        shown = [{"score": s, "text": None} for _, _, s in found]
+                    else:
                         lowered = None
                         for a, b, s in found:
                             if -np.expm1(-m.expected(s, n)) <= alpha:

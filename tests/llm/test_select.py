@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from llm_fixtures import awkward, empty, frame, sentence
 
-from loomtext.llm import mixing, packing, quality, toxicity
+from loomtext.llm import arrow_text, mixing, packing, quality, toxicity
 from loomtext.llm.storage import fresh
 
 
@@ -292,6 +292,15 @@ def test_toxic_text_is_found_in_a_corpus_that_is_nearly_clean(spark):
     assert {0, 1000, 2000, 3000} <= out and len(out) <= 4 + 0.005 * len(rare)
 
 
+def test_calibration_counts_every_segment(spark):
+    """Two long runs of neutral words keep three toxic words apart."""
+    word = np.array([arrow_text.word_hash("vile")], np.uint64)
+    model = toxicity.Model(word, np.array([2.0]), -1.0)
+    texts = spark.createDataFrame([(1, "vile " + "a b c d " * 5 + "vile " + "a b c d " * 5 + "vile")], "id bigint, text string")
+    (row,) = toxicity._scan(texts, spark.sparkContext.broadcast(model), None).collect()
+    assert [p.score for p in row.passages] == [2.0, 2.0, 2.0]
+
+
 def test_shrunken_log_odds():
     toxic, clean = np.array([9, 3, 1, 0, 1, 20] + [1] * 40 + [0] * 360, float), np.array([0, 0, 0, 1, 9, 180] + [0] * 40 + [1] * 360, float)
     score, other = toxicity.log_odds(toxic, clean)
