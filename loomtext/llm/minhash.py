@@ -152,9 +152,10 @@ def near_duplicates(
     sig = written(signatures(docs, id_col, text_col, width, bands, rows, universe, seed), "signatures")
     # Equal sets need no comparison: one of each goes on.
     equal = Window.partitionBy("hi", "lo", "n")
-    same = sig.select("id", "hi", "lo", "n").withColumn("rep", F.min("id").over(equal)).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+    same = sig.select("id", "hi", "lo", "n").withColumn("rep", F.min("id").over(equal)).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), "hi", "lo", "n").distinct()
     same = written(same, "same")
-    reps = sig.join(same.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+    # Only the text that equals another goes: an id's other texts keep their bands.
+    reps = sig.join(same.select(F.col("b").alias("id"), "hi", "lo", "n"), ["id", "hi", "lo", "n"], "left_anti")
     bucket = Window.partitionBy("bucket")
     members = (
         reps.select("id", F.explode("bands").alias("bucket"))
@@ -180,7 +181,7 @@ def near_duplicates(
     )
     more = written(verified(written(across, "across"), sets, threshold), "edges")
     discard(sets)
-    found = connected(edges.unionByName(more).unionByName(same))
+    found = connected(edges.unionByName(more).unionByName(same.select("a", "b")))
     return found.where("node != root").select(F.col("node").alias(id_col), F.col("root").alias(f"keep_{id_col}"))
 
 

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 from itertools import combinations
@@ -5,7 +6,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
-from llm_fixtures import awkward, empty, frame
+from llm_fixtures import awkward, edited, empty, frame, sentence
 
 from loomtext.llm import arrow_text, minhash
 from loomtext.llm.components import connected
@@ -146,3 +147,10 @@ def test_group_sizes(spark):
     for r in near_duplicates(frame(spark)).collect():
         groups[r.keep_doc_id].add(r.doc_id)
     assert groups[0] >= {25, 26, 27, 28}
+
+
+def test_other_texts_of_an_id_whose_text_is_repeated_keep_their_neighbours(spark):
+    rng = random.Random(12)
+    one, two = sentence(rng, 80), sentence(rng, 80)
+    docs = frame(spark, [(i, t, "en", "s", 1) for i, t in ((1, one), (2, one), (2, two), (3, edited(rng, two, 0.02)))])
+    assert {(r.doc_id, r.keep_doc_id) for r in minhash.near_duplicates(docs).collect()} == {(2, 1), (3, 1)}
