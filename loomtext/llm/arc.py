@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import calendar
 import hashlib
 import re
 import uuid
@@ -29,16 +30,17 @@ FIELDS = [
 ]
 
 
-def unzipped(content: bytes) -> tuple[bytes, list[tuple[int, bytes]]]:
-    """The bytes of all gzip members one after another, and what could not be inflated with the places where it is missing.
+def unzipped(content: bytes) -> tuple[bytes, list[tuple[int, bytes]], set[int]]:
+    """The bytes of all gzip members one after another, what could not be inflated with the places where it is missing, and where members begin.
 
     Content that isn't gzip stays as it is. Of a damaged member what inflates is kept (its last bytes may be wrong), a
     line feed ends it, and reading goes on at the next member that inflates; so it does past bytes between members.
     """
     if content[:2] != b"\x1f\x8b":
-        return content, []
-    out, size, damaged, at = [], 0, [], 0
+        return content, [], set()
+    out, size, damaged, begun, at = [], 0, [], set(), 0
     while at < len(content):
+        begun.add(size)
         part, end, whole = _member(content, at) if content[at : at + 2] == b"\x1f\x8b" else (b"", at, False)
         out.append(part)
         size += len(part)
@@ -53,7 +55,7 @@ def unzipped(content: bytes) -> tuple[bytes, list[tuple[int, bytes]]]:
         at = end
         while content[at : at + 1] == b"\0":
             at += 1
-    return b"".join(out), damaged
+    return b"".join(out), damaged, begun
 
 
 def _begins(content: bytes, at: int) -> bool:
@@ -85,12 +87,12 @@ def _member(content: bytes, at: int) -> tuple[bytes, int, bool]:
 
 
 def iso_date(date: str) -> str | None:
-    """14 digits, or fewer with the rest of the time at zero, as WARC wants them; None for anything else."""
-    if not re.fullmatch(r"\d{8}(\d\d){0,3}", date):
+    """14 digits, or fewer with the rest of the time at zero, as WARC wants them; None for anything else, such as days that no calendar has."""
+    if not re.fullmatch(r"[0-9]{8}([0-9]{2}){0,3}", date):
         return None
     d = date.ljust(14, "0")
     year, month, day, hour, minute, second = (int(d[a:b]) for a, b in ((0, 4), (4, 6), (6, 8), (8, 10), (10, 12), (12, 14)))
-    if not (1 <= month <= 12 and 1 <= day <= 31 and hour < 24 and minute < 60 and second < 61):
+    if not (year and 1 <= month <= 12 and 1 <= day <= calendar.monthrange(year, month)[1] and hour < 24 and minute < 60 and second < 61):
         return None
     return f"{year:04}-{month:02}-{day:02}T{hour:02}:{minute:02}:{second:02}Z"
 
@@ -110,18 +112,19 @@ def records(source: str, content: bytes) -> Iterator[tuple]:
 
     ``problem`` is null for a sound record. Otherwise it says what is wrong: ``truncated`` (the file ends before the
     declared length), ``length`` (after the declared length no record begins; reading goes on at the next line that
-    looks like a header, and the block extends to it), ``date`` (no timestamp could be made), ``no header`` (bytes
+    looks like a header, and the block extends to it), ``date`` (no timestamp could be made: the
+    record has that of the file's opening, or none), ``no header`` (bytes
     that belong to no record, with a null type), or ``gzip`` (bytes of the file that did not inflate, with a null type
     and the place where they are missing; these rows come last). A record that such bytes cut short is ``truncated``.
     """
-    data, damaged = unzipped(content)
-    yield from _records(source, data, [place for place, _ in damaged])
+    data, damaged, begun = unzipped(content)
+    yield from _records(source, data, [place for place, _ in damaged], begun)
     for place, lost in damaged:
         yield (place, None, None, None, None, None, None, None, len(lost), digest(lost), None, None, "gzip", lost)
 
 
-def _records(source: str, data: bytes, cuts: list[int]) -> Iterator[tuple]:
-    at, version, fields = 0, None, None
+def _records(source: str, data: bytes, cuts: list[int], begun: set[int]) -> Iterator[tuple]:
+    at, version, fields, opened = 0, None, None, None
     while True:
         while at < len(data) and data[at : at + 1] in (b"\n", b"\r"):
             at += 1
@@ -134,11 +137,10 @@ def _records(source: str, data: bytes, cuts: list[int]) -> Iterator[tuple]:
         body = len(line) + at + (2 if data[at + len(line) : at + len(line) + 1] == b"\r" else 1)
         if first:
             # Its own body names the version and the fields of the records that follow.
-            about = data[body : body + 4096].split(b"\n", 2)
-            version = 2 if about[0].split(b" ")[0] == b"2" else 1
+            version = 2 if data[body : body + 2] in (b"2 ", b"2\n", b"2\r") else 1
             fields = V2 if version == 2 else V1
         names = (V2 if len(parts) >= len(V2) else V1) if first or fields is None else fields
-        sound = len(parts) >= len(names) and parts[-1].isdigit() and re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", parts[0])
+        sound = len(parts) >= len(names) and re.fullmatch(r"[0-9]{1,18}", parts[-1]) and re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", parts[0])
         if not sound:
             nxt = _HEADER.search(data, body)
             stop = nxt.start() if nxt else len(data)
@@ -157,7 +159,9 @@ def _records(source: str, data: bytes, cuts: list[int]) -> Iterator[tuple]:
         elif stop > len(data):
             stop, problem = len(data), "truncated"
         tail = data[stop : stop + 2].lstrip(b"\r\n")
-        if not cut_short and (problem or (tail and not _HEADER.match(data, stop + (len(data[stop : stop + 2]) - len(tail))))):
+        # Where a gzip member ends a record may end, whatever follows.
+        ends = not begun.isdisjoint(range(stop, stop + 3 - len(tail)))
+        if not cut_short and (problem or (tail and not ends and not _HEADER.match(data, stop + (len(data[stop : stop + 2]) - len(tail))))):
             nxt = _HEADER.search(data, body)
             if nxt and problem:
                 stop, problem = nxt.start() - 1, "length"
@@ -166,9 +170,12 @@ def _records(source: str, data: bytes, cuts: list[int]) -> Iterator[tuple]:
         block = data[body : max(body, stop)]
         date = iso_date(said["date"])
         problem = problem or (None if date else "date")
+        if first:
+            opened = date
+        date = date or opened
         url, status, payload = said["url"], None, None
         if first:
-            kind, mime = "warcinfo", "application/warc-fields"
+            kind, mime = "warcinfo", said["type"] if said["type"] not in ("", "-", "no-type") else "text/plain"  # the block keeps ARC's own syntax
         elif block.startswith(b"HTTP/") and re.match("https?:", url, re.IGNORECASE):
             kind, mime = "response", "application/http; msgtype=response"
             head = re.match(rb"HTTP/\S+ +(\d{3})", block)
@@ -185,11 +192,11 @@ def _records(source: str, data: bytes, cuts: list[int]) -> Iterator[tuple]:
 
 
 def warc_bytes(record: dict) -> bytes:
-    """The record as it stands in a WARC file, from a row of :func:`convert`; a row without a type gives nothing."""
+    """The record as it stands in a WARC file, from a row of :func:`convert`; a row without a type gives nothing, and one without a date no date."""
     if record["warc_type"] is None:
         return b""
-    lines = ["WARC/1.0", f"WARC-Type: {record['warc_type']}", f"WARC-Record-ID: {record['warc_record_id']}", f"WARC-Date: {record['warc_date'] or '1970-01-01T00:00:00Z'}"]
-    for name, key in (("WARC-Target-URI", "target_uri"), ("WARC-IP-Address", "ip_address"), ("WARC-Block-Digest", "block_digest"), ("WARC-Payload-Digest", "payload_digest"), ("Content-Type", "content_type")):
+    lines = ["WARC/1.0", f"WARC-Type: {record['warc_type']}", f"WARC-Record-ID: {record['warc_record_id']}"]
+    for name, key in (("WARC-Date", "warc_date"), ("WARC-Target-URI", "target_uri"), ("WARC-IP-Address", "ip_address"), ("WARC-Block-Digest", "block_digest"), ("WARC-Payload-Digest", "payload_digest"), ("Content-Type", "content_type")):
         if record[key] is not None:
             lines.append(f"{name}: {record[key]}")
     lines.append(f"Content-Length: {record['content_length']}")

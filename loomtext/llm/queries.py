@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,32 +38,40 @@ _ABOUT = {
     2: "2 0 pages\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n\n",
 }
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+#: Pages in an archive, by their ids.
+PER_FILE = 16
 
 
 def archived(pages: DataFrame) -> DataFrame:
-    """Each page as an ARC file ``(path, content)``: of version 1 for even ids and of version 2 for odd ones."""
-    even = F.col("page_id") % 2 == 0
-    path = F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".arc"))
-    date = F.concat(F.lit("200102"), F.lpad((F.pmod("page_id", F.lit(28)) + 1).cast("string"), 2, "0"), F.lit("120000"))
+    """All pages in ARC files ``(path, content)`` of :data:`PER_FILE`: versions 1 and 2 in turn, and half of each gzipped by record."""
+    file = F.floor(F.col("page_id") / PER_FILE).cast("bigint")
+    even = file % 2 == 0
+    path = F.concat(F.lit("pages-"), file.cast("string"), F.lit(".arc"))
+    date = F.concat(F.lit("200102"), F.lpad((F.pmod(file, F.lit(28)) + 1).cast("string"), 2, "0"), F.lit("120000"))
     about = F.when(even, F.lit(_ABOUT[1])).otherwise(F.lit(_ABOUT[2]))
     block = F.concat(F.lit(_HTTP), F.col("html"))
     size = lambda x: F.octet_length(x).cast("string")
     more = lambda result, check: F.when(even, F.lit(" ")).otherwise(F.concat(F.lit(f" {result} "), check, F.lit(" - 0 "), path, F.lit(" ")))
     head = F.concat(F.lit("filedesc://"), path, F.lit(" 0.0.0.0 "), date, F.lit(" text/plain"), more(200, F.lit("-")), size(about), F.lit("\n"), about, F.lit("\n"))
     page = F.concat(F.col("url"), F.lit(" 192.0.2.1 "), date, F.lit(" text/html"), more(200, F.md5("html")), size(block), F.lit("\n"), block, F.lit("\n"))
-    return pages.select(path.alias("path"), F.encode(F.concat(head, page), "UTF-8").alias("content"))
+    each = pages.select(file.alias("file"), path.alias("path"), head.alias("head"), F.struct("page_id", F.encode(page, "UTF-8").alias("page")).alias("page"))
+    files = each.groupBy("file", "path").agg(F.encode(F.any_value("head"), "UTF-8").alias("head"), F.array_sort(F.collect_list("page")).alias("pages"))
 
+    def joined(batches):
+        for batch in batches:
+            out = []
+            for file_, head_, pages_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                members = [head_, *[p["page"] for p in pages_]]
+                out.append(b"".join(gzip.compress(m, 1, mtime=0) for m in members) if file_ // 2 % 2 else b"".join(members))
+            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(out, pa.binary())], names=["path", "content"])
 
-@query
-def op1_warc_records(spark, sf_dir):
-    """The WARC records of all pages, whole: headers and blocks."""
-    return convert(archived(_table(spark, sf_dir, "pages")))
+    return files.select("file", "head", "pages", "path").mapInArrow(joined, "path string, content binary")
 
 
 @query
 def op1_arc_to_warc(spark, sf_dir):
-    """The WARC records of all pages, without their blocks."""
-    return convert(archived(_table(spark, sf_dir, "pages")), blocks=False).drop("block")
+    """The WARC records of all pages, with their blocks."""
+    return convert(archived(_table(spark, sf_dir, "pages")))
 
 
 def _chr(text: str) -> str:
@@ -75,18 +85,20 @@ def _base32(text: str) -> str:
 
 ORACLE_SQL["op1_arc_to_warc"] = f"""
 WITH p AS (
-  SELECT page_id, url, html, page_id % 2 = 0 AS even, 'page-' || page_id || '.arc' AS path,
-         '200102' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') || '120000' AS date,
-         CASE WHEN page_id % 2 = 0 THEN {_chr(_ABOUT[1])} ELSE {_chr(_ABOUT[2])} END AS about,
+  SELECT page_id, url, html, page_id // {PER_FILE} AS file, page_id // {PER_FILE} % 2 = 0 AS even, 'pages-' || page_id // {PER_FILE} || '.arc' AS path,
+         '200102' || lpad(CAST(page_id // {PER_FILE} % 28 + 1 AS VARCHAR), 2, '0') || '120000' AS date,
          {_chr(_HTTP)} || html AS page
   FROM pages
 ), q AS (
-  SELECT *, strlen('filedesc://' || path || ' 0.0.0.0 ' || date || ' text/plain' || CASE WHEN even THEN ' ' ELSE ' 200 - - 0 ' || path || ' ' END || strlen(about)) + 1 + strlen(about) + 1 AS here
+  SELECT *, strlen(url || ' 192.0.2.1 ' || date || ' text/html' || CASE WHEN even THEN ' ' ELSE ' 200 ' || md5(html) || ' - 0 ' || path || ' ' END || strlen(page)) + 1 + strlen(page) + 1 AS taken,
+         CASE WHEN even THEN {_chr(_ABOUT[1])} ELSE {_chr(_ABOUT[2])} END AS about
   FROM p
+), f AS (
+  SELECT DISTINCT file, path, even, date, about, strlen('filedesc://' || path || ' 0.0.0.0 ' || date || ' text/plain' || CASE WHEN even THEN ' ' ELSE ' 200 - - 0 ' || path || ' ' END || strlen(about)) + 1 + strlen(about) + 1 AS opening FROM q
 ), r AS (
-  SELECT path, 0::BIGINT AS "offset", even, 'warcinfo' AS warc_type, 'filedesc://' || path AS name, date, NULL AS target_uri, NULL AS ip_address, 'application/warc-fields' AS content_type, about AS block, NULL AS html, NULL AS http_status FROM q
+  SELECT path, 0::BIGINT AS "offset", even, 'warcinfo' AS warc_type, 'filedesc://' || path AS name, date, NULL AS target_uri, NULL AS ip_address, 'text/plain' AS content_type, about AS block, NULL AS html, NULL AS http_status FROM f
   UNION ALL
-  SELECT path, here, even, 'response', url, date, url, '192.0.2.1', 'application/http; msgtype=response', page, html, 200 FROM q
+  SELECT q.path, (f.opening + sum(taken) OVER (PARTITION BY file ORDER BY page_id) - taken)::BIGINT, q.even, 'response', url, q.date, url, '192.0.2.1', 'application/http; msgtype=response', page, html, 200 FROM q JOIN f USING (file)
 ), s AS (
   SELECT *, sha1(path || chr(10) || "offset" || chr(10) || name || chr(10) || date) AS h FROM r
 )
@@ -95,10 +107,9 @@ SELECT path, "offset", CASE WHEN even THEN 1 ELSE 2 END::INTEGER AS arc_version,
        substr(date, 1, 4) || '-' || substr(date, 5, 2) || '-' || substr(date, 7, 2) || 'T12:00:00Z' AS warc_date,
        CAST(target_uri AS VARCHAR) AS target_uri, CAST(ip_address AS VARCHAR) AS ip_address, content_type, strlen(block)::BIGINT AS content_length,
        {_base32("block")} AS block_digest, CASE WHEN html IS NOT NULL THEN {_base32("html")} END AS payload_digest,
-       http_status::INTEGER AS http_status, NULL::VARCHAR AS problem
+       http_status::INTEGER AS http_status, NULL::VARCHAR AS problem, encode(block) AS block
 FROM s
 """
-ORACLE_SQL["op1_warc_records"] = ORACLE_SQL["op1_arc_to_warc"].replace("NULL::VARCHAR AS problem", "NULL::VARCHAR AS problem, encode(block) AS block")
 
 #: What crawls of these sites may keep.
 ENTRIES = [

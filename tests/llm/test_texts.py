@@ -66,7 +66,7 @@ def test_wrong_lengths_are_reported_and_reading_goes_on():
     rows = table(arc.records("f", archive(1, good, b"garbage\n", good)))
     assert [r["problem"] for r in rows] == [None, "length", None]
     rows = table(arc.records("f", archive(1, record(1, b"http://a.b/", PAGE, date=b"20019903040506"))))
-    assert rows[1]["problem"] == "date" and rows[1]["warc_date"] is None
+    assert rows[1]["problem"] == "date" and rows[1]["warc_date"] == "2001-01-01T00:00:00Z"
     rows = table(arc.records("f", archive(1, record(1, b"http://a.b/", PAGE, mime=b"text/html; charset=utf-8"))))
     assert rows[1]["problem"] is None and rows[1]["block"] == PAGE
 
@@ -109,6 +109,34 @@ def test_records_after_a_damaged_member_are_kept(damage):
     assert rows[1]["block"] == page if whole else rows[1]["block"][:1000] == page[:1000]
 
 
+def test_dates_are_those_of_a_calendar():
+    assert arc.iso_date("20000229") == "2000-02-29T00:00:00Z"
+    assert [arc.iso_date(d) for d in ("20010229", "20010431", "2001013", "00000101", "²0010101", "20010101250000")] == [None] * 6
+
+
+def test_odd_digits_are_no_length():
+    odd = "http://a.b/ 1.2.3.4 20010203040506 text/html ²\n".encode()
+    rows = table(arc.records("f", archive(1, odd, record(1, b"http://c.d/", b"x"))))
+    assert [(r["target_uri"], r["problem"]) for r in rows] == [(None, None), (None, "no header"), ("http://c.d/", None)] or rows[0]["problem"] == "length" and rows[-1]["target_uri"] == "http://c.d/"
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_a_flipped_byte_costs_one_member_at_most(seed):
+    """Whatever byte of whatever gzip member changes, all other records come out, and nothing raises."""
+    rng = random.Random(seed)
+    parts = [archive(rng.choice([1, 2]))]
+    version = 1 if b" 200 - - 0 " not in parts[0] else 2
+    parts += [record(version, b"http://a/%d" % i, PAGE + bytes(rng.choice(b"abcdefgh \n") for _ in range(rng.randint(0, 3000)))) for i in range(6)]
+    want = {r["block"] for r in table(arc.records("f", b"".join(parts)))}
+    zipped = [bytearray(gzip.compress(x, mtime=0)) for x in parts]
+    hit = rng.randrange(1, len(zipped))
+    at = rng.randrange(len(zipped[hit]))
+    zipped[hit][at] ^= rng.randrange(1, 256)
+    rows = table(arc.records("f", b"".join(map(bytes, zipped))))
+    (lost,) = {r["block"] for r in table(arc.records("f", parts[0] + parts[hit])) if r["warc_type"] != "warcinfo"}
+    assert want - {r["block"] for r in rows} <= {lost}
+
+
 def test_convert_files(spark):
     data = archive(1, record(1, b"http://a.b/", PAGE))
     files = spark.createDataFrame([("a", data, 1), ("b", None, 2), ("c", b"", 3), (None, data, 4), ("a", data, 5), ("z", b"junk", None)], "path string, content binary, offset int")
