@@ -67,23 +67,18 @@ def _begins(content: bytes, at: int) -> bool:
 
 
 def _member(content: bytes, at: int) -> tuple[bytes, int, bool]:
-    """What a member's bytes inflate to, where it ends, and whether it is whole."""
-    member = zlib.decompressobj(31)
-    try:
-        part = member.decompress(content[at:] if at else content)
-        return part, len(content) - len(member.unused_data), member.eof
-    except zlib.error:
-        pass
+    """What a member's bytes inflate to, where it ends, and whether it is whole. Nothing past a member's end is copied but a step."""
     member, out, step = zlib.decompressobj(31), [], 1 << 14
-    while True:
+    while not member.eof and at < len(content):
         before = member.copy()
         try:
             out.append(member.decompress(content[at : at + step]))
-            at += step
+            at = min(len(content), at + step)
         except zlib.error:
             if step == 1:
                 return b"".join(out), at, False
             member, step = before, 1
+    return b"".join(out), at - len(member.unused_data), member.eof
 
 
 def iso_date(date: str) -> str | None:
