@@ -118,28 +118,36 @@ ENTRIES = [
 ]
 
 
+#: Besides those, a list of the size that crawls use: hosts, and single pages of a site.
+LISTED = 120_000
+_LISTED = f"""SELECT CASE WHEN i % 4 = 0 THEN 'example.com/' || CASE WHEN i % 8 = 0 THEN 'en' ELSE 'fr' END || '/' || CAST(i / 4 AS BIGINT) ELSE 's' || i || '.example.net' END AS entry,
+CASE WHEN i % 3 = 0 THEN 'allow' ELSE 'block' END AS action FROM (SELECT * FROM {{}}) WHERE i >= 0"""
+
+
 @query
 def op3_url_filter(spark, sf_dir):
     """Every page's action and the entry that decided it."""
-    entries = spark.createDataFrame(ENTRIES, "entry string, action string")
+    entries = spark.createDataFrame(ENTRIES, "entry string, action string").unionByName(spark.sql(_LISTED.format(f"range({LISTED}) AS t(i)")))
     return judged(_table(spark, sf_dir, "pages").select("page_id", "url"), entries)
 
 
 ORACLE_SQL["op3_url_filter"] = r"""
-WITH e AS (
-  SELECT entry, action, regexp_extract(entry, '^[^/]*') AS host, regexp_extract(entry, '/.*$') AS path FROM (VALUES %s) AS t(entry, action)
-), u AS (
+WITH l AS (SELECT * FROM (VALUES %s) AS t(entry, action) UNION ALL %s),
+e AS (SELECT entry, action, regexp_extract(entry, '^[^/]*') AS host, regexp_extract(entry, '/.*$') AS path FROM l),
+u AS (
   SELECT page_id, url,
-         array_to_string(list_filter(string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.'), lambda x: x <> ''), '.') AS host,
-         '/' || array_to_string(list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> ''), '/') AS path
+         list_filter(string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.'), lambda x: x <> '') AS host,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS path
   FROM pages
+), h AS (
+  SELECT page_id, path, k AS labels, array_to_string(host[-k:], '.') AS h FROM (SELECT *, unnest(range(1, len(host) + 1)) AS k FROM u)
+), p AS (
+  SELECT page_id, labels, h, k AS segments, CASE WHEN k = 0 THEN '' ELSE '/' || array_to_string(path[:k], '/') END AS p FROM (SELECT *, unnest(range(0, len(path) + 1)) AS k FROM h)
 ), m AS (
-  SELECT u.page_id, e.entry, e.action,
-         row_number() OVER (PARTITION BY u.page_id ORDER BY length(e.host) - length(replace(e.host, '.', '')) DESC, length(e.path) - length(replace(e.path, '/', '')) DESC, e.action = 'block' DESC) AS nth
-  FROM u JOIN e ON (u.host = e.host OR ends_with(u.host, '.' || e.host)) AND (e.path = '' OR u.path = e.path OR starts_with(u.path, e.path || '/'))
+  SELECT page_id, entry, action, row_number() OVER (PARTITION BY page_id ORDER BY labels DESC, segments DESC, action = 'block' DESC) AS nth FROM p JOIN e ON e.host = p.h AND e.path = p.p
 )
 SELECT u.page_id, u.url, coalesce(m.action, 'allow') AS action, m.entry FROM u LEFT JOIN m ON u.page_id = m.page_id AND m.nth = 1
-""" % ", ".join(f"('{e}', '{a}')" for e, a in ENTRIES)
+""" % (", ".join(f"('{e}', '{a}')" for e, a in ENTRIES), _LISTED.format(f"range({LISTED}) AS t(i)"))
 
 
 @query

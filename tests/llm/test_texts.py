@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -151,12 +152,19 @@ ENTRIES = [("example.com", "block"), ("a.example.com", "allow"), ("example.com/x
 URLS = ["http://example.com", "HTTP://b.EXAMPLE.com/x/y/q?z", "http://a.example.com/x/y", "https://u:p@a.example.com:80/z/1#f", "http://a.example.com/zz", "http://both.org/", "http://deep.org/p", "http://deep.org/pp", "http://notexample.com", "http://example.com.", "http://x.example.com//x//y/", None, "", "nope", "/rel/x", "http://", "http://[::1]/x", "http://org"]
 
 
-def brute(url):
-    host, path = url_filter.keys(url)
+def keys(url):
+    """What the columns of the operator say, for one URL."""
+    found = re.match(url_filter.HOST, url or "")
+    labels = [x for x in found[1].lower().split(".") if x] if found else []
+    return labels[::-1], [x for x in re.match(url_filter.PATH, url)[1].split("/") if x] if labels else []
+
+
+def brute(url, entries=ENTRIES):
+    host, path = keys(url)
     best = None
-    for entry, action in ENTRIES:
+    for entry, action in entries:
         if entry and action in ("allow", "block"):
-            h, p = url_filter.entry_keys(entry)
+            h, p = keys(entry if "://" in entry else f"http://{entry}")
             if h and host[: len(h)] == h and path[: len(p)] == p:
                 key = (len(h), len(p), action == "block", [-ord(c) for c in entry])
                 if best is None or key > best[0]:
@@ -164,18 +172,38 @@ def brute(url):
     return best[1:] if best else ("allow", None)
 
 
-@pytest.mark.parametrize("limit", [100, 0])
+@pytest.mark.parametrize("limit", [10**6, 0])
 def test_most_specific_entry_decides_by_trie_and_by_join(spark, limit):
-    pages = spark.createDataFrame([(i % 5, u, "x", "y") for i, u in enumerate([*URLS, URLS[0]])], "page_id int, url string, action string, h string")
+    long = "http://example.com/x/y/" + "z/" * 20_000
+    pages = spark.createDataFrame([(i % 5, u, "x", "y", "q", "r") for i, u in enumerate([*URLS, URLS[0], long])], "page_id int, url string, action string, h string, __action string, `__url` string")
+    pages = pages.selectExpr("*", "'x' AS `__entry`", "'x' AS `__found`", "'x' AS `__host`", "1 AS `a.b`")
     entries = spark.createDataFrame(ENTRIES, "entry string, action string")
     out = url_filter.judged(pages, entries, max_broadcast=limit)
-    assert out.columns == ["page_id", "url", "h", "action", "entry"]
+    assert out.columns == [*[c for c in pages.columns if c != "action"], "action", "entry"]
     got = Counter((r.url, r.action, r.entry) for r in out.collect())
-    assert got == Counter((u, *brute(u)) for u in [*URLS, URLS[0]])
+    assert got == Counter((u, *brute(u)) for u in [*URLS, URLS[0], long])
     assert url_filter.judged(pages.where("false"), entries, max_broadcast=limit).collect() == []
     assert {r.action for r in url_filter.judged(pages, entries.where("false"), default="block", max_broadcast=limit).collect()} == {"block"}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_random_entries_and_urls(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: rng.choice("abc")
+    some = lambda n, sep: sep.join(word() for _ in range(n))
+    entries = [(some(rng.randint(1, 3), ".") + "".join("/" + word() for _ in range(rng.randint(0, 2))), rng.choice(["allow", "block"])) for _ in range(25)]
+    urls = [f"http://{some(rng.randint(1, 4), '.')}/{some(rng.randint(0, 4), '/')}" for _ in range(300)]
+    pages, rules = spark.createDataFrame([(u,) for u in urls], "url string"), spark.createDataFrame(entries, "entry string, action string")
+    for limit in (10**6, 0):
+        assert Counter(tuple(r) for r in url_filter.judged(pages, rules, max_broadcast=limit).collect()) == Counter((u, *brute(u, entries)) for u in urls)
+
+
+def test_the_trie_takes_what_the_limit_reckons():
+    rows = [(["com", f"host{i}"], ["en", str(i)], "block", f"host{i}.com/en/{i}") for i in range(20_000)]
+    trie = url_filter.Trie(rows)
+    assert trie.nbytes() <= sum(2 * len(r[3]) + 24 * (len(r[0]) + len(r[1])) for r in rows)
+
+
 def prints(texts, level=fingerprints.LEVEL):
     return fingerprints.fingerprint_slice(*arrow_text.raw(arrow_text.strings(pa.array(texts))), level)
 
