@@ -6,11 +6,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+
 from llm_fixtures import awkward, edited, empty, frame, sentence
 
 from loomtext.llm import arrow_text, minhash
 from loomtext.llm.components import connected
-from loomtext.llm.exact_dedup import exact_dedup
+from loomtext.llm.exact_dedup import exact_dedup, normalised, splitters
 from loomtext.llm.minhash import near_duplicates, without_near_duplicates
 
 
@@ -36,6 +38,28 @@ def test_exact_dedup_keeps_texts_as_they_are(spark):
             assert texts[i] == t
 
 
+def test_half_of_the_rows_may_be_one_text(spark):
+    """The sample is of rows and stays within its bound, and the ranges stay even over the distinct texts."""
+    df = spark.range(20_000).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'hot', CONCAT('a heading that all others share ', REPEAT('x', 600), id)) AS text")
+    cuts = splitters(df, normalised(df.text), 16, 500)
+    assert len(cuts) == 15
+    rows = [r.n for r in exact_dedup(df).selectExpr("spark_partition_id() AS p").groupBy("p").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()]
+    assert sum(rows) == 10_001 and max(rows) < 2 * 10_001 / 4
+
+
+def test_ties_fall_alike_at_any_partitioning(spark):
+    rows = [(1, "same " if i % 2 else "same", f"s{i}", {"k": i}) for i in range(40)] + [(None, "same", "s", {})]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string, m map<string, int>")
+    got = {str(exact_dedup(df.repartition(n, F.rand(n))).collect()) for n in (1, 3, 7)}
+    assert len(got) == 1 and "doc_id=1" in got.pop()
+
+
+def test_exact_dedup_of_very_long_texts(spark):
+    long = "abc def " * 500_000
+    df = spark.createDataFrame([(2, long + "x"), (1, long + "y"), (3, long + "x\r\n")], "doc_id int, text string")
+    assert sorted(r.doc_id for r in exact_dedup(df).collect()) == [1, 2]
+
+
 def test_exact_dedup_of_nothing(spark):
     assert exact_dedup(empty(spark)).collect() == []
 
