@@ -1,10 +1,10 @@
 """Mixing sources to target weights when a document belongs to several domains in part.
 
 A classifier fitted to a labelled table gives every document a posterior over domains. Nonnegative rates, one for each
-document, then bring the expected domain totals (sum of rate * tokens * posterior) to the targets by least squares with
-a small pull towards rate 1, which is taken back until the targets are met. At the optimum a document of posterior p has
-rate max(0, 1 + p @ lift), with one lift for each domain: Newton's method finds the lifts over a distributed table of
-documents of equal (rounded) posterior, one aggregation a step.
+document, then bring the expected domain totals (sum of rate * tokens * posterior) to the targets by least squares:
+accelerated projected gradient from rates of 1, a step being one pass over a stored table of the documents' posteriors
+and rates. Residuals are weighed by the inverse of the posteriors' second moments, in which the problem is well
+conditioned however rare a domain is.
 """
 
 from __future__ import annotations
@@ -26,11 +26,10 @@ from loomtext.llm.storage import discard, fresh, written
 MAX_LABELLED = 6_000
 #: Text features are trigrams of bytes, hashed to so many bits.
 FEATURE_BITS = 15
-#: Posteriors are rounded to so many parts of one.
-PARTS = 64
-#: The pull is divided by 10 until no domain's total misses its target by more than ``TOLERANCE``, down to ``LEAST_PULL``.
-PULL, LEAST_PULL = 1e-3, 1e-10
-MAX_STEPS, TOLERANCE = 80, 1e-4
+#: Steps stop when no domain's total misses its target by more than ``TOLERANCE``, or when they no longer help.
+MAX_STEPS, TOLERANCE, PATIENCE = 200, 1e-4, 30
+#: Rates are stored after so many steps; between, each pass takes the steps since then again.
+STORE_EVERY = 12
 
 
 def trigrams(column):
@@ -46,6 +45,11 @@ def trigrams(column):
         edges = at[:-1][at[:-1] < len(body)]
         first[edges] = ~space[edges]
         words = np.diff(np.append(0, first.cumsum())[at])
+        # Past a text's end come blanks, and not its neighbour: a text's trigrams are those that it has alone.
+        ends = at[1:]
+        code[ends[np.diff(at) > 0] - 1] = (code[ends[np.diff(at) > 0] - 1] & np.uint32(0xFF0000)) | np.uint32(0x2020)
+        two = ends[np.diff(at) > 1] - 2
+        code[two] = (code[two] & np.uint32(0xFFFF00)) | np.uint32(0x20)
         yield lo, (code * np.uint32(2654435761)) >> np.uint32(32 - FEATURE_BITS), at, words
 
 
@@ -67,10 +71,9 @@ class Classifier:
         return out - out.mean(axis=1, keepdims=True)
 
     def posteriors(self, means):
-        """Rounded to multiples of ``1 / PARTS``."""
         score = means @ self.slope + self.bias
         p = np.exp(score - score.max(axis=1, keepdims=True))
-        return np.round(p / p.sum(axis=1, keepdims=True) * PARTS).astype(np.int64)
+        return p / p.sum(axis=1, keepdims=True)
 
 
 def calibrate(means: np.ndarray, y: np.ndarray, k: int, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +103,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_
     sample = spark.createDataFrame(rows, "id {}, y int, half int".format(docs.schema[id_col].dataType.simpleString()))
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(sample), "id")
 
+    @arrow_text.lean
     def count(batches):
         sums = np.zeros((k, 1 << FEATURE_BITS), np.int64)
         for batch in batches:
@@ -117,6 +121,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_
     weights = np.log((sums + 0.5) / (sums.sum(axis=1, keepdims=True) + 0.5 * sums.shape[1])).astype(np.float32)
     model = spark.sparkContext.broadcast(Classifier(weights, np.eye(k), np.zeros(k)))
 
+    @arrow_text.lean
     def means(batches):
         for batch in batches:
             for first, codes, at, _ in trigrams(batch.column(0)):
@@ -134,129 +139,155 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_
 
 
 @dataclass
-class Lifts:
-    """``lift`` of every domain, and the ``totals`` that the rates for them bring."""
+class Steps:
+    """The steps that every document's rate takes, whatever its posterior ``p``: to ``max(0, ahead - p @ slope)``, and ``momentum`` of the way beyond."""
 
-    lift: np.ndarray
+    taken: list[tuple[np.ndarray, float]]
     totals: np.ndarray | None = None
 
-    def replay(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rates for posteriors, and whether they are above the bound."""
-        rate = 1.0 + p @ self.lift
-        return np.maximum(0.0, rate), rate > 0
+    def replay(self, p: np.ndarray, rate=None, ahead=None) -> tuple[np.ndarray, np.ndarray]:
+        """The rates after all steps, and the point from which the next one would be taken."""
+        rate = np.ones(len(p)) if rate is None else rate
+        ahead = rate if ahead is None else ahead
+        for slope, momentum in self.taken:
+            new = np.maximum(0.0, ahead - p @ slope)
+            rate, ahead = new, new + momentum * (new - rate)
+        return rate, ahead
 
 
-def solve(cells: DataFrame, weights: np.ndarray, total: float, pull: float = PULL, start: np.ndarray | None = None) -> Lifts:
-    """Newton's method with halved steps over the cells ``(p array<bigint>, n bigint)``, for one pull.
+def _matrix(column, k: int) -> np.ndarray:
+    """An Arrow column of lists of ``k`` numbers as an array."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
-    The lifts are the least point of the convex ``sum(n * rate**2) / 2 + pull * |lift|**2 / 2 - weights @ lift``.
+
+def solve(parts: DataFrame, weights: np.ndarray, total: float, store_every: int = STORE_EVERY) -> Steps:
+    """The steps for the documents ``(p array<double>, n bigint)``: posteriors and tokens.
+
+    Least are ``(totals - weights) @ C @ (totals - weights)`` over rates of at least 0, with C the inverse of
+    ``sum(n * p * p.T) / total``. In that measure no step of length 1 overshoots, and where many rates are 0 longer ones
+    do not.
     """
     k = len(weights)
+    schema = "p array<double>, n bigint, rate double, ahead double"
 
-    def at(lift):
-        """The function, its gradient and second derivative, and the totals."""
-        lifts = Lifts(lift)
-
-        def sums(batches):
-            s = np.zeros(1 + k + k * k)
+    def moments(batches):
+        s = np.zeros(k * k)
+        for batch in batches:
+            p, n = _matrix(batch.column(0), k), batch.column(1).to_numpy() / total
+            s += (p.T @ (p * n[:, None])).reshape(-1)
+        yield pa.RecordBatch.from_arrays([pa.array(s.reshape(1, -1).tolist(), pa.list_(pa.float64()))], names=["s"])
+
+    def summed(df):
+        return np.sum([r.s for r in df.collect()], axis=0)
+
+    metric = np.linalg.pinv(summed(parts.select("p", "n").mapInArrow(arrow_text.lean(moments), "s array<double>")).reshape(k, k), rcond=1e-12, hermitian=True)
+    state = parts.select("p", "n", F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
+    kept, since = Steps([]), Steps([])
+    root = np.linalg.cholesky(metric + 1e-12 * np.trace(metric) * np.eye(k))
+    t, best, stale, longest = 1.0, np.inf, 0, 1.0
+    for nth in range(MAX_STEPS + 1):
+
+        def totals(batches, now=Steps(list(since.taken))):
+            s = np.zeros(2 * k + k * k)
             for batch in batches:
-                if batch.num_rows:
-                    p = np.array(batch.column(0).to_pylist(), float).reshape(-1, k) / PARTS
-                    n = batch.column(1).to_numpy() / total
-                    rate, free = lifts.replay(p)
-                    s += np.concatenate([[(n * rate**2).sum() / 2], (n * rate) @ p, (p.T @ (p * (n * free)[:, None])).reshape(-1)])
+                p, n = _matrix(batch.column(0), k), batch.column(1).to_numpy() / total
+                rate, ahead = now.replay(p, batch.column(2).to_numpy(), batch.column(3).to_numpy())
+                s += np.concatenate([(n * rate) @ p, (n * ahead) @ p, (p.T @ (p * (n * (ahead > 0))[:, None])).reshape(-1)])
             yield pa.RecordBatch.from_arrays([pa.array(s.reshape(1, -1).tolist(), pa.list_(pa.float64()))], names=["s"])
 
-        s = np.sum([r.s for r in cells.mapInArrow(sums, "s array<double>").collect()], axis=0)
-        now = s[1 : k + 1]
-        return s[0] + pull * lift @ lift / 2 - weights @ lift, now + pull * lift - weights, s[k + 1 :].reshape(k, k) + pull * np.eye(k), now
-
-    lift = np.zeros(k) if start is None else start
-    value, slope, curve, now = at(lift)
-    step, size = np.linalg.solve(curve, -slope), 1.0
-    for _ in range(MAX_STEPS):
-        if np.abs(slope).max() < TOLERANCE / 100:
+        s = summed(state.mapInArrow(arrow_text.lean(totals), "s array<double>"))
+        kept.totals = s[:k]
+        miss = kept.totals - weights
+        value = float(miss @ metric @ miss)
+        # A domain of which there is nothing is out of reach.
+        if np.abs(miss[kept.totals > 0]).max(initial=0.0) <= TOLERANCE / 2 or nth == MAX_STEPS:
             break
-        new = at(lift + size * step)
-        if new[0] <= value + 1e-4 * size * (slope @ step) + 1e-12 * (1 + abs(value)):
-            lift = lift + size * step
-            value, slope, curve, now = new
-            step, size = np.linalg.solve(curve, -slope), 1.0
+        if value > best * (1 - 1e-6):
+            stale += 1
+            if stale > PATIENCE:
+                break
         else:
-            size /= 2
-    return Lifts(lift, now)
-
-
-def reach(cells: DataFrame, weights: np.ndarray, total: float, pull: float = PULL) -> Lifts:
-    """:func:`solve` with ever less pull until the totals are the targets; a warning names the targets that cannot be met."""
-    lifts = solve(cells, weights, total, pull)
-    while True:
-        miss = np.abs(lifts.totals - weights)
-        # A domain of which there is nothing is out of reach of any pull.
-        if miss[lifts.totals > 0].max(initial=0.0) <= TOLERANCE and (lifts.totals > 0).any() or pull <= LEAST_PULL:
-            break
-        pull = max(LEAST_PULL, pull / 10)
-        lifts = solve(cells, weights, total, pull, lifts.lift)
-    if miss.max() > TOLERANCE:
-        warnings.warn(f"mixing: targets {weights.round(5).tolist()} are not met, but {lifts.totals.round(5).tolist()}", stacklevel=2)
-    return lifts
-
-
-def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col="doc_id", text_col="text", tokens: float | None = None, max_labelled=MAX_LABELLED, pull=PULL, rate_col="rate") -> DataFrame:
+            stale = 0
+        if value > best:
+            t, longest = 1.0, max(1.0, longest / 4)  # what was gained by going beyond is lost again: start anew from here
+        best = min(best, value)
+        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        curved = np.linalg.eigvalsh(root.T @ s[2 * k :].reshape(k, k) @ root)[-1]
+        length, longest = min(longest, max(1.0, 1 / max(curved, 1e-9))), 2 * longest
+        step = (length * (metric @ (s[k : 2 * k] - weights)), (t - 1) / after)
+        t = after
+        kept.taken.append(step)
+        since.taken.append(step)
+        if len(since.taken) == store_every:
+
+            def move(batches, now=Steps(list(since.taken))):
+                for batch in batches:
+                    rate, ahead = now.replay(_matrix(batch.column(0), k), batch.column(2).to_numpy(), batch.column(3).to_numpy())
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rate), pa.array(ahead)], names=["p", "n", "rate", "ahead"])
+
+            old, state = state, written(state.mapInArrow(arrow_text.lean(move), schema), "rates")
+            discard(old)
+            since = Steps([])
+    discard(state)
+    if np.abs(miss).max() > TOLERANCE:
+        warnings.warn(f"mixing: targets {weights.round(5).tolist()} are not met, but {kept.totals.round(5).tolist()}", stacklevel=2)
+    return kept
+
+
+def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col="doc_id", text_col="text", tokens: float | None = None, max_labelled=MAX_LABELLED, rate_col="rate", columns: list[str] | None = None) -> DataFrame:
     """``docs`` and ``rate_col``: how often each document should be seen for the domains' shares to meet ``targets``.
 
     ``labelled`` holds ``id_col`` and ``domain`` for any part of the documents; of several domains of one document the
     first in ``targets`` counts, and other domains are ignored. ``targets`` are weights (they are scaled to sum to 1)
     of the ``tokens`` wanted, by default as many as there are; a token is a white-space separated word. A domain
     without labelled documents has posterior 0. Targets that no rates can meet are met as nearly as can be, with a
-    warning. With fewer than two labelled domains, and for a null, empty or blank
-    text, the rate is 1. Null ids and repeated rows are rated like any others. All columns are kept; one named like
-    ``rate_col`` is replaced.
+    warning. With fewer than two labelled domains, and for a null, empty or blank text, the rate is 1. Null ids and
+    repeated rows are rated like any others; texts of one posterior have one rate. A very long text is read whole, as
+    one task's work. All columns are kept, or those in ``columns``; one named like ``rate_col`` is replaced. An empty
+    table gives an empty one.
     """
     spark = docs.sparkSession
     docs = docs.drop(rate_col)
     domains = list(targets)
     k = len(domains)
+    names = [c for c in docs.columns if columns is None or c in columns]
     model = fit_classifier(docs, labelled, domains, id_col, text_col, max_labelled)
     if model is None:
-        return docs.withColumn(rate_col, F.lit(1.0))
+        return docs.select(*[F.col(f"`{c}`") for c in names], F.lit(1.0).alias(rate_col))
     shared = spark.sparkContext.broadcast(model)
+    text_, p_, n_ = fresh(docs.columns, "text", "posterior", "words")
+    asked = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias(text_))
+    schema = T.StructType([*asked.schema.fields[:-1], T.StructField(p_, T.ArrayType(T.DoubleType())), T.StructField(n_, T.LongType())])
 
-    def cells_of(batches):
+    @arrow_text.lean
+    def judged(batches):
         for batch in batches:
-            for _, codes, at, words in trigrams(batch.column(0)):
-                some = np.flatnonzero(words)
-                p = shared.value.posteriors(shared.value.means(codes, at))[some]
-                kinds, which = np.unique(p, axis=0, return_inverse=True)
-                n = np.bincount(which.reshape(-1), words[some], len(kinds)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds.tolist(), pa.list_(pa.int64())), pa.array(n)], names=["p", "n"])
-
-    cells = docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL").mapInArrow(cells_of, "p array<bigint>, n bigint")
-    cells = written(cells.groupBy("p").agg(F.sum("n").alias("n")), "cells")
-    total = cells.agg(F.sum("n")).first()[0] or 0
-    if total == 0:
-        return docs.withColumn(rate_col, F.lit(1.0))
+            for first, codes, at, words in trigrams(batch.column(len(names))):
+                p = shared.value.posteriors(shared.value.means(codes, at))
+                p = pa.FixedSizeListArray.from_arrays(pa.array(p.reshape(-1)), k).cast(pa.list_(pa.float64()))
+                rows = batch.slice(first, len(p)).drop_columns([text_])
+                yield pa.RecordBatch.from_arrays([*rows.columns, p, pa.array(words)], names=[*rows.schema.names, p_, n_])
+
+    # Texts are scored once: the solver reads the posteriors of this table, and what is returned all of it.
+    posteriors = written(asked.mapInArrow(judged, schema), "posteriors")
+    parts = posteriors.select(F.col(p_).alias("p"), F.col(n_).alias("n")).where("n > 0")
+    total = parts.agg(F.sum("n")).first()[0] or 0
     wanted = np.array([targets[d] for d in domains], float)
-    lifts = reach(cells, wanted / wanted.sum() * ((tokens or total) / total), float(total), pull)
-    discard(cells)
-    out = T.StructType([*docs.schema.fields, T.StructField(rate_col, T.DoubleType())])
-    at_text = docs.columns.index(text_col)
+    steps = solve(parts, wanted / wanted.sum() * ((tokens or total) / total), float(total)) if total else Steps([])
+    out = T.StructType([*asked.schema.fields[:-1], T.StructField(rate_col, T.DoubleType())])
 
+    @arrow_text.lean
     def rate(batches):
         for batch in batches:
-            rates = np.ones(batch.num_rows)
-            for first, codes, at, words in trigrams(batch.column(at_text)):
-                p = shared.value.posteriors(shared.value.means(codes, at)) / PARTS
-                kinds, which = np.unique(p, axis=0, return_inverse=True)
-                rates[first : first + len(p)] = np.where(words > 0, lifts.replay(kinds)[0][which.reshape(-1)], 1.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates)], names=[*batch.schema.names, rate_col])
+            rates = np.where(batch.column(n_).to_numpy() > 0, steps.replay(_matrix(batch.column(p_), k))[0], 1.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(rates)], names=[*batch.schema.names[:-2], rate_col])
 
-    return docs.mapInArrow(rate, out)
+    return posteriors.mapInArrow(rate, out)
 
 
 def copies(rate, id_, seed: int = 0):
-    """How often a document is taken: its rate, rounded up or down at random with that mean; the same for the same id and seed."""
-    unit = F.pmod(F.xxhash64(id_, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    """How often a document is taken: its rate, rounded up or down at random with that mean; the same for the same ``id_`` (a column, or several) and seed."""
+    unit = F.pmod(F.xxhash64(*(id_ if isinstance(id_, (list, tuple)) else [id_]), F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
     return (F.floor(rate) + F.when(unit < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
@@ -264,6 +295,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
     """``docs``, each row as often as its rate says (:func:`rated`, :func:`copies`), with its columns as they were."""
     (rate_,) = fresh(docs.columns, "rate")
     taken = rated(docs, labelled, targets, id_col, text_col, rate_col=rate_, **how)
-    times = copies(F.col(rate_), F.col(id_col), seed)
+    # The text decides too, for rows without an id not to share one draw.
+    times = copies(F.col(rate_), [F.col(f"`{id_col}`"), F.col(f"`{text_col}`")], seed)
     (each_,) = fresh(taken.columns, "each")
     return taken.where(times > 0).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(True), times)).alias(each_)).drop(each_)

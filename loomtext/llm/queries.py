@@ -175,7 +175,7 @@ def op2_packing(spark, sf_dir):
 def op5_mixing(spark, sf_dir):
     """Every document's rate, and how often it is taken."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    out = rated(docs, labelled_domains(docs, _table(spark, sf_dir, "labels")), TARGETS)
+    out = rated(docs, labelled_domains(docs, _table(spark, sf_dir, "labels")), TARGETS, columns=["doc_id"])
     return out.select("doc_id", "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 

@@ -5,10 +5,11 @@ import warnings
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_fixtures import awkward, empty, frame, sentence
 
-from loomtext.llm import arrow_text, mixing, packing, quality, toxicity
+from loomtext.llm import arrow_text, mixing, packing, quality, queries, toxicity
 from loomtext.llm.storage import fresh
 
 
@@ -152,40 +153,91 @@ def test_rates_bring_totals_to_their_targets(spark):
         assert abs(have - share) < 0.02, (lang, have)
 
 
-def test_projected_gradient_finds_the_constrained_minimum(spark):
-    """Against a plain long run of projected gradient on all documents."""
+def parts(spark, p, n):
+    return spark.createDataFrame([([float(v) for v in a], int(b)) for a, b in zip(p, n, strict=True)], "p array<double>, n bigint")
+
+
+@pytest.mark.parametrize("want", [[0.05, 0.05, 0.9], [0.2, 0.7, 0.1], [0.6, 0.3, 0.1]])
+def test_projected_gradient_finds_the_constrained_minimum(spark, want):
+    """Against a plain long run of projected gradient over all documents."""
     rng = np.random.default_rng(5)
-    p = rng.multinomial(mixing.PARTS, [0.7, 0.2, 0.1], 60).astype(float)
+    p = rng.dirichlet([7, 2, 1], 60)
     n = rng.integers(1, 50, 60)
-    total, want, pull = n.sum(), np.array([0.05, 0.05, 0.9]), mixing.PULL
-    cells = spark.createDataFrame([([int(v) for v in a], int(b)) for a, b in zip(p, n)], "p array<bigint>, n bigint")
-    got = mixing.solve(cells, want, float(total)).replay(p / mixing.PARTS)[0]
-    q, w, r = p / mixing.PARTS, n / total, np.ones(60)
+    w, want = n / n.sum(), np.array(want)
+    metric = np.linalg.inv(p.T @ (p * w[:, None]))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        got = [mixing.solve(parts(spark, p, n), want, float(n.sum()), every).replay(p)[0] for every in (5, 1000)]
+    assert np.allclose(*got)
+    r = np.ones(60)
     for _ in range(60_000):
-        r = np.maximum(0, r - 0.8 * (q @ ((r * w) @ q - want) + pull * (r - 1)))
+        r = np.maximum(0, r - p @ metric @ ((r * w) @ p - want))
 
     def loss(r):
-        return 0.5 * (((r * w) @ q - want) ** 2).sum() + pull / 2 * (w * (r - 1) ** 2).sum()
+        return ((r * w) @ p - want) @ metric @ ((r * w) @ p - want)
 
-    assert (got >= 0).all() and loss(got) <= loss(r) + 1e-4
+    assert (got[0] >= 0).all() and loss(got[0]) <= loss(r) + 1e-6
 
 
 @pytest.mark.parametrize("share", [10, 2, 1])
 def test_targets_of_rare_domains_are_met(spark, share):
-    """Domains of one posterior each, the last with ``share`` thousandths of the tokens."""
-    n, want = np.array([600, 200, 200 - share, share]), np.array([0.5, 0.2, 0.2, 0.1])
-    p = np.eye(4, dtype=int) * mixing.PARTS
-    cells = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(p, n)], "p array<bigint>, n bigint")
+    """Domains of one posterior each, the last with ``share`` thousandths of the tokens, and some documents of both it and another."""
+    n, want = np.array([590, 200, 200 - share, share, 10]), np.array([0.5, 0.2, 0.2, 0.1])
+    p = np.vstack([np.eye(4), [0.999, 0, 0, 0.001]])
     with warnings.catch_warnings():
-        warnings.simplefilter("error")
-        rate = mixing.reach(cells, want, float(n.sum())).replay(np.eye(4))[0]
-    assert np.abs(rate * n / n.sum() - want).max() <= mixing.TOLERANCE
+        warnings.simplefilter("error", UserWarning)
+        rate = mixing.solve(parts(spark, p, n), want, float(n.sum())).replay(p)[0]
+    assert np.abs((rate * n) @ p / n.sum() - want).max() <= mixing.TOLERANCE
 
 
 def test_targets_out_of_reach_are_reported(spark):
-    cells = spark.createDataFrame([([40, 24, 0], 10), ([24, 40, 0], 30)], "p array<bigint>, n bigint")
     with pytest.warns(UserWarning, match="not met"):
-        mixing.reach(cells, np.array([0.1, 0.9, 0.0]), 40.0)
+        mixing.solve(parts(spark, [[0.6, 0.4, 0], [0.4, 0.6, 0]], [10, 30]), np.array([0.1, 0.9, 0.0]), 40.0)
+    with pytest.warns(UserWarning, match="not met"):
+        mixing.solve(parts(spark, [[1, 0], [1, 0]], [10, 30]), np.array([0.5, 0.5]), 40.0)
+
+
+def test_the_whole_operator_against_brute_force(spark, sf):
+    """Counts, calibration, posteriors and totals again, a text at a time, on the smallest tables."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    lab = queries.labelled_domains(docs, labels)
+    domains = list(queries.TARGETS)
+    halves = {r.doc_id: (r.domain, r.half) for r in lab.selectExpr("doc_id", "domain", "pmod(xxhash64(doc_id, 1), 2) AS half").collect()}
+    texts = {r.doc_id: (r.text or "").lower().encode() for r in docs.collect()}
+
+    def grams(b):
+        wide = b + b"  "
+        return [(int.from_bytes(wide[i : i + 3]) * 2654435761 & 0xFFFFFFFF) >> (32 - mixing.FEATURE_BITS) for i in range(len(b))]
+
+    sums = np.zeros((4, 1 << mixing.FEATURE_BITS))
+    for i, (domain, half) in halves.items():
+        if half == 0:
+            np.add.at(sums[domains.index(domain)], grams(texts[i]), 1)
+    weights = np.log((sums + 0.5) / (sums.sum(axis=1, keepdims=True) + 0.5 * sums.shape[1])).astype(np.float32).astype(float)
+
+    def means(b):
+        m = weights[:, grams(b)].mean(axis=1)
+        return m - m.mean()
+
+    held = sorted((domains.index(d), means(texts[i]).tolist()) for i, (d, half) in halves.items() if half == 1)
+    slope, bias = mixing.calibrate(np.array([m for _, m in held]), np.array([y for y, _ in held]), 4)
+    bias[sums.sum(axis=1) == 0] = -1e9
+    ids = [i for i, b in texts.items() if b.split()]
+    score = np.array([means(texts[i]) for i in ids]) @ slope + bias
+    p = np.exp(score - score.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    n = np.array([len(texts[i].split()) for i in ids])
+    rates = {r.doc_id: r.rate for r in mixing.rated(docs, lab, queries.TARGETS).collect()}
+    rate = np.array([rates[i] for i in ids])
+    assert (rate >= 0).all() and len(rates) == len(texts)
+    assert np.abs((rate * n) @ p / n.sum() - np.array(list(queries.TARGETS.values()))).max() <= 3 * mixing.TOLERANCE
+
+
+def test_a_text_is_scored_as_if_it_were_alone():
+    texts = [t for _, t, *_ in awkward() if t is not None]
+    alone = [next(mixing.trigrams(pa.array([t]))) for t in texts]
+    together = np.concatenate([codes for _, codes, _, _ in mixing.trigrams(pa.array(texts))])
+    assert (np.concatenate([codes for _, codes, _, _ in alone]) == together).all()
 
 
 def test_mixing_awkward_documents(spark):
