@@ -10,7 +10,7 @@ from loomtext.llm.storage import discard, written
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """``(node, root)`` for each node of the edges ``(a, b)``; ``root`` is the smallest node of its component.
+    """``(node, root)`` for each node of the edges ``(a, b)``; ``root`` is the smallest node of its component. The result is a written table.
 
     Each round links every node to the smallest node that it or a neighbour knows, until nothing changes: about
     log(nodes) rounds. A round reads a written table, so a lost executor costs that round at most.
@@ -33,4 +33,6 @@ def connected(edges: DataFrame) -> DataFrame:
         discard(now)
         now = after
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    out = written(roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct(), "components")
+    discard(now)
+    return out

@@ -6,17 +6,19 @@ memory, and a signature is the minimum of such windows.
 
 Documents that agree on a band are candidates. Every candidate pair whose outcome can change the groups is verified on
 the full shingle sets: first each bucket's members against its smallest id, and then, where a bucket still spans more
-than one group, all its pairs across groups. Pairs inside one group would change nothing, so copies in thousands cost
-a star of comparisons and not a square, and no pair, bucket or partner is capped.
+than one group, members against ever more leaders of the bucket, joining groups in between. Pairs inside one group would
+change nothing, so copies in thousands cost a star of comparisons and not a square, and no pair, bucket or partner is
+capped.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomtext.llm import arrow_text
 from loomtext.llm.components import connected
@@ -27,41 +29,39 @@ THRESHOLD = 0.55
 BANDS, ROWS = 32, 4
 UNIVERSE = 1 << 20
 SEED = 20240229
-#: Id lists up to so many rows are broadcast; longer ones are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
-
-_ID_BITS = 19
-_LOW = np.uint64((1 << (64 - _ID_BITS)) - 1)
-
+#: Id lists of up to so many bytes are broadcast; longer ones are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+#: In an open bucket a task compares about so many pairs.
+SALT_PAIRS = 1 << 20
 
 def shingle_sets(column, width: int):
-    """For slices of a text column: the first row, the distinct shingle hashes in (row, hash) order, and the rows' bounds among them.
+    """For slices of a text column: the first row, the distinct shingles' 64-bit hashes in (row, hash) order, and the rows' bounds among them.
 
-    A text of fewer words than ``width`` has one shingle, of all its words; one without words has none.
+    A text of fewer words than ``width`` has one shingle, of all its words; one without words has none. A word is a run
+    of bytes without ASCII white space, so that text in a script without blanks is compared by its longer runs.
     """
     texts = arrow_text.strings(column)
     for lo, hi in arrow_text.slices(texts):
-        for a in range(lo, hi, 1 << (_ID_BITS - 1)):
-            part = texts[a : min(hi, a + (1 << (_ID_BITS - 1)))]
-            hashes, bounds = arrow_text.words(*arrow_text.raw(part))
-            counts = np.diff(bounds)
-            with np.errstate(over="ignore"):
-                mixed = np.zeros(len(hashes), np.uint64)
-                for k in range(min(width, len(hashes))):
-                    mixed[: len(hashes) - k] += arrow_text.mix64(hashes[k:] + np.uint64(k + 1)) * np.uint64(2 * k + 3)
-                row = np.repeat(np.arange(len(part)), counts)
-                left = np.repeat(bounds[1:], counts) - np.arange(len(hashes))
-                whole = left >= width
-                short = np.flatnonzero((counts > 0) & (counts < width))
-                for r in short:
-                    w = hashes[bounds[r] : bounds[r + 1]]
-                    mixed[bounds[r]] = np.bitwise_xor.reduce(arrow_text.mix64(w + np.arange(1, len(w) + 1, dtype=np.uint64))) + np.uint64(len(w))
-                whole[bounds[short]] = True
-                keys = (row[whole].astype(np.uint64) << np.uint64(64 - _ID_BITS)) | (arrow_text.mix64(mixed[whole]) & _LOW)
-            keys.sort()
-            if len(keys):
-                keys = keys[np.append(True, keys[1:] != keys[:-1])]
-            yield a, keys & _LOW, np.searchsorted(keys >> np.uint64(64 - _ID_BITS), np.arange(len(part) + 1, dtype=np.uint64))
+        part = texts[lo:hi]
+        hashes, bounds = arrow_text.words(*arrow_text.raw(part))
+        counts = np.diff(bounds)
+        with np.errstate(over="ignore"):
+            mixed = np.zeros(len(hashes), np.uint64)
+            for k in range(min(width, len(hashes))):
+                mixed[: len(hashes) - k] += arrow_text.mix64(hashes[k:] + np.uint64(k + 1)) * np.uint64(2 * k + 3)
+            whole = np.repeat(bounds[1:], counts) - np.arange(len(hashes)) >= width
+            short = np.flatnonzero((counts > 0) & (counts < width))
+            for r in short:
+                w = hashes[bounds[r] : bounds[r + 1]]
+                mixed[bounds[r]] = np.bitwise_xor.reduce(arrow_text.mix64(w + np.arange(1, len(w) + 1, dtype=np.uint64))) + np.uint64(len(w))
+            whole[bounds[short]] = True
+            keys = arrow_text.mix64(mixed[whole])
+        ends = np.append(0, whole.cumsum())[bounds]
+        for r in range(len(part)):
+            keys[ends[r] : ends[r + 1]].sort()
+        new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+        new[ends[:-1][ends[:-1] < ends[1:]]] = True
+        yield lo, keys[new], np.append(0, new.cumsum())[ends]
 
 
 def permutations(universe: int, coordinates: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +85,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width=SHINGLE_WORDS,
     taken = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = taken.schema["id"].dataType
 
+    @arrow_text.lean
     def run(batches):
         scatter, windows = permutations(universe, bands * rows, seed)
         salt = arrow_text.mix64(np.arange(1, bands + 1, dtype=np.uint64))
@@ -112,12 +113,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width=SHINGLE_WORDS,
     return taken.mapInArrow(run, f"id {kind.simpleString()}, n int, hi bigint, lo bigint, bands array<bigint>")
 
 
-def sets_of(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, count: int, width=SHINGLE_WORDS) -> DataFrame:
+def sets_of(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, width=SHINGLE_WORDS) -> DataFrame:
     """``id`` and sorted distinct shingles ``s`` of the rows whose id is in ``ids``."""
     taken = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = taken.schema["id"].dataType
-    wanted = taken.join(F.broadcast(ids) if count <= BROADCAST_ROWS else ids.hint("merge"), "id", "left_semi")
+    wanted = taken.join(F.broadcast(ids) if small(ids) else ids.hint("merge"), "id", "left_semi")
 
+    @arrow_text.lean
     def run(batches):
         for batch in batches:
             for first, sets, bounds in shingle_sets(batch.column(1), width):
@@ -127,6 +129,12 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, count:
     return wanted.mapInArrow(run, f"id {kind.simpleString()}, s array<bigint>")
 
 
+def small(ids: DataFrame) -> bool:
+    """Whether a one-column table's ids may be broadcast, by their bytes."""
+    bytes_ = F.octet_length(F.col(ids.columns[0]).cast("string")) + 32
+    return (ids.agg(F.sum(bytes_)).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs ``a, b`` whose shingle sets have Jaccard similarity of at least ``threshold``."""
     left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
@@ -136,58 +144,88 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.where(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def split_buckets(members: DataFrame, group: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(bucket, id, root)`` of the members whose buckets lie in several groups, and those buckets with their sizes.
+
+    Sizes and bounds are aggregated before they meet the members, so that a bucket of a third of all rows is a row here.
+    """
+    labelled = members.join(group.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    bounds = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    open_ = written(bounds.where("r0 != r1").select("bucket", "size"), "open-buckets")
+    return labelled.join(open_.select("bucket"), "bucket", "left_semi"), open_
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS, universe: int = UNIVERSE, seed: int = SEED
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS, universe: int = UNIVERSE, seed: int = SEED, shortcut: bool = True
 ) -> DataFrame:
     """``(id_col, keep_<id_col>)`` for every document that has a near duplicate of smaller id: itself, and the smallest id of its group.
 
     Groups are the connected components of the candidate pairs whose word-shingle sets are at least ``threshold``
     similar. At the threshold the bands find a pair with probability ``1 - (1 - threshold**rows)**bands`` (0.95 with the
-    defaults), and more often above it. ``universe`` is a power of two.
+    defaults), and more often above it. ``universe`` is a power of two. With ``shortcut`` of equal sets only one takes part
+    in the bands; that they are equal is verified like every link.
 
     A null, empty or blank text is nobody's duplicate, and neither is a row with a null id. Rows that repeat an id are
-    one document of several texts, near whatever any of them is near. Texts of fewer than ``width`` words are near duplicates only of texts with the same words. Other columns
-    are not read. An empty table gives an empty one.
+    one document of several texts, near whatever any of them is near. Texts of fewer than ``width`` words are near duplicates only of texts
+    with the same words. A very long text is shingled whole, as one task's work. Other columns are not read. An empty
+    table gives an empty one.
     """
     sig = written(signatures(docs, id_col, text_col, width, bands, rows, universe, seed), "signatures")
-    # Equal sets need no comparison: one of each goes on.
-    equal = Window.partitionBy("hi", "lo", "n")
-    same = sig.select("id", "hi", "lo", "n").withColumn("rep", F.min("id").over(equal)).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), "hi", "lo", "n").distinct()
-    same = written(same, "same")
+    # Of sets that seem equal one goes on into the bands; the others need but be compared with it.
+    alike = written(sig.groupBy("hi", "lo", "n").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("k")).where(F.col("k") > (1 if shortcut else F.lit(None))).drop("k"), "alike")
+    same = written(sig.select("id", "hi", "lo", "n").join(alike, ["hi", "lo", "n"]).where("id != a").select("a", F.col("id").alias("b"), "hi", "lo", "n").distinct(), "same")
     # Only the text that equals another goes: an id's other texts keep their bands.
     reps = sig.join(same.select(F.col("b").alias("id"), "hi", "lo", "n"), ["id", "hi", "lo", "n"], "left_anti")
-    bucket = Window.partitionBy("bucket")
-    members = (
-        reps.select("id", F.explode("bands").alias("bucket"))
-        .select("id", "bucket", F.min("id").over(bucket).alias("lead"), F.max("id").over(bucket).alias("last"))
-        .where("lead != last")
-        .select("bucket", "id", "lead")
-    )
-    members = written(members, "buckets")
-    ids = written(members.select("id").distinct(), "candidates")
-    sets = written(sets_of(docs, id_col, text_col, ids, ids.count(), width), "sets")
-    star = written(members.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "star")
-    edges = written(verified(star, sets, threshold), "edges")
-    group = connected(edges)
-    # What the stars left open: buckets whose members lie in several groups.
-    labelled = members.join(group.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    open_ = labelled.select("*", F.min("root").over(bucket).alias("r0"), F.max("root").over(bucket).alias("r1")).where("r0 != r1").select("bucket", "id", "root")
-    open_ = written(open_, "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    across = (
-        x.join(y, F.col("x.bucket") == F.col("y.bucket")).where(F.col("x.root") < F.col("y.root"))
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    more = written(verified(written(across, "across"), sets, threshold), "edges")
-    discard(sets)
-    found = connected(edges.unionByName(more).unionByName(same.select("a", "b")))
+    banded = reps.select("id", F.explode("bands").alias("bucket"))
+    leads = written(banded.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead != last").select("bucket", "lead"), "leads")
+    members = written(banded.join(leads, "bucket").distinct(), "buckets")
+    star = written(members.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).union(same.select("a", "b")).distinct(), "star")
+    ids = written(star.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
+    sets = written(sets_of(docs, id_col, text_col, ids, width), "sets")
+    edges = [written(verified(star, sets, threshold), "edges")]
+    apart = shortcut and not same.select("a", "b").join(edges[0], ["a", "b"], "left_anti").isEmpty()
+    for used in (sig, alike, same, leads, ids):
+        discard(used)
+    if apart:  # sums of 128 bits agree, but the sets don't: no set may stand for another
+        for used in (members, star, sets, edges[0]):
+            discard(used)
+        return near_duplicates(docs, id_col, text_col, threshold, width, bands, rows, universe, seed, shortcut=False)
+    found = connected(edges[0])
+    # What the stars left open. Leaders of a bucket are those of its members whose hashes are lowest, each time about twice
+    # as many as before and at last all; those of the last round have met everyone.
+    met = star
+    leaders = 2
+    while True:
+        open_, sizes = split_buckets(members, found)
+        hottest = sizes.agg(F.max("size")).first()[0]
+        if hottest is None or leaders >= hottest:
+            discard(sizes)
+            break
+        leaders *= 8
+        draw = F.pmod(F.xxhash64("bucket", "id"), F.lit(1 << 52)) / float(1 << 52)
+        # With so many leaders a member is spread over as many keys, and the leaders are copied to each.
+        salts = F.greatest(F.lit(1), F.least(F.lit(4096), F.ceil(F.col("size") * F.least(F.lit(leaders), F.col("size")) / SALT_PAIRS))).cast("int")
+        now = open_.join(sizes, "bucket").withColumn("salts", salts)
+        x = now.where(draw * F.col("size") < leaders).select("bucket", F.col("id").alias("x"), F.col("root").alias("rx"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        y = now.select("bucket", F.col("id").alias("y"), F.col("root").alias("ry"), F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
+        pairs = x.join(y, ["bucket", "salt"]).where("rx != ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        across = written(pairs.join(met, ["a", "b"], "left_anti"), "across")
+        before, met = met, written(met.unionByName(across), "met")
+        discard(before)
+        edges.append(written(verified(across, sets, threshold), "edges"))
+        for used in (sizes, across, found):
+            discard(used)
+        found = connected(functools.reduce(DataFrame.unionByName, edges))
+    for used in (star, met, members, sets, *edges):
+        discard(used)
     return found.where("node != root").select(F.col("node").alias(id_col), F.col("root").alias(f"keep_{id_col}"))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the documents that :func:`near_duplicates` finds a smaller id for; one of each group stays, with all its columns."""
+    """``docs`` without the documents that :func:`near_duplicates` finds a smaller id for; one of each group stays, with all its columns.
+
+    Rows that share an id go or stay together. A null id or text, an empty and a blank text stay.
+    """
     (key,) = fresh(docs.columns, "gone")
     gone = written(near_duplicates(docs, id_col, text_col, **how).select(F.col(id_col).alias(key)), "gone")
-    few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone[key], "left_anti")
+    return docs.join(F.broadcast(gone) if small(gone) else gone, docs[id_col] == gone[key], "left_anti")

@@ -121,6 +121,29 @@ def test_links_through_a_third_document_survive_the_stars(spark):
     assert {tuple(r) for r in near_duplicates(frame(spark, rows)).collect()} == brute_groups(rows) == {(1, 0), (2, 0), (3, 0)}
 
 
+def test_a_hot_bucket_of_several_groups_is_resolved(spark):
+    """Everyone shares buckets with everyone, yet links lie along chains whose ends are unlike; small tasks salt them."""
+    rng = random.Random(21)
+    rows = []
+    for g in range(4):
+        words = sentence(rng, 60 + 12 * 40).split()
+        rows += [(200 * g + i, " ".join(words[12 * i : 12 * i + 60])) for i in range(40)]
+    rng.shuffle(rows)
+    docs = frame(spark, [(i, t, "en", "s", 1) for i, t in rows])
+    wanted = brute_groups([(i, t) for i, t in rows])
+    plain, salt = minhash.near_duplicates, minhash.SALT_PAIRS
+    try:
+        minhash.SALT_PAIRS = 16
+        got = {tuple(r) for r in plain(docs, bands=96, rows=1).collect()}
+    finally:
+        minhash.SALT_PAIRS = salt
+    assert got == wanted and len(wanted) >= 100
+
+
+def test_without_the_shortcut_nothing_changes(spark):
+    assert {tuple(r) for r in near_duplicates(frame(spark), shortcut=False).collect()} == brute_groups(awkward())
+
+
 def test_circulant_signatures_estimate_jaccard():
     scatter, windows = minhash.permutations(1 << 16, 128, 7)
     assert sorted(scatter) == list(range(1 << 16)) and (windows[5][:10] == windows[4][1:11]).all()
