@@ -1,8 +1,9 @@
 """Toxic passages as maximum-scoring segments of word log-odds.
 
 Every word of the labelled text gets its log-odds of toxic against clean documents, shrunk by how far the labelled
-documents bear it out: the posterior mean under a prior over log-odds that is itself estimated from all words' counts
-(nonparametric empirical Bayes). Only labelled text enters, so what a word says does not depend on how much clean text
+documents bear it out: prior counts for both classes are added to its own. Words differ in kind, so the prior is a
+mixture of Dirichlet distributions over the two classes, from clean to toxic ones, whose weights are estimated from all
+words' counts. Only labelled text enters, so what a word says does not depend on how much clean text
 the corpus holds. A linear-time scan finds all maximal scoring segments of a text; extreme-value statistics of clean
 held-out text say how surprising each is for a text of that length.
 """
@@ -21,8 +22,8 @@ from loomtext.llm import arrow_text
 
 #: The fit sees at most so many labelled rows, those whose id hashes lowest; a fifth of them is held out for calibration.
 MAX_LABELLED = 40_000
-#: Log-odds that the prior may give weight to, and rounds of fitting those weights.
-GRID, ROUNDS = np.arange(-4, 8.01, 0.5), 200
+#: Log-odds around which the prior's Dirichlet distributions lie, how many documents each counts for, and rounds of fitting their weights.
+GRID, PRIOR, ROUNDS = np.arange(-4, 8.01, 0.5), 400.0, 200
 #: Taken from every word's log-odds, so that a passage must be more toxic than clean by so much a word.
 DRIFT = 0.2
 #: Clean segments above this quantile of their scores say how fast scores decay; log-odds themselves decay at rate 1.
@@ -95,14 +96,26 @@ def passages(hits: np.ndarray, gains: np.ndarray, other: float | np.ndarray) ->
     return [(int(hits[a // 2]), int(hits[(b - 1) // 2]) + 1, s) for a, b, s in segments(short)]
 
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """The logarithm of the gamma function, for positive numbers, by Stirling's series from 8 on."""
+    shift = sum(np.log(x + i) for i in range(8))
+    z = x + 8
+    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - shift
+
+
 def log_odds(toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, float]:
     """Shrunken log-odds of words that so many toxic and clean documents hold, and those of a word that none holds.
 
-    A word with log-odds x is toxic in each document that holds it with odds exp(x) times the average word's.
+    A word with log-odds x is toxic in each document that holds it with odds exp(x) times the average word's. Under each
+    Dirichlet prior of the mixture a word's odds are those of its counts and the prior's together; the mixture weighs
+    the priors by how well they foretell the counts.
     """
     pairs, which, n = np.unique(np.stack([toxic, clean], axis=1), axis=0, return_inverse=True, return_counts=True)
-    at = np.log(toxic.sum() / clean.sum()) + GRID
-    fit_ = -pairs[:, :1] * np.log1p(np.exp(-at)) - pairs[:, 1:] * np.log1p(np.exp(at))
+    t, c = pairs[:, :1], pairs[:, 1:]
+    base = np.log(toxic.sum() / clean.sum())
+    a = PRIOR / (1 + np.exp(-(base + GRID)))
+    b = PRIOR - a
+    fit_ = _log_gamma(a + t) + _log_gamma(b + c) - _log_gamma(PRIOR + t + c) - _log_gamma(a) - _log_gamma(b)
     fit_ = np.exp(fit_ - fit_.max(axis=1, keepdims=True))
     weights = np.full(len(GRID), 1 / len(GRID))
     for _ in range(ROUNDS):
@@ -110,7 +123,8 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, float]:
         posterior /= posterior.sum(axis=1, keepdims=True)
         weights = n @ posterior / n.sum()
     posterior = fit_ * weights
-    return (posterior @ GRID / posterior.sum(axis=1))[which.reshape(-1)], float(weights @ GRID)
+    score = (posterior * (np.log((a + t) / (b + c)) - base)).sum(axis=1) / posterior.sum(axis=1)
+    return score[which.reshape(-1)], float(weights @ GRID)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", max_labelled=MAX_LABELLED) -> Model | None:
@@ -121,6 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(max_labelled).withColumn("held", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) == 0)
     ids = spark.createDataFrame(chosen.collect(), chosen.schema)
 
+    @arrow_text.lean
     def count(batches):
         """In how many toxic and clean documents each word occurs."""
         for batch in batches:
@@ -158,6 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
 
 
 def _lengths(held: DataFrame) -> int:
+    @arrow_text.lean
     def run(batches):
         n = 0
         for batch in batches:
@@ -171,6 +187,7 @@ def _scan(texts: DataFrame, shared, alpha: float | None) -> DataFrame:
     """``id, score, words, p_value, passages`` of the texts ``(id, text)`` that have a scoring segment, or one significant at ``alpha``; without ``alpha`` passages are all segments, without their text."""
     kind = texts.schema["id"].dataType.simpleString()
 
+    @arrow_text.lean
     def run(batches):
         m = shared.value
         for batch in batches:
@@ -217,8 +234,10 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_co
 
     ``labels`` holds ``id_col`` and ``label_col`` (1 toxic, 0 not) for any part of the documents; a document with both
     labels is toxic. Null, empty and wordless texts are not toxic. A row with a null id is judged like any other.
-    Repeated rows are judged and returned each. Without toxic or without clean labels nothing is toxic. Other columns
-    are not read. An empty table gives an empty one.
+    Repeated rows are judged and returned each. Without toxic or without clean labels nothing is toxic. A very long
+    text is scanned whole, as one task's work; its length counts against its passages. Words are runs of letters, digits
+    and apostrophes and of all that is not ASCII, so a text in a script without blanks is matched by its longer runs
+    only. Passages of equal score are all returned. Other columns are not read. An empty table gives an empty one.
     """
     model = fit(docs, labels, id_col, text_col, label_col, max_labelled)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")

@@ -1,6 +1,7 @@
 """Quality, mixing, packing, toxicity."""
 
 import random
+import re
 import warnings
 from collections import Counter
 
@@ -359,5 +360,52 @@ def test_shrunken_log_odds():
     assert score[0] > score[1] > score[2] > score[3] and score[1] > score[5] > score[4] and score[1] > other
 
 
+def test_log_odds_against_their_definition():
+    """One prior at a time, with exact gamma functions."""
+    from math import exp, lgamma, log
+
+    toxic, clean = np.array([9, 3, 0, 1, 0], float), np.array([0, 4, 30, 1, 2], float)
+    assert np.allclose(toxicity._log_gamma(np.array([0.01, 0.5, 1, 3.7, 900.0])), [lgamma(x) for x in (0.01, 0.5, 1, 3.7, 900.0)])
+    base = log(toxic.sum() / clean.sum())
+    weights = [1 / len(toxicity.GRID)] * len(toxicity.GRID)
+    prior = [toxicity.PRIOR / (1 + exp(-(base + g))) for g in toxicity.GRID]
+    fits = [[exp(lgamma(a + t) + lgamma(toxicity.PRIOR - a + c) - lgamma(toxicity.PRIOR + t + c) - lgamma(a) - lgamma(toxicity.PRIOR - a)) for a in prior] for t, c in zip(toxic, clean, strict=True)]
+    for _ in range(toxicity.ROUNDS):
+        post = [[f * w / sum(x * y for x, y in zip(row, weights, strict=True)) for f, w in zip(row, weights, strict=True)] for row in fits]
+        weights = [sum(p[j] for p in post) / len(post) for j in range(len(prior))]
+    want = []
+    for (t, c), row in zip(zip(toxic, clean, strict=True), fits, strict=True):
+        whole = sum(f * w for f, w in zip(row, weights, strict=True))
+        want.append(sum(f * w * (log((a + t) / (toxicity.PRIOR - a + c)) - base) for f, w, a in zip(row, weights, prior, strict=True)) / whole)
+    assert np.allclose(toxicity.log_odds(toxic, clean)[0], want)
+
+
+def test_toxic_documents_against_brute_force(spark, sf):
+    """The whole operator again on the smallest tables, a document at a time, in plain Python."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    words = {r.doc_id: re.findall(r"[a-z0-9'\u0080-\U0010ffff]+", (r.text or "").lower()) for r in docs.collect()}
+    kinds = {r.doc_id: (r.toxic, r.held) for r in labels.groupBy("doc_id").agg({"toxic": "max"}).selectExpr("doc_id", "`max(toxic)` AS toxic", "pmod(xxhash64(doc_id, 1), 5) = 0 AS held").collect()}
+    seen = [Counter(w for i, (y, held) in kinds.items() if not held and y == k for w in set(words[i])) for k in (1, 0)]
+    vocabulary = sorted({*seen[0], *seen[1]})
+    toxic, clean = (np.array([c[w] for w in vocabulary], float) for c in seen)
+    scores, other = toxicity.log_odds(toxic, clean)
+    drift = toxicity.DRIFT + max(0.0, other, float(clean @ scores / clean.sum()))
+    score = dict(zip(vocabulary, scores - drift, strict=True))
+    cut = lambda i: toxicity.segments(np.array([score.get(w, other - drift) for w in words[i]]))
+    calm = [i for i, (y, held) in kinds.items() if held and y == 0]
+    found = np.array([s for i in calm for *_, s in cut(i)])
+    floor = float(np.quantile(found, toxicity.TAIL)) if len(found) else 0.0
+    excess = found[found >= floor] - floor
+    decay = min(1.0, (len(excess) + 1) / (float(excess.sum()) + 1))
+    scale = (len(excess) + 1) / max(1, sum(len(words[i]) for i in calm)) * np.exp(decay * floor)
+    want = {}
+    for i in words:
+        p = {s: -np.expm1(-scale * len(words[i]) * np.exp(-decay * s)) for *_, s in cut(i)}
+        if p and min(p.values()) <= toxicity.ALPHA:
+            want[i] = sorted(s for s in p if p[s] <= toxicity.ALPHA)
+    got = {r.doc_id: sorted({round(p.score, 9) for p in r.passages}) for r in toxicity.toxic_documents(docs, labels).collect()}
+    assert want and got.keys() == want.keys() and all(np.allclose(got[i], sorted({round(s, 9) for s in want[i]})) for i in want)
+
+
 def test_fresh_names():
     assert fresh(["a", "__X"], "x", "x") == ["__x_", "__x__"]
