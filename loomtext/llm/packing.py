@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,11 @@ from pyspark.sql.window import Window
 from loomtext.llm.storage import written
 
 CAPACITY = 2048
-#: Slot tables up to so many rows are broadcast. Their size depends on ``capacity`` and on how lengths are spread, not on how many documents there are.
+#: Slot tables up to so many rows are broadcast. At most ``2 * capacity`` patterns come of as many lengths, and a pattern has
+#: at most ``sqrt(2 * capacity)`` distinct ones: for packs of 2048 that is 262,144 rows, however many documents there are.
 BROADCAST_SLOTS = 500_000
+#: Larger tables are joined by length and block of so many ranks, so that no length meets in one task.
+RANK_BLOCK = 1 << 18
 
 
 def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -55,16 +59,20 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[
     return [(count, lengths) for count, lengths, _ in open_.values()]
 
 
-def slots(found: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int, int, int]]:
-    """``(length, first rank, end rank, first pack, offset)``: where the documents of each length go, by rank."""
+def slots(found: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int, int, int, int]]:
+    """``(length, first rank, end rank, first pack, offset, times)``: where the documents of each length go, by rank.
+
+    A length that a pattern holds ``times`` takes consecutive ranks, ``times`` to a pack.
+    """
     ranks: Counter[int] = Counter()
     out, pack = [], 0
     for count, lengths in found:
         offset = 0
-        for length in lengths:
-            out.append((length, ranks[length], ranks[length] + count, pack, offset))
-            ranks[length] += count
-            offset += length
+        for length, run in groupby(lengths):
+            times = len(list(run))
+            out.append((length, ranks[length], ranks[length] + count * times, pack, offset, times))
+            ranks[length] += count * times
+            offset += length * times
         pack += count
     return out
 
@@ -72,7 +80,7 @@ def slots(found: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int,
 def packed(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", length=None) -> DataFrame:
     """``id_col, piece, begin, length, pack_id, pack_offset``: one row for each piece of each document.
 
-    ``length`` is a Column, by default the number of white-space separated words. A document longer than ``capacity``
+    ``length`` is a Column, by default the number of white-space separated words; with one, ``text_col`` is not read. A document longer than ``capacity``
     is cut: full pieces, then the rest; ``begin`` is where a piece begins in its document. A pack's pieces lie one
     after another without overlap and never exceed ``capacity``. A null, empty or blank text has one row of length 0
     and no pack. Repeated rows are packed each; a null id is kept. Ties between equal lengths are broken by hash, id
@@ -96,12 +104,18 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", te
     before = counts.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
     nth = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "piece"))
     ranked = whole.withColumn("nth", nth).join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("nth") - 1)
-    schema = T.StructType([T.StructField(n, T.LongType(), False) for n in ("length", "first", "end", "pack", "offset")])
+    schema = T.StructType([T.StructField(n, T.LongType(), False) for n in ("length", "first", "end", "pack", "offset", "times")])
     where = spark.createDataFrame(rows, schema)
-    where = F.broadcast(where) if len(rows) <= BROADCAST_SLOTS else where
     # An inner join on the length, then the rank's interval: exactly one slot is left of each row's.
-    placed = ranked.join(where, "length").where("rank >= first AND rank < end")
-    out = placed.select("id", "piece", "begin", "length", (F.col("pack") + F.col("rank") - F.col("first")).alias("pack_id"), F.col("offset").alias("pack_offset"))
+    if len(rows) <= BROADCAST_SLOTS:
+        met = ranked.join(F.broadcast(where), "length")
+    else:
+        block = lambda x: F.floor(x / RANK_BLOCK)
+        met = ranked.withColumn("block", block(F.col("rank"))).join(where.select("*", F.explode(F.sequence(block(F.col("first")), block(F.col("end") - 1))).alias("block")), ["length", "block"])
+    placed = met.where("rank >= first AND rank < end")
+    nth = F.col("rank") - F.col("first")
+    pack = F.col("pack") + F.floor(nth / F.col("times")).cast("bigint")
+    out = placed.select("id", "piece", "begin", "length", pack.alias("pack_id"), (F.col("offset") + F.col("length") * (nth % F.col("times"))).alias("pack_offset"))
     none = F.lit(None).cast("bigint")
     out = out.unionByName(pieces.where("length = 0").select("id", "piece", "begin", "length", none.alias("pack_id"), none.alias("pack_offset")))
     return out.withColumnRenamed("id", id_col)

@@ -167,8 +167,8 @@ def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 @query
 def op2_packing(spark, sf_dir):
-    """Where every piece of every document is packed."""
-    return packed(_table(spark, sf_dir, "documents"))
+    """Where every piece of every document is packed, in tokens of the vocabulary."""
+    return packed(token_counts(_table(spark, sf_dir, "documents")), length=F.col("n_tokens"))
 
 
 @query

@@ -61,8 +61,10 @@ def boundaries(piece: str, encoder: tiktoken.Encoding, lengths: np.ndarray, scan
 def _chunked(texts: DataFrame, shared, pattern: str, chunk: int, overlap: int) -> DataFrame:
     """``id, h, size, n`` of each row of ``(id, h, size, text)``; ``n`` is null where two neighbouring chunks have no common boundary."""
     kind = texts.schema["id"].dataType.simpleString()
-    rows = texts.withColumn("r", F.monotonically_increasing_id())
+    # Rows of one id and text have one number, whichever task reads them: they are encoded each and counted together.
+    rows = texts.withColumn("r", F.xxhash64("id", "h", "size"))
 
+    @arrow_text.lean
     def split(batches):
         for batch in batches:
             ids, h, size, text, r = batch.columns
@@ -77,6 +79,7 @@ def _chunked(texts: DataFrame, shared, pattern: str, chunk: int, overlap: int) -
                         names=["id", "h", "size", "r", "start", "piece"],
                     )
 
+    @arrow_text.lean
     def encode(batches):
         encoder, lengths = encoding(shared.value, pattern)
         scan = regex.compile(pattern)
@@ -96,6 +99,8 @@ def _chunked(texts: DataFrame, shared, pattern: str, chunk: int, overlap: int) -
 
     pieces = rows.select("id", "h", "size", "text", "r").mapInArrow(split, f"id {kind}, h bigint, size bigint, r bigint, start bigint, piece string")
     coded = pieces.repartition("r", "start").mapInArrow(encode, f"id {kind}, h bigint, size bigint, r bigint, start bigint, hp array<bigint>, hn array<bigint>, tp array<bigint>, tn array<bigint>, n bigint")
+    same = ["id", "h", "size", "r", "start"]
+    coded = coded.groupBy(*same).agg(*[F.any_value(c).alias(c) for c in ("hp", "hn", "tp", "tn", "n")], F.count(F.lit(1)).alias("times"))
     order = Window.partitionBy("r").orderBy("start")
     met = coded.select("*", F.lead("hp").over(order).alias("np"), F.lead("hn").over(order).alias("nn"))
     p = F.try_element_at(F.array_intersect("tp", "np"), F.lit(1))
@@ -105,8 +110,8 @@ def _chunked(texts: DataFrame, shared, pattern: str, chunk: int, overlap: int) -
     # What a chunk adds: its tokens, or those before the splice, less those that the next chunk has before it.
     adds = F.when(F.col("np").isNull(), F.col("n")).otherwise(here - there)
     fails = F.col("np").isNotNull() & F.col("p").isNull()
-    done = met.groupBy("r").agg(F.first("id").alias("id"), F.first("h").alias("h"), F.first("size").alias("size"), F.when(~F.bool_or(fails), F.sum(F.when(~fails, adds))).alias("n"))
-    return done.select("id", "h", "size", "n")
+    done = met.groupBy("r").agg(F.first("id").alias("id"), F.first("h").alias("h"), F.first("size").alias("size"), F.when(~F.bool_or(fails), F.sum(F.when(~fails, adds))).alias("n"), F.any_value("times").alias("times"))
+    return done.select("id", "h", "size", "n", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth")).drop("nth")
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -114,7 +119,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
 
     ``vocabulary`` is a file of byte-level ranks; the driver reads and broadcasts it (about a megabyte). Texts longer
     than ``chunk`` characters are spread over the cluster in chunks. A null or empty text has 0 tokens. A null id is
-    kept. Repeated rows are counted and returned each. Special tokens have no special meaning in a text. Other columns
+    kept. Repeated rows are returned each, and texts of one id told apart by a hash of 64 bits and their length. Special tokens have no special meaning in a text. Other columns
     are not read. An empty table gives an empty one.
     """
     if overlap <= MARGIN or chunk <= overlap:
@@ -124,6 +129,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
 
+    @arrow_text.lean
     def short(batches):
         encoder, _ = encoding(shared.value, pattern)
         for batch in batches:

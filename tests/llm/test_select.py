@@ -88,6 +88,22 @@ def test_patterns_refuse_bad_lengths():
         packing.patterns({9: 1}, 8)
 
 
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_slots_hold_each_rank_once(spark, broadcast, monkeypatch):
+    """Packs from given lengths, with the slots broadcast and with them joined by blocks of ranks."""
+    monkeypatch.setattr(packing, "BROADCAST_SLOTS", broadcast)
+    monkeypatch.setattr(packing, "RANK_BLOCK", 7)
+    rng = random.Random(6)
+    sizes = [rng.choice([1, 1, 1, 2, 3, 5, 16, 40]) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(sizes)), "doc_id int, size int")
+    rows = packing.packed(docs, 16, length=docs.size).collect()
+    taken = Counter((r.pack_id, r.pack_offset + k) for r in rows for k in range(r.length))
+    assert max(taken.values()) == 1 and sum(taken.values()) == sum(sizes)
+    packs = Counter(p for p, _ in taken)
+    assert max(packs.values()) <= 16 and sorted(packs) == list(range(len(packs)))
+    assert sorted(16 - n for n in packs.values()) == simulate([r.length for r in rows], 16)
+
+
 def test_packs_hold_every_word_once_and_never_overflow(spark):
     docs = frame(spark)
     out = packing.packed(docs, capacity=128)
@@ -369,7 +385,8 @@ def test_log_odds_against_their_definition():
     base = log(toxic.sum() / clean.sum())
     weights = [1 / len(toxicity.GRID)] * len(toxicity.GRID)
     prior = [toxicity.PRIOR / (1 + exp(-(base + g))) for g in toxicity.GRID]
-    fits = [[exp(lgamma(a + t) + lgamma(toxicity.PRIOR - a + c) - lgamma(toxicity.PRIOR + t + c) - lgamma(a) - lgamma(toxicity.PRIOR - a)) for a in prior] for t, c in zip(toxic, clean, strict=True)]
+    fits = [[lgamma(a + t) + lgamma(toxicity.PRIOR - a + c) - lgamma(toxicity.PRIOR + t + c) - lgamma(a) - lgamma(toxicity.PRIOR - a) for a in prior] for t, c in zip(toxic, clean, strict=True)]
+    fits = [[exp(x - max(row)) for x in row] for row in fits]
     for _ in range(toxicity.ROUNDS):
         post = [[f * w / sum(x * y for x, y in zip(row, weights, strict=True)) for f, w in zip(row, weights, strict=True)] for row in fits]
         weights = [sum(p[j] for p in post) / len(post) for j in range(len(prior))]
