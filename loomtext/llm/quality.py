@@ -17,7 +17,7 @@ from loomtext.llm.storage import fresh
 
 #: The fit sees at most so many labelled rows, those whose id hashes lowest.
 MAX_LABELLED = 12_000
-#: Share of the labelled good documents that the cut-off must keep.
+#: Share of the good documents among the labelled ones that are held out (a fifth) that the cut-off must keep.
 KEEP_GOOD = 0.998
 TREES, DEPTH, SHRINK, CUTS = 40, 3, 0.3, 24
 PENALTY, STEPS = 2e-3, 300
@@ -40,7 +40,8 @@ def statistics(text: Column) -> dict[str, Column]:
         "word_length": chars / n_words,
         "distinct_words": F.size(F.array_distinct(words)) / n_words,
         "word_variety": F.size(F.array_distinct(words)) / F.sqrt(n_words.cast("double")),
-        "repeats": share(r"(?<!\S)(\S+)(?:\s\1)+(?!\S)"),
+        # Words that the next one repeats. Without a loop over groups, which would take stack by the word.
+        "repeats": share(r"(?<!\S)(\S+)\s(?=\1(?!\S))"),
         "upper": share(r"\p{Lu}+"),
         "digits": share(r"\p{N}+"),
         "symbols": share(r"[^\p{L}\p{N}\s.,;:!?'\"()-]+"),
@@ -160,8 +161,13 @@ def lasso_logistic(r: np.ndarray, y: np.ndarray, penalty=PENALTY, steps=STEPS) -
     return b[:-1], float(b[-1])
 
 
-def fit_arrays(x: np.ndarray, y: np.ndarray, keep_good: float = KEEP_GOOD) -> Model:
-    """With one class only, or no rows, the model keeps everything but blank texts."""
+def fit_arrays(x: np.ndarray, y: np.ndarray, keep_good: float = KEEP_GOOD, held: np.ndarray | None = None) -> Model:
+    """Rules and weights of the rows that are not ``held`` out; the cut-off is the lowest that keeps ``keep_good`` of the good ones held out.
+
+    With one class only, or no rows, the model keeps everything but blank texts.
+    """
+    held = np.zeros(len(y), bool) if held is None else held
+    x_held, y_held, x, y = x[held], y[held], x[~held], y[~held]
     if len(y) == 0 or y.min() == y.max():
         return Model((), 0.0, 0.0)
     rules = extract_rules(x, y)
@@ -169,7 +175,7 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, keep_good: float = KEEP_GOOD) -> Mo
     weights, intercept = lasso_logistic(r, y)
     kept = tuple(Rule(rule.tests, float(w)) for rule, w in zip(rules, weights, strict=True) if abs(w) > 1e-9)
     model = Model(kept, intercept, 0.0)
-    good = np.sort(model.score_array(x)[y == 1])
+    good = np.sort(model.score_array(x_held)[y_held == 1] if (y_held == 1).any() else model.score_array(x)[y == 1])
     lowest = good[int(np.floor((1 - keep_good) * len(good)))]
     return Model(kept, intercept, float(min(0.0, lowest) - 1e-9))
 
@@ -179,9 +185,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").orderBy(F.xxhash64("id"), "id", "y").limit(max_labelled)
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t IS NOT NULL")
     stats = statistics(F.col("t"))
-    rows = text.join(F.broadcast(chosen), "id").select("id", "y", *[c.cast("double").alias(f"s{i}") for i, c in enumerate(stats.values())]).collect()
-    data = np.array(sorted(tuple(r) for r in rows), dtype=float).reshape(len(rows), len(stats) + 2)
-    return fit_arrays(data[:, 2:], data[:, 1], keep_good)
+    held = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) == 0
+    rows = text.join(F.broadcast(chosen), "id").select("id", "y", held.cast("double"), *[c.cast("double").alias(f"s{i}") for i, c in enumerate(stats.values())]).collect()
+    data = np.array(sorted(tuple(r) for r in rows), dtype=float).reshape(len(rows), len(stats) + 3)
+    return fit_arrays(data[:, 3:], data[:, 1], keep_good, data[:, 2] == 1)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
@@ -201,7 +208,8 @@ def good_documents(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col
     """The documents that the classifier keeps, with their score.
 
     ``labels`` holds ``id_col`` and ``label_col`` (1 good, 0 not); it may label any part of the documents, and a
-    document twice. A null or blank text is rejected. A null id is no obstacle. Repeated rows are judged alike. With no
+    document twice: with both labels it counts for both. Equal scores fare alike. A very long text is measured whole, as
+    one row's work. A null or blank text is rejected. A null id is no obstacle. Repeated rows are judged alike. With no
     labels, or of one class only, all but blank texts stay. Every other column is kept; one named like ``score_col`` is
     replaced.
     """

@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 import warnings
 from collections import Counter
 
@@ -47,6 +48,87 @@ def test_quality_holds_on_documents_it_has_not_seen(spark):
     assert sum(i + 5000 in kept for i, q in truth if q) >= 0.98 * sum(q for _, q in truth)
 
 
+def plain_tree(x, cuts, grad, hess, rows, depth, tests, found):
+    """A tree by trying every cut, row by row."""
+    if depth == 0 or len(rows) < 20:
+        return {}
+    g, h = sum(grad[i] for i in rows), sum(hess[i] for i in rows)
+    best = (1e-6, None)
+    for j, bounds in enumerate(cuts):
+        scored = []
+        for b in bounds:
+            low = [i for i in rows if x[i, j] <= b]
+            gl, hl = sum(grad[i] for i in low), sum(hess[i] for i in low)
+            few = len(low) < 5 or len(rows) - len(low) < 5
+            scored.append(-1 if few else gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1))
+        if scored and max(scored) > best[0] + 1e-12:
+            best = (max(scored), (j, bounds[scored.index(max(scored))]))
+    if best[1] is None:
+        return {}
+    j, b = best[1]
+    for above in (True, False):
+        path = (*tests, (j, above, float(b)))
+        found.append(path)
+        plain_tree(x, cuts, grad, hess, [i for i in rows if (x[i, j] > b) == above], depth - 1, path, found)
+    return found
+
+
+def test_a_tree_takes_the_best_cut_at_every_node():
+    rng = np.random.default_rng(11)
+    x = rng.random((150, 3)).round(2)
+    y = ((x[:, 0] > 0.4) & (x[:, 1] < 0.7)).astype(float)
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0.05, 0.95, 12))) for j in range(3)]
+    grad, hess = y - 0.5, np.full(150, 0.25)
+    found = []
+    quality._tree(x, cuts, grad, hess, np.arange(150), 3, (), found)
+    assert [r.tests for r in found] == plain_tree(x, cuts, grad, hess, list(range(150)), 3, (), [])
+
+
+def test_lasso_weights_meet_the_conditions_of_the_optimum():
+    """Every weight's slope is the penalty against its sign, and no more than the penalty where the weight is 0."""
+    rng = np.random.default_rng(3)
+    r = (rng.random((400, 12)) > 0.5).astype(float)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2 * r[:, 0] - 3 * r[:, 1] + 0.5)))).astype(float)
+    w, b = quality.lasso_logistic(r, y, penalty=5e-3, steps=6000)
+    p = 1 / (1 + np.exp(-(r @ w + b)))
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    slope = r.T @ (weight * (y - p))
+    assert abs((weight * (y - p)).sum()) < 1e-4 and (w == 0).any() and (w != 0).any()
+    assert np.allclose(slope[w != 0], 5e-3 * np.sign(w[w != 0]), atol=1e-4) and (np.abs(slope[w == 0]) <= 5e-3 + 1e-4).all()
+
+
+def plain_statistics(text):
+    words, lines = re.split(r"\s+", text.strip(" ")), text.split("\n")
+    letters = lambda keep: sum(keep(c) for c in text) / max(1, len(text))
+    said = re.sub(r"(?<!\S)(\S+)\s(?=\1(?!\S))", "", text)
+    return [
+        np.log1p(len(text)), len(text) / len(words), len(set(words)) / len(words), len(set(words)) / len(words) ** 0.5, (len(text) - len(said)) / max(1, len(text)),
+        letters(lambda c: unicodedata.category(c) == "Lu"), letters(lambda c: unicodedata.category(c)[0] == "N"),
+        letters(lambda c: not (unicodedata.category(c)[0] in "LN" or c in " \t\n\x0b\f\r.,;:!?'\"()-")), letters(lambda c: c in "!?"), len(set(lines)) / len(lines), np.log1p(len(text) / len(lines)),
+    ]
+
+
+def test_quality_against_brute_force(spark, sf):
+    """Statistics, sample and cut again in plain Python on the smallest tables; the fit of the arrays is tested above."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    stats = {r.doc_id: plain_statistics(r.text) for r in docs.collect()}
+    rows = sorted((r.doc_id, r.quality, float(r.held), *stats[r.doc_id]) for r in labels.selectExpr("doc_id", "quality", "pmod(xxhash64(doc_id, 1), 5) = 0 AS held").collect())
+    data = np.array(rows, float)
+    model = quality.fit_arrays(data[:, 3:], data[:, 1], held=data[:, 2] == 1)
+    want = dict(zip(stats, model.score_array(np.array(list(stats.values()))), strict=True))
+    blank = {r.doc_id for r in docs.collect() if not r.text.strip()}
+    got = {r.doc_id: r.quality_score for r in quality.good_documents(docs, labels).collect()}
+    assert got.keys() == {i for i, s in want.items() if s >= model.cut and i not in blank}
+    assert all(abs(got[i] - want[i]) < 1e-6 for i in got)
+
+
+def test_quality_of_very_long_texts(spark):
+    rows, labels = labelled()
+    long = [(9001, "same " * 400_000, "en", "s", 1), (9002, "A" * 3_000_000, "en", "s", 1), (9003, sentence(random.Random(1), 300_000), "en", "s", 1)]
+    got = {r.doc_id for r in quality.good_documents(frame(spark, rows + long), spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()}
+    assert 9003 in got
+
+
 def test_quality_of_awkward_documents(spark):
     rows, labels = labelled()
     lab = spark.createDataFrame([*labels, (None, 1), (1000, None), (1001, 1), (1001, 1), (77777, 0)], "doc_id bigint, quality int")
