@@ -4,9 +4,11 @@ import gzip
 import random
 import re
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from llm_fixtures import awkward, empty, frame, sentence
 
@@ -208,6 +210,82 @@ def prints(texts, level=fingerprints.LEVEL):
     return fingerprints.fingerprint_slice(*arrow_text.raw(arrow_text.strings(pa.array(texts))), level)
 
 
+MASK = (1 << 64) - 1
+
+
+def plain_mix(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = ((x ^ (x >> shift)) * factor) & MASK
+    return x
+
+
+def plain_toss(x):
+    """Each symbol's lowest bit that differs from the symbol before, and its value; the first has a neighbour that differs in bit 0."""
+    out = []
+    for i, v in enumerate(x):
+        other = v ^ 1 if i == 0 else x[i - 1]
+        bit = next(b for b in range(64) if (v ^ other) >> b & 1)
+        out.append(2 * bit + (v >> bit & 1))
+    return out
+
+
+def plain_parse(x):
+    """One level of the parse of one text, symbol by symbol."""
+    step = 0x9FB21C651E98DF25
+    if len(x) == 1:
+        return x
+    flat = []
+    for v, run in groupby(x):
+        n = len(list(run))
+        flat.append(v if n == 1 else plain_mix((v * step + n) & MASK))
+    colour = plain_toss(flat)
+    for _ in range(3):
+        colour = plain_toss(colour)
+    for high in (3, 4, 5):
+        old = list(colour)
+        for i, c in enumerate(old):
+            if c == high:
+                near = {old[i - 1] if i else None, old[i + 1] if i + 1 < len(old) else None}
+                colour[i] = min({0, 1, 2} - near)
+    last = len(flat) - 1
+    starts = [0, *[i for i in range(2, last) if colour[i] > colour[i - 1] and colour[i] > colour[i + 1]]]
+    names = []
+    for a, b in zip(starts, [*starts[1:], len(flat)], strict=True):
+        names.append(plain_mix((sum(plain_mix((v + k * step) & MASK) for k, v in enumerate(flat[a:b])) + b - a) & MASK))
+    return names
+
+
+def plain_prints(text, level=fingerprints.LEVEL):
+    x, height, names = [b + 1 for b in text.encode()], 0, None
+    while len(x) > 1:
+        if height == level:
+            names = x
+        x, height = plain_parse(x), height + 1
+    if height == level:
+        names = x
+    return sorted(set(x if names is None else names)), x[0] if x else 0, height
+
+
+def test_fingerprints_against_brute_force(sf):
+    rng = random.Random(17)
+    docs = [r["text"] for r in pq.read_table(f"{sf}/documents.parquet", columns=["text"]).to_pylist()]
+    texts = [t for t in docs if len(t) < 4000][:60]
+    texts += [t or "" for _, t, *_ in awkward() if len(t or "") < 4000] + ["a", "aa", "ab", "aab", "abb", "a" * 500, "ab" * 300]
+    texts += ["".join(rng.choice("ab") for _ in range(rng.randint(1, 60))) for _ in range(100)]
+    names, root, height = prints(texts)
+    for i, t in enumerate(texts):
+        assert (names[i].tolist(), int(root[i]), int(height[i])) == plain_prints(t), t[:50]
+
+
+def test_fingerprints_of_very_long_texts():
+    rng = random.Random(5)
+    passage = sentence(rng, 80)
+    long = sentence(rng, 250_000)
+    names, _, height = prints([long + passage + long, "a" * 3_000_000])
+    inside = set(prints([passage])[0][0].tolist())
+    assert len(inside & set(names[0].tolist())) >= 0.8 * len(inside) and height[0] > 8 and height[1] == 1
+
+
 def test_equal_passages_share_signatures_at_any_offset():
     rng = random.Random(1)
     passage = sentence(rng, 60)
