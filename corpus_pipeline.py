@@ -15,13 +15,14 @@ from loomtext.llm.mixing import mixed
 from loomtext.llm.packing import packed
 from loomtext.llm.quality import good_documents
 from loomtext.llm.queries import TARGETS, labelled_domains
-from loomtext.llm.storage import discard, written
+from loomtext.llm.storage import discard, fresh, written
 from loomtext.llm.token_counts import token_counts
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go, and so do null and blank texts. Equal rows fare alike; null ids are no obstacle."""
-    return good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(docs.columns)
+    (score,) = fresh(docs.columns, "score")
+    return good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), score_col=score).drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
