@@ -28,6 +28,11 @@ def slug(title: str) -> str:
     return re.sub("-{2,}", "-", re.sub(r"[^a-z0-9-]+", "", t)).strip("-")
 
 
+def anchor_words(anchor: str) -> str:
+    """Blanks around ``:`` and ``&`` in an anchor count as one blank after it."""
+    return re.sub(r"\s+", " ", re.sub(r"\s*([:&])\s*", r"\1 ", anchor)).strip()
+
+
 @dataclass
 class Heading:
     level: int
@@ -348,6 +353,20 @@ def processed(text: Column, label: Column, options: MarkdownOptions) -> Column:
     return run(text, label)
 
 
+def headings(text: Column) -> Column:
+    """Each document's headings: ``array<struct<level, title, start, end, path>>``, with their lines, where their sections end, and the titles above them."""
+
+    @F.pandas_udf("array<struct<level: int, title: string, start: int, end: int, path: array<string>>>")
+    def run(texts: pd.Series) -> pd.Series:
+        def found(t):
+            doc = parse(t)
+            return [{"level": h.level, "title": h.title, "start": h.start, "end": h.end, "path": doc.path(h)} for h in doc.headings]
+
+        return texts.map(found, na_action="ignore")
+
+    return run(text)
+
+
 def slugs(title: Column) -> Column:
     """Anchors of titles in any script."""
 

@@ -126,8 +126,3 @@ def regex_flags(flags: str) -> str:
     """``i``, ``m`` and ``s`` as an inline group; other letters are ignored."""
     use = "".join(f for f in "ims" if f in (flags or ""))
     return f"(?{use})" if use else ""
-
-
-def anchor_words(anchor: Column) -> Column:
-    """Blanks around ``:`` and ``&`` in an anchor count as one blank after it."""
-    return F.trim(F.regexp_replace(F.regexp_replace(anchor, r"\s*([:&])\s*", "$1 "), r"\s+", " "))

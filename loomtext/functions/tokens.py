@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import importlib.util
 import os
+import re
 from collections.abc import Callable
 from pathlib import Path
 from typing import Protocol
@@ -102,6 +103,14 @@ def tokenizer(library: str, model: str) -> Tokenizer:
     return _OPEN[key]
 
 
+def counter(library: str | None = None, model: str = "") -> Callable[[str], int]:
+    """Tokens of one text on the driver, as :func:`counts` says."""
+    if library is None:
+        return lambda text: len(re.findall(r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]", text, re.ASCII))
+    t = tokenizer(library, model)
+    return lambda text: len(t.encode(text)) if text else 0
+
+
 def counts(text: Column, library: str | None = None, model: str = "") -> Column:
     """Tokens of each text; without a library the built-in counter, which needs no Python."""
     if library is None:

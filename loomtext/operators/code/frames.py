@@ -82,8 +82,16 @@ def markdown_options(o: dict) -> markdown.MarkdownOptions:
     )
 
 
-def processed_files(files: DataFrame, holds: Callable[[str], bool] = lambda _: False, count: Callable[[str], int] = transforms.count_tokens) -> DataFrame:
-    """Adds ``processed_text`` and ``meta`` to ``rel_path, text, adapter, options (JSON), label``; trivial files go. Texts end in one newline."""
+#: The metadata's key for what is wrong with a document, which then is left as it is.
+PROBLEM = "problem"
+
+
+def processed_files(files: DataFrame, holds: Callable[[str], bool] = lambda _: False, count: Callable[[str], int] = transforms.count_tokens, keep_trivial: bool = False) -> DataFrame:
+    """Adds ``processed_text`` and ``meta`` to ``rel_path, text, adapter, options (JSON), label``. Texts end in one newline.
+
+    Trivial files go, or with ``keep_trivial`` have a null text. Of a Markdown document that breaks its options' rules
+    the metadata say so, under :data:`PROBLEM`.
+    """
     extra = dict(ADAPTERS)
 
     @F.pandas_udf("keep boolean, text string, meta map<string,string>")
@@ -96,7 +104,11 @@ def processed_files(files: DataFrame, holds: Callable[[str], bool] = lambda _: F
             if name in extra:
                 out, meta = extra[name](text, o, label)
             elif name == "markdown":
-                out, meta = markdown.process(text, markdown_options(o), label, holds)
+                options = markdown_options(o)
+                try:
+                    out, meta = markdown.process(text, options, label, holds)
+                except markdown.MarkdownError as error:
+                    out, meta = text, {PROBLEM: str(error)}
             elif name in LANGUAGES:
                 if o.get("skip_trivial_files", True) and reading.is_trivial(path, text, name):
                     rows.append((False, None, None))
@@ -109,4 +121,4 @@ def processed_files(files: DataFrame, holds: Callable[[str], bool] = lambda _: F
 
     done = "__done"
     wide = files.withColumn(done, run("rel_path", "text", "adapter", "options", "label"))
-    return wide.where(f"{done}.keep").select(*files.columns, F.col(f"{done}.text").alias("processed_text"), F.col(f"{done}.meta").alias("meta"))
+    return (wide if keep_trivial else wide.where(f"{done}.keep")).select(*files.columns, F.col(f"{done}.text").alias("processed_text"), F.col(f"{done}.meta").alias("meta"))

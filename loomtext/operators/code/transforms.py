@@ -328,21 +328,27 @@ def literals(src: Source, o: Mapping) -> None:
     if most is None:
         return
     lang, text, code = LANGUAGES[src.language], src.text, src.code
+    joined = _joined_strings(src) if src.language in ("python", "c", "cpp") else {}
     for s in src.spans:
+        if id(s) in joined:
+            continue
         if s.kind == "string" and src.count(text[s.inner[0] : s.inner[1]]) > most:
             body = text[s.inner[0] : s.inner[1]]
             at = max(1, len(body) * max(0, most - 1) // src.count(body))
-            fmt = text[s.start : s.inner[0]].lower().startswith(("f", "rf", "fr")) or text[s.start : s.start + 1] == "`" or src.language in ("kotlin", "scala")
-            at = _balanced_cut(body, at, lang.interpolation) if fmt else at
-            while at and body[at - 1] == "\\":
-                at -= 1
-            src.remove(s.start, s.end, "literal_string", text[s.start : s.inner[0]] + body[:at] + "…" + text[s.inner[1] : s.end], "truncated", mark=False)
+            src.remove(s.start, s.end, "literal_string", _cut_string(src, s, at), "truncated", mark=False)
+    for group in {id(g): g for g in joined.values()}.values():
+        _trim_joined(src, group, most)
     declared = [(e.body or (e.start, e.start)) for e in src.elements]
     opens = [m.start() for m in re.finditer("|".join(re.escape(c) for c in lang.collections), code)] if lang.collections else []
     for f in lang.factories:
         opens += [m.end() - 1 for m in re.finditer(rf"(?<![\w.]){re.escape(f)}(?:\[[^\]]*\]|<[^>]*>)?\s*[(\[]", code)]
+    blocks = _initialiser_blocks(src) if src.language == "java" else {}
     for at in sorted(set(opens)):
         end = reading.matching(code, at)
+        if at in blocks:
+            if blocks[at] is not None:
+                _trim_block(src, *blocks[at], most)
+            continue
         before = code[_line_start(code, at) : at].rstrip()
         if code[at] in "{(" and not _is_literal(src, at, before, declared):
             continue
@@ -372,6 +378,96 @@ def literals(src: Source, o: Mapping) -> None:
         src.remove(cut, end - 1, "literal", more + tail, "truncated", mark=False)
 
 
+def _cut_string(src: Source, s: Span, at: int) -> str:
+    """A string whose content is cut at ``at`` or a little before: in no interpolation and after no lone backslash."""
+    text, body = src.text, src.text[s.inner[0] : s.inner[1]]
+    fmt = text[s.start : s.inner[0]].lower().startswith(("f", "rf", "fr")) or text[s.start : s.start + 1] == "`" or src.language in ("kotlin", "scala")
+    at = _balanced_cut(body, at, LANGUAGES[src.language].interpolation) if fmt else at
+    while at and body[at - 1] == "\\":
+        at -= 1
+    return text[s.start : s.inner[0]] + body[:at] + "…" + text[s.inner[1] : s.end]
+
+
+def _joined_strings(src: Source) -> dict[int, list[Span]]:
+    """Strings that the language joins because only white space is between them: the group of each, by the span's identity."""
+    out: dict[int, list[Span]] = {}
+    group: list[Span] = []
+    for s in [*[s for s in src.spans if s.kind == "string"], None]:
+        between = src.text[group[-1].end : s.start] if group and s else "x"
+        # In Python a line may end between them only inside brackets; there the next string would begin another statement otherwise.
+        apart = between.replace("\\\n", "").strip() or (src.language == "python" and "\n" in between.replace("\\\n", "") and not _in_brackets(src.code, s.start))
+        if group and apart:
+            if len(group) > 1:
+                out |= {id(m): group for m in group}
+            group = []
+        if s:
+            group = [*group, s]
+    return out
+
+
+def _in_brackets(code: str, at: int) -> bool:
+    depth = 0
+    for c in reversed(code[:at]):
+        if c in ")]}":
+            depth += 1
+        elif c in "([{":
+            if depth == 0:
+                return True
+            depth -= 1
+    return False
+
+
+def _trim_joined(src: Source, group: list[Span], most: int) -> None:
+    """Joined strings are one literal: parts stay while they fit, the part that doesn't is cut, and those after it go."""
+    sizes = [src.count(src.text[s.inner[0] : s.inner[1]]) for s in group]
+    if sum(sizes) <= most:
+        return
+    left = most - 1
+    for s, size in zip(group, sizes, strict=True):
+        if size > left:
+            body = src.text[s.inner[0] : s.inner[1]]
+            shown = _cut_string(src, s, max(0 if s is not group[0] else 1, len(body) * max(0, left) // max(1, size)))
+            src.remove(s.start, group[-1].end, "literal_string", shown, "truncated", mark=False)
+            return
+        left -= size
+
+
+def _initialiser_blocks(src: Source) -> dict[int, tuple[int, int] | None]:
+    """Double braces after ``new T(…)``: the inner block of each by its place; the outer brace is there without one, being no collection."""
+    out: dict[int, tuple[int, int] | None] = {}
+    for m in re.finditer(r"\bnew\s+[\w.]+(?:<[^;{}()]*>)?\s*\(", src.code):
+        after = reading.matching(src.code, m.end() - 1)
+        double = re.compile(r"\s*(\{)\s*(\{)").match(src.code, after)
+        if double:
+            out[double.start(1)] = None
+            out[double.start(2)] = (double.start(2), reading.matching(src.code, double.start(2)))
+    return out
+
+
+def _trim_block(src: Source, start: int, end: int, most: int) -> None:
+    """Statements of a block initialiser stay while they fit: the first, and any later one for which there is room."""
+    text, inside = src.text, src.text[start + 1 : end - 1]
+    if src.count(inside) <= most:
+        return
+    found, depth, at = [], 0, 0
+    quoted = _quoted(src, start + 1, end - 1)
+    for i, c in enumerate(quoted):
+        depth += (c in "([{") - (c in ")]}")
+        if c == ";" and depth == 0:
+            found.append((at + len(quoted[at:i]) - len(quoted[at:i].lstrip()), i + 1))
+            at = i + 1
+    keep = trimmed_statements([inside[a:b] for a, b in found], most, src.count)
+    i = 0
+    while i < len(found):
+        j = i
+        while j < len(found) and not keep[j]:
+            j += 1
+        if j > i:
+            a, b = start + 1 + found[i][0], start + 1 + found[j - 1][1]
+            src.remove(a, b, "literal", f"/* … {j - i} {plural('statement', j - i)} (−{src.count(text[a:b])} tokens) */", "truncated", mark=False)
+        i = max(j, i + 1)
+
+
 def _quoted(src: Source, start: int, end: int) -> str:
     """The text with comments blanked and strings as words, so that splitting sees neither's commas."""
     out = src.text[start:end]
@@ -399,33 +495,43 @@ def trimmed_statements(statements: list[str], budget: int, count: Callable[[str]
 
 
 def finish(src: Source, ratio: float, least: int) -> str:
-    """Settles overlaps, merges neighbours, and puts placeholders where they pay; what doesn't pay stays."""
-    mark = LANGUAGES[src.language].line_comments[0]
-    text = src.text
-    done: list[Edit] = []
-    for e in model.collapse(text, model.settle(src.edits)):
-        if not e.mark:
-            if src.count(e.text) < src.count(text[e.start : e.end]):
-                done.append(e)
-            continue
-        head, rest = text[_line_start(text, e.start) : e.start], text[e.end : _line_end(text, e.end)]
-        first = text[e.start : e.end]
-        indent = re.match(r"[ \t]*", first if not head.strip() and first[:1] in " \t" else head)[0]
-        words = placeholder(e)
-        if src.language == "python" and e.kind == "docstring":
-            shown = f'"""{words}."""'
-        elif rest.strip() and mark != "#":
-            shown = f"/* {words} */"
-        elif head.strip() and not head.rstrip().endswith(("{", ":")) and "\n" not in first:
-            shown = f"{mark} {words}"
-        else:
-            shown = ("" if head.strip() or head == indent else indent) + f"{mark} {words}" + ("\n" if first.endswith("\n") else "")
-        if rest.strip() and mark == "#" and not first.endswith("\n"):
-            shown = "" if not rest.lstrip().startswith(";") else shown
-        if economical(first, shown, ratio, least, src.count):
-            done.append(Edit(e.start, e.end, shown, e.kind))
+    """Settles overlaps, merges neighbours, and puts placeholders where they pay; what doesn't pay stays, and gives way to the edits inside it."""
+    edits = list(src.edits)
+    while True:
+        settled = model.settle(edits)
+        done, refused = [], []
+        for e in model.collapse(src.text, settled):
+            made = _shown(src, e, ratio, least)
+            (refused if made is None else done).append(e if made is None else made)
+        out = [e for e in settled if any(r.start <= e.start and e.end <= r.end for r in refused)]
+        inner = [e for e in edits if e not in out and any(o.start <= e.start and e.end <= o.end for o in out)]
+        if not inner:
+            break
+        edits = [e for e in edits if e not in out]
     src.metrics[f"{src.language}.edits"] = len(done)
-    return model.apply(text, done)
+    return model.apply(src.text, done)
+
+
+def _shown(src: Source, e: model.Edit, ratio: float, least: int) -> model.Edit | None:
+    """An edit with the text that takes its place; None where it doesn't pay."""
+    mark, text = LANGUAGES[src.language].line_comments[0], src.text
+    if not e.mark:
+        return e if src.count(e.text) < src.count(text[e.start : e.end]) else None
+    head, rest = text[_line_start(text, e.start) : e.start], text[e.end : _line_end(text, e.end)]
+    first = text[e.start : e.end]
+    indent = re.match(r"[ \t]*", first if not head.strip() and first[:1] in " \t" else head)[0]
+    words = placeholder(e)
+    if src.language == "python" and e.kind == "docstring":
+        shown = f'"""{words}."""'
+    elif rest.strip() and mark != "#":
+        shown = f"/* {words} */"
+    elif head.strip() and not head.rstrip().endswith(("{", ":")) and "\n" not in first:
+        shown = f"{mark} {words}"
+    else:
+        shown = ("" if head.strip() or head == indent else indent) + f"{mark} {words}" + ("\n" if first.endswith("\n") else "")
+    if rest.strip() and mark == "#" and not first.endswith("\n"):
+        shown = "" if not rest.lstrip().startswith(";") else shown
+    return Edit(e.start, e.end, shown, e.kind) if economical(first, shown, ratio, least, src.count) else None
 
 
 def reduced(src: Source, o: Mapping) -> tuple[str, dict]:

@@ -134,6 +134,9 @@ def may_descend(node: FilterNode, directory: str) -> bool:
         if head not in now.children:
             break
         sub, now = rest, now.children[head]
+    if not sub:
+        # The directory is a node's own: what that node allows lies below.
+        return now.mode == "block" or bool(now.allow)
     return decided if decided is not None else now.mode == "block"
 
 

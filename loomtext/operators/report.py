@@ -6,7 +6,6 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomtext.functions.text import ratio, saved_percent
 
@@ -25,18 +24,19 @@ def file_stats(files: DataFrame, order: str = "ord") -> DataFrame:
 
 
 def file_rows(stats: DataFrame, limit: int = CONTEXT_LIMIT) -> DataFrame:
-    """The report's file table: savings, share of all processed tokens, share of the context limit."""
-    total = F.sum("tokens_processed").over(Window.partitionBy())
+    """The report's file table: savings, share of all processed tokens, share of the context limit.
+
+    ``stats`` is read twice, for the total and for the rows: where its counts cost something it should be a written table.
+    """
     raw, processed = F.col("tokens_raw"), F.col("tokens_processed")
-    out = stats.withColumn("__total", total).select(
+    return with_share(stats, "tokens_processed", "promptShare").select(
         F.col("path"), F.col("size_bytes").alias("sizeBytes"), raw.alias("tokensRaw"), processed.alias("tokensProcessed"), (raw - processed).alias("savedTokens"), saved_percent(raw, processed).alias("savedPct"),
-        ratio(processed, F.col("__total")).alias("promptShare"), ratio(processed, F.lit(limit)).alias("ctxShare"), *[F.col(c) for c in ("meta",) if c in stats.columns],
+        "promptShare", ratio(processed, F.lit(limit)).alias("ctxShare"), *[F.col(c) for c in ("meta",) if c in stats.columns],
     )
-    return out
 
 
 def with_share(df: DataFrame, value: str, share_col: str = "share") -> DataFrame:
-    """Adds ``value``'s share of its total. The total is one aggregated row joined back, so rows stay where they are."""
+    """Adds ``value``'s share of its total. The total is one row, aggregated before the shuffle and joined back, so rows stay where they are."""
     total = df.agg(F.sum(value).alias("__total"))
     return df.crossJoin(F.broadcast(total)).withColumn(share_col, ratio(F.col(value), F.col("__total"))).drop("__total")
 
@@ -48,14 +48,18 @@ def section_stats(rendered: DataFrame, order: str = "ord") -> DataFrame:
 
 
 def totals(stats: DataFrame, sections: DataFrame | None = None, limit: int = CONTEXT_LIMIT) -> DataFrame:
-    """One row of totals; an empty table has zeros. Saved tokens and overhead may be negative."""
-    raw, processed = F.coalesce(F.sum("tokens_raw"), F.lit(0)), F.coalesce(F.sum("tokens_processed"), F.lit(0))
-    one = stats.agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("sizeBytes"), processed.alias("tokensProcessed"), raw.alias("tokensRaw"))
-    one = one.select("*", (F.col("tokensRaw") - F.col("tokensProcessed")).alias("savedTokens"), saved_percent(F.col("tokensRaw"), F.col("tokensProcessed")).alias("savedPct"), ratio(F.col("tokensProcessed"), F.lit(limit)).alias("ctxShare"))
+    """One row of totals; an empty table has zeros. Saved tokens and overhead may be negative.
+
+    Rendered tokens come from ``sections``, or from a column ``tokens_rendered`` of ``stats`` in the same pass.
+    """
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    own = [zero("tokens_rendered").alias("renderedTokens")] if sections is None and "tokens_rendered" in stats.columns else []
+    one = stats.agg(zero("size_bytes").alias("sizeBytes"), zero("tokens_processed").alias("tokensProcessed"), zero("tokens_raw").alias("tokensRaw"), *own)
     if sections is not None:
-        rendered = sections.agg(F.coalesce(F.sum("tokens_rendered"), F.lit(0)).alias("renderedTokens"))
-        one = one.crossJoin(F.broadcast(rendered)).withColumn("renderedOverheadTokens", F.col("renderedTokens") - F.col("tokensProcessed"))
-    return one
+        one = one.crossJoin(F.broadcast(sections.agg(zero("tokens_rendered").alias("renderedTokens"))))
+    raw, processed = F.col("tokensRaw"), F.col("tokensProcessed")
+    over = [F.col("renderedTokens"), (F.col("renderedTokens") - processed).alias("renderedOverheadTokens")] if "renderedTokens" in one.columns else []
+    return one.select("sizeBytes", "tokensProcessed", "tokensRaw", (raw - processed).alias("savedTokens"), saved_percent(raw, processed).alias("savedPct"), ratio(processed, F.lit(limit)).alias("ctxShare"), *over)
 
 
 def meta_summary(meta: DataFrame, key: str = "key", value: str = "value") -> DataFrame:

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomtext.functions import markdown
 from loomtext.functions import text as T
 from loomtext.operators import conditions, filters, ignore, intervals, lookup, render, report
+from loomtext.plans import adaptive, sections, template
+from loomtext.sources import cache, changes, files
+from loomtext.storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,13 +93,9 @@ SELECT p AS path, size AS "sizeBytes", raw AS "tokensRaw", processed AS "tokensP
 FROM m WHERE {_TREE_SQL} ORDER BY path""")
 def report_files(spark, sf_dir):
     docs = corpus(spark, sf_dir).where(filters.included(TREE, F.col("rel_path")))
-    stats = measured(docs).select(F.col("rel_path").alias("path"), "size_bytes", "tokens_raw", "tokens_processed")
-    total = report.with_share(stats, "tokens_processed", "promptShare")
-    raw, done = F.col("tokens_raw"), F.col("tokens_processed")
-    return total.select(
-        "path", F.col("size_bytes").alias("sizeBytes"), raw.alias("tokensRaw"), done.alias("tokensProcessed"), (raw - done).alias("savedTokens"), T.saved_percent(raw, done).alias("savedPct"),
-        "promptShare", T.ratio(done, F.lit(report.CONTEXT_LIMIT)).alias("ctxShare"),
-    ).orderBy("path")
+    # The measures are written once: the total and the rows, and the order's sample, then read three numbers a file and no texts.
+    stats = written(measured(docs).select(F.col("rel_path").alias("path"), "size_bytes", "tokens_raw", "tokens_processed"), "measures")
+    return report.file_rows(stats).orderBy("path")
 
 
 @query(f"""WITH {_MEASURED}, s AS (SELECT source, sum(processed) + 2 AS rendered FROM m GROUP BY source)
@@ -104,9 +104,9 @@ SELECT sum(size)::BIGINT AS "sizeBytes", sum(processed)::BIGINT AS "tokensProces
        (SELECT sum(rendered) FROM s)::BIGINT AS "renderedTokens", ((SELECT sum(rendered) FROM s) - sum(processed))::BIGINT AS "renderedOverheadTokens"
 FROM m""")
 def report_totals(spark, sf_dir):
-    m = measured(corpus(spark, sf_dir)).select("source", "size_bytes", "tokens_raw", "tokens_processed")
-    sections = m.groupBy("source").agg((F.sum("tokens_processed") + 2).alias("tokens_rendered"))
-    return report.totals(m, sections)
+    m = measured(corpus(spark, sf_dir))
+    sections = m.groupBy("source").agg(*[F.sum(c).alias(c) for c in ("size_bytes", "tokens_raw", "tokens_processed")], (F.sum("tokens_processed") + 2).alias("tokens_rendered"))
+    return report.totals(sections)
 
 
 @query("""WITH u AS (SELECT doc_id, source AS section, doc_id AS ord FROM documents UNION ALL SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'toxic' ELSE 'clean' END, 100000000 + d.doc_id FROM documents d JOIN labels l USING (doc_id))
@@ -177,20 +177,13 @@ def filter_scope(spark, sf_dir):
     return corpus(spark, sf_dir).where(filters.in_scope(F.col("rel_path"), "src1/en")).select("rel_path")
 
 
-@query("SELECT source, count(*) > 0 AND bool_and(CASE WHEN lang = 'en' THEN 'markdown' WHEN lang = 'fr' THEN '' ELSE lang END IN ('markdown', '')) AS doc_only FROM documents WHERE doc_id % 5 <> 0 OR lang <> 'de' GROUP BY source")
+@query("SELECT source, count(*) > 0 AND bool_and(CASE WHEN lang = 'en' THEN 'markdown' WHEN lang = 'fr' THEN '' WHEN source = 'src0' THEN lang ELSE 'markdown' END IN ('markdown', '')) AS doc_only FROM documents GROUP BY source")
 def filter_doc_only(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("doc_id % 5 <> 0 OR lang <> 'de'")
-    kind = F.when(F.col("lang") == "en", "markdown").when(F.col("lang") == "fr", "").otherwise(F.col("lang"))
+    docs = table(spark, sf_dir, "documents")
+    kind = F.when(F.col("lang") == "en", "markdown").when(F.col("lang") == "fr", "").when(F.col("source") == "src0", F.col("lang")).otherwise("markdown")
     return docs.groupBy("source").agg(lookup.is_doc_only(kind).alias("doc_only"))
 
 
-@query(ORACLE_SQL["filter_doc_only"].replace(" WHERE doc_id % 5 <> 0 OR lang <> 'de'", ""))
-def filter_doc_only_all(spark, sf_dir):
-    """:func:`filter_doc_only` over all documents."""
-    kind = F.when(F.col("lang") == "en", "markdown").when(F.col("lang") == "fr", "").otherwise(F.col("lang"))
-    return table(spark, sf_dir, "documents").groupBy("source").agg(lookup.is_doc_only(kind).alias("doc_only"))
-
-
 _RULES = {"": ["**/*1", "# note", "Never", "/m.*"], "blog.tionble.example.com": ["de/", "!/de/*1"], "tionsh.example.net": ["fr", "*7"]}
 
 
@@ -206,19 +199,21 @@ def ignore_rules(spark, sf_dir):
 @query(ORACLE_SQL["ignore_rules"].replace("SELECT page_id, p AS rel_path, coalesce(", "SELECT DISTINCT p AS rel_path FROM u WHERE coalesce(").replace(", false) AS ignored FROM u", ", false)"))
 def ignore_rule_table(spark, sf_dir):
     rules = spark.createDataFrame(ignore.compiled(_RULES), "ord int, negated boolean, regex string")
-    return ignore.ignored_paths(url_paths(spark, sf_dir), F.broadcast(rules))
+    return ignore.ignored_paths(url_paths(spark, sf_dir), rules)
 
 
-@query("SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")
+@query("SELECT sha256(text) AS digest, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY text")
 def dedup_first(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    """Of files of one content the first. Only digests are shuffled."""
+    docs = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("digest"), "doc_id", "source")
+    return files.first_by(docs, "digest", "doc_id")
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01')")
 def changed_semi(spark, sf_dir):
-    changed = table(spark, sf_dir, "lineitem").where("l_shipdate >= TIMESTAMP '1998-06-01'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").join(changed, "o_orderkey", "left_semi").select("o_orderkey", "o_orderstatus")
+    changed = table(spark, sf_dir, "lineitem").where("l_shipdate >= TIMESTAMP '1998-06-01'").select(F.col("l_orderkey").alias("rel_path"))
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "rel_path")
+    return changes.only_changed(orders, changed).select(F.col("rel_path").alias("o_orderkey"), "o_orderstatus")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
@@ -227,10 +222,30 @@ def ignored_anti(spark, sf_dir):
     return table(spark, sf_dir, "orders").join(gone, "o_orderkey", "left_anti").select("o_orderkey")
 
 
-@query("SELECT user_id FROM events WHERE event_type = 'click' UNION SELECT user_id FROM events WHERE event_type = 'view' UNION SELECT user_id FROM events WHERE value > 90")
+class _Recorded:
+    """Changes as a table of nations has them: those of one region by the working tree, of another by the branch."""
+
+    def __init__(self, nation: DataFrame):
+        self.nation = nation
+
+    def changed(self) -> set[str]:
+        return {r.n_name for r in self.nation.where("n_regionkey = 1").collect()}
+
+    def branch_changed(self, target: str | None = None) -> set[str]:
+        return {r.n_name for r in self.nation.where(F.col("n_nationkey") >= int(target or 0)).collect()} | self.changed()
+
+
+@query("SELECT mode, n_name AS rel_path FROM nation, (VALUES ('all'), ('changes'), ('branch-changes')) AS t(mode) WHERE mode = 'all' OR n_regionkey = 1 OR (mode = 'branch-changes' AND n_nationkey >= 20)")
 def change_union(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.where("event_type IN ('click', 'view') OR value > 90").select("user_id").distinct()
+    """What counts as changed in each mode."""
+    nation = table(spark, sf_dir, "nation")
+    every = nation.select(F.col("n_name").alias("rel_path"))
+    out = []
+    for mode in ("all", "changes", "branch-changes"):
+        paths = changes.for_mode(_Recorded(nation), mode, "20")
+        left = every if paths is None else changes.only_changed(every, changes.relation(spark, paths))
+        out.append(left.select(F.lit(mode).alias("mode"), "rel_path"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("""WITH t AS (SELECT doc_id, list_filter([CASE WHEN quality = 1 THEN 'good' END, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'clean' END], lambda x: x IS NOT NULL) AS tags FROM labels)
@@ -275,10 +290,11 @@ def label_scope(spark, sf_dir):
     return corpus(spark, sf_dir).select("doc_id", lookup.relative_label(F.col("rel_path"), "src1/").alias("label"), lookup.resource_key(F.lit("sec"), scope, F.col("source")).alias("key"))
 
 
-@query(f"SELECT text, {_tokens('text')} AS tokens, count(*) AS uses FROM documents GROUP BY text")
+@query(f"SELECT doc_id, {_tokens('text')} AS tokens FROM documents")
 def token_count(spark, sf_dir):
-    """Each distinct text is counted once."""
-    return table(spark, sf_dir, "documents").groupBy("text").agg(F.count(F.lit(1)).alias("uses")).select("text", T.token_count(F.col("text")).alias("tokens"), "uses")
+    """Each distinct text is counted once, and its count goes back to all its documents by digest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return cache.counted_once(docs, T.token_count).select("doc_id", "tokens")
 
 
 @query(f"SELECT doc_id, {_CUT_SQL} AS cut FROM (SELECT *, {_tokens('text')} AS raw FROM documents)")
@@ -294,16 +310,12 @@ def token_economy(spark, sf_dir):
     return d.select("doc_id", s["saved"].alias("saved"), s["ratio"].alias("ratio"), T.is_economical(F.col("a"), F.col("b"), F.col("b") == 0).alias("pays"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(trim(lower(substr(text, 1, 60))), '\s+', '-', 'g'), '[^a-z0-9\-]+', '', 'g'), '-{2,}', '-', 'g'), '-') AS slug FROM documents WHERE lang = 'en' AND regexp_matches(substr(text, 1, 60), '^[\x00-\x7F]*$')")
-def slugify(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.substring("text", 1, 60).alias("t")).where(F.col("t").rlike(r"^[\x00-\x7F]*$")).select("doc_id", T.ascii_slug(F.col("t")).alias("slug"))
+_SLUG = r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(trim(strip_accents(lower(text)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\s+', '-', 'g'), '[^a-z0-9\-]+', '', 'g'), '-{2,}', '-', 'g'), '-') AS slug FROM documents"
 
 
-@query()
-def slugify_all(spark, sf_dir):
+@query(_SLUG)
+def slugify(spark, sf_dir):
     """Anchors of whole texts in all languages: in Spark for ASCII, by Unicode decomposition for the rest."""
-    from loomtext.functions import markdown
-
     docs = table(spark, sf_dir, "documents").withColumn("ascii", F.col("text").rlike(r"^[\x00-\x7F]*\z"))
     plain = docs.where("ascii").select("doc_id", T.ascii_slug(F.col("text")).alias("slug"))
     return plain.unionByName(docs.where("NOT coalesce(ascii, false)").select("doc_id", markdown.slugs(F.col("text")).alias("slug")))
@@ -339,75 +351,81 @@ def blank_squeeze(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.squeeze_blank_lines(F.replace("text", F.lit(". "), F.lit("\n\n\n")))).alias("digest"))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(replace(substr(text, 1, 400), ' the ', chr(10) || ' ** '), chr(10)), lambda x: trim(regexp_replace(trim(x), '^\*+', ''))), lambda x: x <> ''), chr(10)) AS bare FROM documents""")
+@query(r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(replace(text, ' the ', chr(10) || ' ** '), chr(10)), lambda x: trim(regexp_replace(trim(x), '^\*+', ''))), lambda x: x <> ''), chr(10)) AS bare FROM documents""")
 def block_comment_clean(spark, sf_dir):
-    starred = F.replace(F.substring("text", 1, 400), F.lit(" the "), F.lit("\n ** "))
+    starred = F.replace(F.col("text"), F.lit(" the "), F.lit("\n ** "))
     return table(spark, sf_dir, "documents").select("doc_id", T.clean_block_comment(starred).alias("bare"))
 
 
-@query(ORACLE_SQL["block_comment_clean"].replace("substr(text, 1, 400)", "text"))
-def block_comment_clean_all(spark, sf_dir):
-    """:func:`block_comment_clean` over whole texts."""
-    starred = F.replace(F.col("text"), F.lit(" the "), F.lit("\n ** "))
-    return table(spark, sf_dir, "documents").select("doc_id", T.clean_block_comment(starred).alias("bare"))
+_BODY = "[^A-Za-z0-9 .,]"
 
 
 def outlined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as outlines: every line is a heading whose level comes from its length, or text."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    level = (F.length("body") % 5).cast("int")
-    return lines.select("doc_id", "line", "body", F.when(level > 0, level).alias("level"))
+    """Documents as Markdown outlines: every line is a heading whose level comes from its length, or text; a last line closes each."""
+    body = lambda x: F.regexp_replace(x, _BODY, "")
+    level = lambda x: (F.length(body(x)) % 5).cast("int")
+    line = lambda x, i: F.when(level(x) > 0, F.concat(F.repeat(F.lit("#"), level(x)), F.lit(" h"), i.cast("string"), F.lit(" "), body(x))).otherwise(body(x))
+    lines = F.transform(F.split(F.concat("text", F.lit("\nended")), "\n"), line)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n").alias("md"))
 
 
-_OUTLINE = "o AS (SELECT doc_id, line - 1 AS line, body, CASE WHEN length(body) % 5 > 0 THEN length(body) % 5 END::INT AS level FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, unnest(string_split(text, chr(10))) AS body FROM documents))"
+_OUTLINE = f"""o AS (SELECT doc_id, line, level, CASE WHEN level IS NOT NULL THEN repeat('#', level) || ' h' || line || ' ' || body ELSE body END AS md, trim('h' || line || ' ' || body, ' ') AS title
+FROM (SELECT doc_id, line - 1 AS line, body, CASE WHEN length(body) % 5 > 0 THEN length(body) % 5 END::INT AS level FROM (
+  SELECT doc_id, unnest(range(1, len(string_split(text || chr(10) || 'ended', chr(10))) + 1)) AS line, regexp_replace(unnest(string_split(text || chr(10) || 'ended', chr(10))), '{_BODY}', '', 'g') AS body FROM documents)))"""
+_LABEL = "<!-- FILE: x.md -->"
 
 
-@query(f"WITH {_OUTLINE} SELECT doc_id, line::INT AS line, level, trim(body) AS title FROM o WHERE level IS NOT NULL")
-def heading_parse(spark, sf_dir):
-    """Heading lines found by their marks in Markdown built from the outline."""
-    md = outlined(spark, sf_dir).withColumn("md", F.when(F.col("level").isNull(), F.col("body")).otherwise(F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("body"))))
-    mark = F.regexp_extract("md", r"^ {0,3}(#{1,6})[ \t]+.", 1)
-    return md.where(mark != "").select("doc_id", "line", F.length(mark).alias("level"), F.trim(F.regexp_extract("md", r"^ {0,3}#{1,6}[ \t]+(.*)$", 1)).alias("title"))
+def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = outlined(spark, sf_dir).select("doc_id", F.explode(markdown.headings(F.col("md"))).alias("h"))
+    return h.select("doc_id", F.col("h.start").alias("line"), F.col("h.level").alias("level"), F.col("h.title").alias("title"), F.col("h.end").alias("stop"), F.col("h.path").alias("path"))
 
 
-@query(f"WITH {_OUTLINE} SELECT doc_id, line::INT AS line, least(6, level + 3 - min(level) OVER (PARTITION BY doc_id))::INT AS level FROM o WHERE level IS NOT NULL")
-def heading_shift(spark, sf_dir):
-    h = outlined(spark, sf_dir).where("level IS NOT NULL").select("doc_id", "line", "level")
-    return h.withColumn("level", F.least(F.lit(6), F.col("level") + 3 - F.min("level").over(Window.partitionBy("doc_id"))))
+def outline_done(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """The digest of each outline as the Markdown adapter leaves it."""
+    o = markdown.MarkdownOptions(directive_prefix=None, template=None, **options)
+    return outlined(spark, sf_dir).select("doc_id", F.md5(markdown.processed(F.col("md"), F.lit("x.md"), o)["text"]).alias("digest"))
 
 
-_REGION = "h AS (SELECT a.doc_id, a.line, a.level, (SELECT min(b.line) FROM o b WHERE b.doc_id = a.doc_id AND b.line > a.line AND b.level <= a.level) AS stop, (SELECT max(line) + 1 FROM o c WHERE c.doc_id = a.doc_id) AS n FROM o a WHERE a.level IS NOT NULL)"
+@query(f"WITH {_OUTLINE} SELECT doc_id, line::INT AS line, level, title FROM o WHERE level IS NOT NULL")
+def heading_parse(spark, sf_dir):
+    return headed(spark, sf_dir).select("doc_id", "line", "level", "title")
+
 
+@query(f"""WITH {_OUTLINE}, s AS (SELECT doc_id, line, CASE WHEN level IS NOT NULL THEN repeat('#', least(6, level + 3 - min(level) OVER (PARTITION BY doc_id))) || substr(md, level + 1) ELSE md END AS md, line = 0 AND level = 1 AS title FROM o)
+SELECT doc_id, md5(string_agg(CASE WHEN line > 0 THEN md WHEN title THEN md || chr(10) || '{_LABEL}' ELSE '{_LABEL}' || chr(10) || md END, chr(10) ORDER BY line)) AS digest FROM s GROUP BY doc_id""")
+def heading_shift(spark, sf_dir):
+    """Headings shifted so that the highest is of level 3, below the file's mark."""
+    return outline_done(spark, sf_dir, max_level=3)
 
-def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings with where their sections end. Levels are at most six, so six running minima find the next one that is no deeper."""
-    o = outlined(spark, sf_dir)
-    n = F.max("line").over(Window.partitionBy("doc_id")) + 1
-    after = Window.partitionBy("doc_id").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
-    h = o.withColumn("n", n)
-    ends = [F.min(F.when(F.col("level") <= k, F.col("line"))).over(after) for k in range(1, 7)]
-    h = h.where("level IS NOT NULL").select("doc_id", "line", "level", "n", F.array(*ends).alias("e"))
-    return h.select("doc_id", "line", "level", F.coalesce(F.element_at("e", F.col("level")), F.col("n")).alias("stop"), "n")
 
+_REGION = """n AS (SELECT doc_id, max(line) + 1 AS n FROM o GROUP BY doc_id), g AS (SELECT doc_id, line, level FROM o WHERE level IS NOT NULL),
+h AS (SELECT a.doc_id, a.line, a.level, (SELECT min(b.line) FROM g b WHERE b.doc_id = a.doc_id AND b.line > a.line AND b.level <= a.level) AS stop, n FROM g a JOIN n ON n.doc_id = a.doc_id)"""
 
-@query(f"WITH {_OUTLINE}, {_REGION} SELECT doc_id, line::INT AS line, level, coalesce(stop, n)::INT AS stop FROM h")
+
+@query(f"""WITH {_OUTLINE}, {_REGION} SELECT h.doc_id, h.line::INT AS line, h.level, coalesce(h.stop, h.n)::INT AS stop,
+(SELECT count(*) FROM h u WHERE u.doc_id = h.doc_id AND u.line < h.line AND coalesce(u.stop, u.n) > h.line AND u.level < h.level)::INT AS depth FROM h""")
 def heading_tree(spark, sf_dir):
-    return regions(spark, sf_dir).drop("n")
+    """Where each heading's section ends, and how many headings are above it."""
+    return headed(spark, sf_dir).select("doc_id", "line", "level", "stop", F.size("path").alias("depth"))
 
 
-_DROPPED = "d AS (SELECT doc_id, line, coalesce(stop, n) AS stop FROM h WHERE level = 2)"
+_KEPT = f"""d AS (SELECT doc_id, line, coalesce(stop, n) AS stop FROM h WHERE level = 2),
+k AS (SELECT doc_id, line, md, EXISTS (SELECT 1 FROM d WHERE d.doc_id = o.doc_id AND o.line >= d.line AND o.line < d.stop) AS inside FROM o),
+j AS (SELECT doc_id, coalesce(string_agg(md, chr(10) ORDER BY line) FILTER (inside = ?), '') AS t, bool_or(inside <> ?) AS cut FROM k GROUP BY doc_id),
+q AS (SELECT doc_id, CASE WHEN cut THEN regexp_replace(t, '\n\n\n+', chr(10) || chr(10), 'g') ELSE t END AS t FROM j),
+r AS (SELECT doc_id, t, regexp_replace(t, '\n$', '') AS u FROM q)
+SELECT doc_id, md5(CASE WHEN t = '' THEN '{_LABEL}' WHEN starts_with(u, '# ') THEN regexp_replace(u, '^([^\n]*)', '\\1' || chr(10) || '{_LABEL}') ELSE '{_LABEL}' || chr(10) || u END) AS digest FROM r"""
+_SECOND = markdown.Rule(kind="regex", pattern=".", level=2)
 
 
-@query(f"WITH {_OUTLINE}, {_REGION}, {_DROPPED} SELECT doc_id, line::INT AS line FROM o WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.doc_id = o.doc_id AND o.line >= d.line AND o.line < d.stop)")
+@query(f"WITH {_OUTLINE}, {_REGION}, {_KEPT.replace('?', 'false')}")
 def section_drop(spark, sf_dir):
-    d = regions(spark, sf_dir).where("level = 2").select("doc_id", F.col("line").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("end"))
-    return intervals.in_any(outlined(spark, sf_dir).select("doc_id", "line"), d, ["doc_id"], "line").where("NOT inside").select("doc_id", "line")
+    return outline_done(spark, sf_dir, drop=(_SECOND,))
 
 
-@query(f"WITH {_OUTLINE}, {_REGION}, {_DROPPED} SELECT doc_id, line::INT AS line FROM o WHERE EXISTS (SELECT 1 FROM d WHERE d.doc_id = o.doc_id AND o.line >= d.line AND o.line < d.stop)")
+@query(f"WITH {_OUTLINE}, {_REGION}, {_KEPT.replace('?', 'true')}")
 def section_keep(spark, sf_dir):
-    d = regions(spark, sf_dir).where("level = 2").select("doc_id", F.col("line").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("end"))
-    return intervals.in_any(outlined(spark, sf_dir).select("doc_id", "line"), d, ["doc_id"], "line").where("inside").select("doc_id", "line")
+    return outline_done(spark, sf_dir, keep=(_SECOND,))
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -479,9 +497,9 @@ def asof_heading(spark, sf_dir):
 
 @query("SELECT event_id, floor(epoch(ts))::BIGINT - lag(floor(epoch(ts))::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events")
 def adjacency_lag(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    """Seconds since the user's event before: the value as of the row before."""
     at = F.unix_seconds(F.col("ts").cast("timestamp"))
-    return table(spark, sf_dir, "events").select("event_id", (at - F.lag(at).over(w)).alias("gap"))
+    return table(spark, sf_dir, "events").select("event_id", (at - intervals.as_of(None, ["user_id"], ["ts", "event_id"], at)).alias("gap"))
 
 
 @query(r"""SELECT conv_id, md5(regexp_replace(string_agg('```' || role || ':' || conv_id || '/' || turn || chr(10) || regexp_replace(text, '\n+$', '') || chr(10) || '```' || chr(10) || chr(10), '' ORDER BY turn), '\s+$', '') || chr(10)) AS digest FROM conversations GROUP BY conv_id""")
@@ -497,29 +515,37 @@ def render_doc(spark, sf_dir):
 
 
 _EXTENDS = [("app", "base"), ("app", "web"), ("web", "base"), ("api", "base"), ("base", "root")]
+_EXTENDING = sorted({x for e in _EXTENDS for x in e})
 
 
-@query("WITH RECURSIVE e(child, parent) AS (VALUES %s), r(child, parent, depth) AS (SELECT child, parent, 1 FROM e UNION ALL SELECT r.child, e.parent, depth + 1 FROM r JOIN e ON r.parent = e.child) SELECT child, parent, max(depth)::INT AS depth FROM r GROUP BY child, parent" % ", ".join(map(str, _EXTENDS)))
+@query("WITH RECURSIVE e(child, parent) AS (VALUES %s), r(child, extension) AS (SELECT child, child FROM (SELECT child FROM e UNION SELECT parent FROM e) UNION SELECT r.child, e.parent FROM r JOIN e ON r.extension = e.child) SELECT DISTINCT child, '.' || extension AS extension FROM r" % ", ".join(map(str, _EXTENDS)))
 def extends_resolution(spark, sf_dir):
-    rows = ", ".join(map(str, _EXTENDS))
-    return spark.sql(f"WITH RECURSIVE e(child, parent) AS (SELECT * FROM VALUES {rows}), r(child, parent, depth) AS (SELECT child, parent, 1 FROM e UNION ALL SELECT r.child, e.parent, depth + 1 FROM r JOIN e ON r.parent = e.child) SELECT child, parent, max(depth) AS depth FROM r GROUP BY child, parent")
+    """The extensions that sections have of themselves and of all that they extend."""
+    raw = {x: {"extends": [b for a, b in _EXTENDS if a == x], "extensions": [f".{x}"]} for x in _EXTENDING}
+    rows = [(x, e) for x in _EXTENDING for e in adaptive.resolve(x, lambda ref, _: (ref, raw[ref])).extensions]
+    return spark.createDataFrame(rows, "child string, extension string")
 
 
-@query("SELECT sha1(string_agg('F ' || md5(text) || ' ' || p, chr(10) ORDER BY p)) AS fingerprint FROM (SELECT text, " + _PATH + " AS p FROM documents)")
+@query("SELECT sha1(string_agg(l, chr(10) ORDER BY l)) AS fingerprint FROM (SELECT 'F ' || sha1(n_name) || ' ' || r_name || '/' || n_nationkey || '.yaml' AS l FROM nation JOIN region ON n_regionkey = r_regionkey)")
 def fingerprint(spark, sf_dir):
-    """One digest for a tree: the sorted digests of its files."""
-    d = corpus(spark, sf_dir).select(F.concat(F.lit("F "), F.md5("text"), F.lit(" "), "rel_path").alias("l"), "rel_path")
-    return d.agg(F.sha1(F.expr("listagg(l, '\\n') WITHIN GROUP (ORDER BY rel_path)")).alias("fingerprint"))
+    """One digest for a configuration tree, which nations are the files of."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    entries = [(f"{r.r_name}/{r.n_nationkey}.yaml", r.n_name.encode()) for r in n.collect()]
+    return spark.createDataFrame([(sections.fingerprint(entries),)], "fingerprint string")
 
 
 _INCLUDES = {"main": ["intro", "body"], "body": ["part", "intro"], "part": ["leaf"], "other": ["leaf"]}
 
 
-@query("WITH RECURSIVE e(a, b, ord) AS (VALUES %s), r(a, path, b) AS (SELECT 'main', '', 'main' UNION ALL SELECT r.b, r.path || '/' || e.ord, e.b FROM r JOIN e ON r.b = e.a) SELECT path, b AS fragment FROM r" % ", ".join(f"('{a}', '{b}', {i})" for a, bs in _INCLUDES.items() for i, b in enumerate(bs)))
+@query("WITH RECURSIVE e(a, b) AS (VALUES %s), r(b) AS (SELECT 'main' UNION SELECT e.b FROM r JOIN e ON r.b = e.a) SELECT 'self' AS scope, 'about-' || b AS section FROM r" % ", ".join(f"('{a}', '{b}')" for a, bs in _INCLUDES.items() for b in bs))
 def include_expansion(spark, sf_dir):
-    """Every fragment of an include tree, with the positions that lead to it."""
-    rows = ", ".join(f"('{a}', '{b}', {i})" for a, bs in _INCLUDES.items() for i, b in enumerate(bs))
-    return spark.sql(f"WITH RECURSIVE e(a, b, ord) AS (SELECT * FROM VALUES {rows}), r(a, path, b) AS (SELECT 'main', '', 'main' UNION ALL SELECT r.b, r.path || '/' || e.ord, e.b FROM r JOIN e ON r.b = e.a) SELECT path, b AS fragment FROM r")
+    """The sections that a template and all that it includes refer to."""
+
+    def load(kind, name, scope):
+        return "\n".join([f"${{about-{name}}}", *[f"${{tpl:{b}}}" for b in _INCLUDES.get(name, [])]]), ""
+
+    found, _ = template.collected("tpl", "main", load)
+    return spark.createDataFrame(found, "scope string, section string")
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -576,36 +602,22 @@ def code_literals(spark, sf_dir):
     return frames.processed_files(files).select("rel_path", "processed_text")
 
 
-@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'yes' ELSE 'no' || chr(10) END || substr(text, 1, 20) AS text FROM documents")
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'yes' ELSE 'no' || chr(10) END || text AS text FROM documents")
 def md_templating(spark, sf_dir):
     """Directives inside documents."""
-    return _templated(table(spark, sf_dir, "documents"), F.substring("text", 1, 20))
-
-
-@query(ORACLE_SQL["md_templating"].replace("substr(text, 1, 20)", "text"))
-def md_templating_all(spark, sf_dir):
-    """:func:`md_templating` with whole texts."""
-    return _templated(table(spark, sf_dir, "documents"), F.col("text"))
-
-
-def _templated(docs: DataFrame, text) -> DataFrame:
-    from loomtext.functions import markdown
-
-    said = F.concat(F.lit("<!-- doc:comment:start -->gone<!-- doc:comment:end --><!-- doc:if tag:"), F.col("lang"), F.lit(" -->yes<!-- doc:else -->no\n<!-- doc:endif -->"), text)
+    said = F.concat(F.lit("<!-- doc:comment:start -->gone<!-- doc:comment:end --><!-- doc:if tag:"), F.col("lang"), F.lit(" -->yes<!-- doc:else -->no\n<!-- doc:endif -->"), F.col("text"))
     ctx = conditions.bound(conditions.Context({"en"}))
 
     @F.pandas_udf("string")
     def run(texts):
-        return texts.map(lambda t: markdown.directives(t, ctx)[0])
+        return texts.map(lambda t: markdown.directives(t, ctx)[0], na_action="ignore")
 
-    return docs.select("doc_id", run(said).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", run(said).alias("text"))
 
 
-@query()
+@query(_SLUG)
 def slugs(spark, sf_dir):
     """Anchors of whole texts in all languages, by Unicode decomposition."""
-    from loomtext.functions import markdown
-
     return table(spark, sf_dir, "documents").select("doc_id", markdown.slugs(F.col("text")).alias("slug"))
 
 
@@ -617,32 +629,32 @@ def conversation_runs(spark, sf_dir):
     return render.joined(one, ["conv_id"], "run", "role", ">", "roles")
 
 
-@query("SELECT DISTINCT user_id, event_type AS provider FROM events")
+def _regions(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return [(r.r_name, r.n_name) for r in n.select("r_name", "n_name").collect()]
+
+
+@query("SELECT DISTINCT substr(n_name, 1, 1) AS provider, r_name AS context FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'clipboard', r_name FROM region")
 def supported_providers(spark, sf_dir):
-    """The union of map keys over rows, as providers are gathered over modes."""
-    e = table(spark, sf_dir, "events").select("user_id", F.create_map("event_type", "event_id").alias("runs"))
-    keys = F.array_distinct(F.flatten(F.collect_set(F.map_keys("runs"))))
-    return e.groupBy("user_id").agg(keys.alias("k")).select("user_id", F.explode("k").alias("provider"))
+    """The contexts that support each provider: regions are contexts, and nations modes that run with their first letter."""
+    rows = _regions(spark, sf_dir)
+    contexts = {r: adaptive.Model.parse({"mode-sets": {"work": {"modes": {n: {"runs": {n[0]: "x"}} for q, n in rows if q == r}}}}) for r, _ in rows}
+    letters = sorted({n[0] for _, n in rows} | {adaptive.CLIPBOARD})
+    return spark.createDataFrame([(p, c) for p in letters for c in adaptive.supported(contexts.items(), p)], "provider string, context string")
 
 
-@query("SELECT coalesce(c.k, p.k) AS set_id, coalesce(c.title, p.title) AS title FROM (SELECT n_nationkey AS k, n_name AS title FROM nation WHERE n_nationkey < 15) p FULL JOIN (SELECT n_nationkey AS k, lower(n_name) AS title FROM nation WHERE n_nationkey >= 10) c ON p.k = c.k")
+@query("""SELECT n_nationkey::VARCHAR AS set_id, CASE WHEN n_nationkey >= 10 THEN lower(n_name) ELSE n_name END AS set_title, kind || n_regionkey AS tag_id, CASE kind WHEN 'c' THEN lower(n_name) ELSE n_name END AS title, '' AS description
+FROM nation, (VALUES ('p'), ('c')) AS t(kind) WHERE (kind = 'p' AND n_nationkey < 15) OR (kind = 'c' AND n_nationkey >= 10)""")
 def model_merge(spark, sf_dir):
-    """Sets of a parent and a child: the child's title wins."""
-    n = table(spark, sf_dir, "nation")
-    p = n.where("n_nationkey < 15").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("pt"))
-    c = n.where("n_nationkey >= 10").select(F.col("n_nationkey").alias("k"), F.lower("n_name").alias("ct"))
-    return p.join(c, "k", "full").select(F.col("k").alias("set_id"), F.coalesce("ct", "pt").alias("title"))
+    """Tag sets of a parent and a child: the child's titles win and the tags of both stay."""
+    n = [(r.n_nationkey, r.n_name, r.n_regionkey) for r in table(spark, sf_dir, "nation").collect()]
+    parent = {"tag-sets": {str(k): {"title": t, "tags": {f"p{g}": t}} for k, t, g in n if k < 15}}
+    child = {"tag-sets": {str(k): {"title": t.lower(), "tags": {f"c{g}": t.lower()}} for k, t, g in n if k >= 10}}
+    return adaptive.tag_table(spark, adaptive.Model.parse(parent).merged(adaptive.Model.parse(child)))
 
 
-@query("SELECT regexp_extract(min(p), '^(.*)/[^/]*$', 1) AS prefix FROM (SELECT 'tree/all/' || source || '/' || doc_id AS p FROM documents WHERE source = 'src1')")
+@query("SELECT CASE WHEN min(source) = max(source) THEN 'tree/all/' || min(source) ELSE 'tree/all' END AS prefix FROM documents")
 def common_prefix(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("source = 'src1'").select(F.concat_ws("/", F.lit("tree/all"), "source", F.col("doc_id").cast("string")).alias("rel_path"))
-    return lookup.common_directory(d)
-
-
-@query()
-def common_prefix_all(spark, sf_dir):
-    """:func:`common_prefix` of the documents of all sources."""
     d = table(spark, sf_dir, "documents").select(F.concat_ws("/", F.lit("tree/all"), "source", F.col("doc_id").cast("string")).alias("rel_path"))
     return lookup.common_directory(d)
 

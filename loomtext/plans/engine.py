@@ -21,7 +21,8 @@ from loomtext.functions import markdown, tokens
 from loomtext.operators import conditions, ignore, lookup, render, report
 from loomtext.operators.code import frames
 from loomtext.plans import adaptive, sections, template
-from loomtext.sources import changes, files
+from loomtext.sources import cache, changes, files
+from loomtext.storage import discard, written
 
 
 class EngineError(ValueError):
@@ -38,6 +39,8 @@ class Options:
     tokenizer: str | None = None
     encoder: str = ""
     limit: int = report.CONTEXT_LIMIT
+    #: A folder for processed texts and token counts; without one nothing is kept between runs.
+    cache: str | None = None
 
 
 def task_text(given: str | None, stdin=None) -> str | None:
@@ -68,15 +71,21 @@ class Engine:
         self._catalogs: dict[str, sections.Catalog] = {}
         self._rendered: dict[str, str] = {}
         self._used: list[tuple[str, DataFrame, str]] = []
+        self._held: list[DataFrame] = []
+        self._stats: list[DataFrame] = []
+        self._cache = cache.Store(spark, options.cache) if options.cache else None
         self.warnings: list[str] = []
 
     # Sources
 
     @property
     def corpus(self) -> DataFrame:
-        if self._corpus is None:
-            self._corpus = files.with_text(files.listing(self.spark, self.root)).select("rel_path", "size_bytes", "text")
-        return self._corpus
+        """The whole tree, or the table given in its place."""
+        return self._tree() if self._corpus is None else self._corpus
+
+    def _tree(self, descend=None) -> DataFrame:
+        found = files.listing(self.spark, self.root, descend=descend)
+        return files.with_text(found, self.root).select("rel_path", "size_bytes", "text")
 
     def catalog(self, scope: str = "") -> sections.Catalog:
         scope = "" if scope == "self" else scope
@@ -156,13 +165,50 @@ class Engine:
         local = section.tree.mode == "allow" and section.tree.allow and all(_ignored("/".join(filter(None, (where, p.lstrip("/")))), rules) for p in section.tree.allow)
         paths = changes.for_mode(self.vcs, vcs_mode, self.options.target_branch)
         changed = None if paths is None else changes.relation(self.spark, paths)
-        base = self.corpus if corpus is None else corpus
-        plan = sections.planned(base, section, where, origin, changed, None if local else rules)
         outside = [p for p in section.tree.allow if ".." in p.split("/")]
+        if corpus is not None:
+            base = corpus
+        else:
+            # Of a tree only the directories are listed that the section's filters may take something from.
+            base = self._tree(files.pruning(section.tree, where)) if self._corpus is None and not outside else self.corpus
+        plan = sections.planned(base, section, where, origin, changed, None if local else rules)
         if outside:
             more = sections.planned(files.external(base, outside, where), sections.Section(name, section.extensions, sections.filters.FilterNode(), section.skip_empty, section.path_labels, section.adapters, section.targets), "", origin)
-            plan = plan.unionByName(more.select(plan.columns)).dropDuplicates(["rel_path"])
-        return frames.processed_files(plan, holds)
+            # A path that both name is the section's own.
+            plan = files.first_by(plan.withColumn("turn", F.lit(0)).unionByName(more.select(plan.columns).withColumn("turn", F.lit(1))), "rel_path", "turn").drop("turn")
+        if self._cache is None:
+            return frames.processed_files(plan, holds)
+        o = self.options
+        run = {"tags": sorted(o.tags), "modes": dict(o.modes), "task": o.task, "provider": o.provider, "origin": origin, "name": name, "vcs": vcs_mode}
+        keyed = plan.withColumn("key", cache.processed_key(F.concat_ws("\0", "adapter", "rel_path", "options", "text"), F.col("label"), run))
+        done = self._cache.through("processed", keyed, lambda todo: frames.processed_files(todo, holds, keep_trivial=True).select("key", "processed_text", "meta"))
+        return done.where("processed_text IS NOT NULL").drop("key")
+
+    def _counts(self, df: DataFrame, **columns: str) -> DataFrame:
+        """Adds the token counts of text columns; with a cache each text is counted once for all runs."""
+        o = self.options
+        count = lambda c: tokens.counts(c, o.tokenizer, o.encoder)
+        for name, text in columns.items():
+            if self._cache is None:
+                df = df.withColumn(name, count(F.col(text)))
+                continue
+            keyed = df.withColumn("key", cache.token_key(F.coalesce(F.col(text), F.lit("")), o.tokenizer or "builtin", o.encoder))
+            df = self._cache.through("tokens", keyed, lambda todo, t=text: todo.select("key", count(F.col(t)).alias("n"))).withColumnRenamed("n", name).drop("key")
+        return df
+
+    def _checked(self, done: DataFrame) -> DataFrame:
+        """Keeps a section's frame for this run; what went wrong with a document is the caller's error."""
+        done = done.persist()
+        self._held.append(done)
+        bad = done.where(F.col("meta")[frames.PROBLEM].isNotNull()).orderBy("rel_path").select("rel_path", F.col("meta")[frames.PROBLEM].alias("problem")).first()
+        if bad:
+            raise EngineError(f"{bad.rel_path}: {bad.problem}")
+        return done
+
+    def _release(self) -> None:
+        for done in self._held:
+            done.unpersist()
+        self._held = []
 
     def section_text(self, done: DataFrame) -> str:
         """Files in path order. The document goes to one place, so it is gathered here."""
@@ -178,7 +224,8 @@ class Engine:
         canon = (f"sec:{key}" if scope == "self" else f"sec@{scope}:{key}")
         memo = lookup.frozen([canon, sorted(ev.state.tags), ev.state.vcs_mode, ev.scopes[-1][0]])
         if memo not in self._rendered:
-            done = self.section_frame(catalog.raw(key), key, scope, conditions.bound(ev.context()), ev.state.vcs_mode, scope if scope != ev.scopes[0][0] else "self").persist()
+            done = self.section_frame(catalog.raw(key), key, scope, conditions.bound(ev.context()), ev.state.vcs_mode, scope if scope != ev.scopes[0][0] else "self")
+            done = self._checked(done)
             self._rendered[memo] = self.section_text(done)
             self._frames[memo] = done
         self._used.append((canon, self._frames[memo], self._rendered[memo]))
@@ -191,11 +238,11 @@ class Engine:
         full = "/".join(filter(None, (where, pattern)))
         options: dict = {"max_heading_level": a["level"] or place.level, "strip_h1": place.strip_h1 if a["strip_h1"] is None else a["strip_h1"], "placeholder_inside_heading": place.in_heading}
         if a["anchor"]:
-            anchor = markdown.slug(re.sub(r"\s+", " ", re.sub(r"\s*([:&])\s*", r"\1 ", a["anchor"])).strip())
+            anchor = markdown.slug(markdown.anchor_words(a["anchor"]))
             options["keep"] = dict(sections=[dict(match=dict(pattern=anchor, kind="slug"))])
             options["placeholder"] = {"mode": "none"}
         raw = dict(extensions=[".md", ".markdown"], filters=dict(mode="allow", allow=["/" + pattern]), markdown=options)
-        done = self.section_frame(raw, f"md:{full}", scope, conditions.bound(ev.context()), "all").persist()
+        done = self._checked(self.section_frame(raw, f"md:{full}", scope, conditions.bound(ev.context()), "all"))
         text = self.section_text(done)
         if not text.strip() and "*" not in pattern and done.limit(1).count() == 0:
             raise EngineError(f"no Markdown file {full!r}")
@@ -208,6 +255,12 @@ class Engine:
     _in_context = False
 
     def render(self, target: str) -> str:
+        try:
+            return self._render(target)
+        finally:
+            self._release()
+
+    def _render(self, target: str) -> str:
         self._frames, self._used, self._rendered = {}, [], {}
         kind, name = self.target(target)
         model = self.model(kind, name)
@@ -221,31 +274,42 @@ class Engine:
         return ev.render("ctx", name)
 
     def report_frames(self, target: str) -> tuple[DataFrame, DataFrame, dict]:
-        """Per-file rows and totals as plans, and the context block."""
-        text = self.render(target)
+        """Per-file rows and totals as plans over a stored table of the files' measures, and the context block."""
+        try:
+            return self._report_frames(target)
+        finally:
+            self._release()
+
+    def _report_frames(self, target: str) -> tuple[DataFrame, DataFrame, dict]:
+        text = self._render(target)
         kind, name = self.target(target)
         o = self.options
-        count = lambda c: tokens.counts(c, o.tokenizer, o.encoder)
-        rows, rendered = [], []
-        for i, (canon, done, body) in enumerate(self._used):
-            rows.append(done.select(F.col("rel_path").alias("path"), F.lit(canon).alias("section"), F.lit(i).alias("ord"), "size_bytes", count(F.col("text")).alias("tokens_raw"), count(F.col("processed_text")).alias("tokens_processed"), "meta"))
-            rendered.append((canon, i, body))
-        empty = self.spark.createDataFrame([], "path string, section string, ord int, size_bytes bigint, tokens_raw bigint, tokens_processed bigint, meta map<string,string>")
-        every = empty
-        for r in rows:
-            every = every.unionByName(r.withColumn("size_bytes", F.col("size_bytes").cast("bigint")))
-        stats = report.file_stats(every)
-        texts = self.spark.createDataFrame([*rendered, ("", -1, text)], "section string, ord int, body string").select("section", "ord", count(F.col("body")).alias("tokens_rendered"), F.lit(0).cast("bigint").alias("size_bytes"))
-        per_section = report.section_stats(texts.where("ord >= 0"))
+        every = self.spark.createDataFrame([], "path string, section string, ord int, size_bytes bigint, tokens_raw bigint, tokens_processed bigint, meta map<string,string>")
+        for i, (canon, done, _) in enumerate(self._used):
+            rows = self._counts(done, tokens_raw="text", tokens_processed="processed_text")
+            every = every.unionByName(rows.select(F.col("rel_path").alias("path"), F.lit(canon).alias("section"), F.lit(i).alias("ord"), F.col("size_bytes").cast("bigint"), "tokens_raw", "tokens_processed", "meta"))
+        stats = written(report.file_stats(every), "file-stats")
+        self._stats.append(stats)
+        # The sections' texts are on the driver anyway, as parts of the document that was asked for, and so they are counted there.
+        count = tokens.counter(o.tokenizer, o.encoder)
+        rendered = [(canon, i, count(body), 0) for i, (canon, _, body) in enumerate(self._used)]
+        per_section = report.section_stats(self.spark.createDataFrame(rendered, "section string, ord int, tokens_rendered bigint, size_bytes bigint"))
         total = report.totals(stats, per_section, o.limit)
         block = {}
         if kind == "context":
-            final = texts.where("ord = -1").select("tokens_rendered").crossJoin(per_section.agg(F.coalesce(F.sum("tokens_rendered"), F.lit(0)).alias("s")))
-            r = final.select(*report.context_block(F.col("tokens_rendered"), F.col("s"), o.limit)).first()
+            r = per_section.agg(F.coalesce(F.sum("tokens_rendered"), F.lit(0)).alias("s")).select(*report.context_block(F.lit(count(text)).cast("bigint"), F.col("s"), o.limit)).first()
             block = {"templateName": f"ctx:{name}", "sectionsUsed": {x.section: x.uses for x in per_section.select("section", "uses").collect()}, **r.asDict()}
         return report.file_rows(stats, o.limit), total, block
 
     def report(self, target: str) -> dict:
+        self._stats = []
+        try:
+            return self._report(target)
+        finally:
+            for stats in self._stats:
+                discard(stats)
+
+    def _report(self, target: str) -> dict:
         rows, total, block = self.report_frames(target)
         o = self.options
         out = json.loads(report.result(rows, total, "section" if self.target(target)[0] == "section" else "context", target, o.tokenizer or "builtin", o.encoder, o.limit).first().json)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import posixpath
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -176,12 +177,13 @@ def _options(section: Section, path):
 
 
 def config_fingerprint(folder: str) -> str:
-    """Of a configuration tree: the digest of its files' digests in path order."""
-    import hashlib
+    """Of a configuration tree; see :func:`fingerprint`."""
+    return fingerprint((path.relative_to(folder).as_posix(), path.read_bytes()) for path in Path(folder).rglob("*") if path.is_file())
 
-    lines = []
-    for path in sorted(p for p in Path(folder).rglob("*") if p.is_file()):
-        lines.append(f"F {hashlib.sha1(path.read_bytes()).hexdigest()} {path.relative_to(folder).as_posix()}")
+
+def fingerprint(entries: Iterable[tuple[str, bytes]]) -> str:
+    """The digest of the digests of files ``(path, content)``, sorted."""
+    lines = [f"F {hashlib.sha1(content).hexdigest()} {path}" for path, content in entries]
     return hashlib.sha1("\n".join(sorted(lines)).encode()).hexdigest()
 
 

@@ -2,49 +2,94 @@
 
 from __future__ import annotations
 
+import fnmatch
+import os
 import re
-from collections.abc import Iterable
-from urllib.parse import unquote
+from collections.abc import Callable, Iterable
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.operators import filters, ignore
 
 
-def listing(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """``rel_path, abs_path, size_bytes, modified, content`` of every file below ``root`` outside ``.git``.
+#: A tree is listed on the driver until so many directories are found; each is then listed by a task.
+FANOUT = 256
+_SCHEMA = "rel_path string, abs_path string, size_bytes bigint, modified timestamp"
 
-    ``content`` is read only by plans that use it: the binary reader prunes it.
+
+def _filesystem(root: str) -> tuple[fs.FileSystem, str]:
+    """The filesystem and the path of a URI; a path without a scheme is local."""
+    return fs.FileSystem.from_uri(root) if re.match("[A-Za-z][A-Za-z0-9+.-]*:", root) else (fs.LocalFileSystem(), os.path.abspath(root))
+
+
+def _entries(system: fs.FileSystem, base: str, directory: str, descend: Callable[[str], bool]) -> tuple[list[tuple], list[str]]:
+    """The files of one directory, and those of its directories that are worth listing, by their paths below ``base``."""
+    found, below = [], []
+    for info in system.get_file_info(fs.FileSelector(f"{base}/{directory}" if directory else base)):
+        rel = info.path[len(base) :].lstrip("/")
+        if info.type == fs.FileType.Directory:
+            if info.base_name != ".git" and descend(rel):
+                below.append(rel)
+        elif info.type == fs.FileType.File:
+            found.append((rel, info.path, info.size or 0, info.mtime))
+    return found, below
+
+
+def listing(spark: SparkSession, root: str, glob: str | None = None, descend: Callable[[str], bool] | None = None) -> DataFrame:
+    """``rel_path, abs_path, size_bytes, modified`` of every file below ``root`` outside ``.git``, empty ones too.
+
+    Only the first :data:`FANOUT` directories are listed on the driver; those below them are each a task's work, so the
+    paths of a large tree never meet in one place. Directories that ``descend`` refuses aren't looked into.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    enter = descend or (lambda _: True)
+    system, base = _filesystem(root.rstrip("/") or "/")
+    rows, todo = [], [""]
+    while todo and len(todo) < FANOUT:
+        found, below = _entries(system, base, todo.pop(0), enter)
+        rows += found
+        todo += below
+
+    def walk(batches):
+        system, _ = _filesystem(root)
+        for batch in batches:
+            for start in batch.column(0).to_pylist():
+                stack = [start]
+                while stack:
+                    found, below = _entries(system, base, stack.pop(), enter)
+                    stack += below
+                    columns = list(zip(*found, strict=True)) or [[], [], [], []]
+                    types = (pa.string(), pa.string(), pa.int64(), pa.timestamp("us", "UTC"))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["rel_path", "abs_path", "size_bytes", "modified"])
+
+    near = spark.createDataFrame(rows, _SCHEMA)
+    files = near
+    if todo:
+        starts = spark.createDataFrame([(t,) for t in todo], "d string").repartition(min(len(todo), 8 * spark.sparkContext.defaultParallelism))
+        # Directories differ in size: files are spread anew before anyone reads them.
+        files = near.unionByName(starts.mapInArrow(walk, _SCHEMA).repartition("rel_path"))
     if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    base = root.rstrip("/")
-    abs_path = F.regexp_replace(F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/{2,}", "/")
-    found = reader.load(root)
-    filled = found.select(abs_path.alias("abs_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), "content")
-    # Spark lists empty files but doesn't read them.
-    named = spark.createDataFrame([(_bare(unquote(p)),) for p in found.inputFiles()], "abs_path string")
-    hollow = named.join(filled.select("abs_path"), "abs_path", "left_anti").select("abs_path", F.lit(0).cast("bigint").alias("size_bytes"), F.lit(None).cast("timestamp").alias("modified"), F.lit(b"").alias("content"))
-    rel = F.substring("abs_path", F.lit(len(_bare(base)) + 2), F.length("abs_path"))
-    files = filled.unionByName(hollow).withColumn("rel_path", rel)
-    return files.select("rel_path", "abs_path", "size_bytes", "modified", "content").where(~F.concat(F.lit("/"), F.col("rel_path")).contains("/.git/"))
+        files = files.where(F.regexp_extract("rel_path", "([^/]*)$", 1).rlike(fnmatch.translate(glob).replace("\\Z", "\\z")))
+    return files
 
 
-def _bare(path: str) -> str:
-    return re.sub("/{2,}", "/", re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path)).rstrip("/")
+def text_of(abs_path: Column, root: str) -> Column:
+    """The text of a file in UTF-8, of which bytes that are not are dropped. Only the rows that are left of a plan's filters are read."""
 
+    @F.pandas_udf("string")
+    def run(paths: pd.Series) -> pd.Series:
+        system, _ = _filesystem(root)
 
-def decoded(content: Column) -> Column:
-    """UTF-8 text; bytes that are not UTF-8 are dropped."""
+        def read(path):
+            with system.open_input_stream(path) as stream:
+                return stream.read().decode("utf-8", "ignore")
 
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: bytes(b).decode("utf-8", "ignore"), na_action="ignore")
+        return paths.map(read, na_action="ignore")
 
-    return run(content)
+    return run(abs_path)
 
 
 def scanned(files: DataFrame, extensions: Iterable[str], tree: filters.FilterNode | None = None, rules: list[tuple[int, bool, str]] | None = None, scope: str = "") -> DataFrame:
@@ -76,8 +121,8 @@ def external(files: DataFrame, globs: Iterable[str], scope: str = "") -> DataFra
     return files.where(wanted)
 
 
-def with_text(files: DataFrame) -> DataFrame:
-    return files.withColumn("text", decoded(F.col("content"))).drop("content")
+def with_text(files: DataFrame, root: str = "/") -> DataFrame:
+    return files.withColumn("text", text_of(F.col("abs_path"), root))
 
 
 def first_by(files: DataFrame, key: str = "abs_path", order: str = "rel_path") -> DataFrame:
@@ -86,7 +131,15 @@ def first_by(files: DataFrame, key: str = "abs_path", order: str = "rel_path") -
     return files.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("r")).select(key, "r.*").select(files.columns)
 
 
-def pruned_roots(tree: filters.FilterNode, directories: Iterable[str]) -> list[str]:
-    """Of some directories those worth listing; what is left out can hold no included file."""
-    full = filters.expanded(tree)
-    return [d for d in directories if filters.may_descend(full, d)]
+def pruning(tree: filters.FilterNode, scope: str = "") -> Callable[[str], bool]:
+    """For :func:`listing`: whether a directory may hold a file that a section of ``scope`` with this filter tree takes."""
+    full, scope = filters.expanded(tree), scope.strip("/")
+
+    def descend(directory: str) -> bool:
+        if not scope:
+            return filters.may_descend(full, directory)
+        if f"{scope}/".startswith(f"{directory}/"):
+            return True
+        return directory.startswith(f"{scope}/") and filters.may_descend(full, directory[len(scope) + 1 :])
+
+    return descend

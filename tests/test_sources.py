@@ -15,11 +15,28 @@ def test_listing_decodes_and_leaves_git_out(spark, tmp_path):
     for name, data in {"a/x.py": b"ok \xff\xfe!", "a/.git/y.py": b"no", "Dockerfile": b"FROM x", "b.PY": b"", "c.txt": b"t"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(data)
-    df = files.with_text(files.scanned(files.listing(spark, str(tmp_path)), [".py"], filters.FilterNode()))
+    df = files.with_text(files.scanned(files.listing(spark, str(tmp_path)), [".py"], filters.FilterNode()), str(tmp_path))
     assert {r.rel_path: r.text for r in df.collect()} == {"a/x.py": "ok !", "Dockerfile": "FROM x", "b.PY": ""}
     outside = files.external(files.listing(spark, str(tmp_path)), ["../c.*"], "a")
     assert [r.rel_path for r in outside.select("rel_path").collect()] == ["c.txt"]
-    assert files.pruned_roots(filters.FilterNode("allow", ["/a/**"]), ["a", "b"]) == ["a", "b"]
+    assert [r.rel_path for r in files.listing(spark, f"file://{tmp_path}", "*.t?t").collect()] == ["c.txt"]
+
+
+def test_directories_that_filters_rule_out_are_not_listed(spark, tmp_path, monkeypatch):
+    names = [f"{top}/{mid}/f{i}.py" for top in ("src", "docs", "deep") for mid in ("a", "b", "c") for i in range(3)]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    (tmp_path / "docs" / "locked").mkdir()
+    tree = filters.FilterNode("block", block=["/docs/"], children={"src": filters.FilterNode("allow", ["/a/"])})
+    for fanout in (1, 3, 256):
+        monkeypatch.setattr(files, "FANOUT", fanout)
+        assert sorted(r.rel_path for r in files.listing(spark, str(tmp_path)).collect()) == sorted(names)
+        descend = files.pruning(tree)
+        listed = {r.rel_path for r in files.listing(spark, str(tmp_path), descend=descend).collect()}
+        assert not any(p.startswith("docs/") for p in listed) and {n for n in names if n.startswith(("src/a", "deep"))} <= listed
+        inner = {r.rel_path for r in files.listing(spark, str(tmp_path), descend=files.pruning(filters.FilterNode("allow", ["/b/"]), "deep")).collect()}
+        assert inner and all(p.startswith("deep/b/") for p in inner)
 
 
 def test_store_computes_each_key_once(spark, tmp_path):
