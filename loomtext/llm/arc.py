@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.arrow_text import mapped
+
 V1 = ("url", "ip", "date", "type", "length")
 V2 = ("url", "ip", "date", "type", "result", "checksum", "location", "offset", "filename", "length")
 #: A header line is a URL, then an address or "-", a date of 8 to 14 digits, and fields to a length; used to find the next record when a length was wrong.
@@ -227,4 +229,4 @@ def convert(files: DataFrame, source_col: str = "path", content_col: str = "cont
         types = [kinds, *[t for _, t in FIELDS]]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
-    return taken.mapInArrow(run, schema).withColumnRenamed("source", source_col)
+    return mapped(taken, run, schema).withColumnRenamed("source", source_col)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.llm.arrow_text import lean
+from loomtext.llm.arrow_text import mapped
 from loomtext.llm.storage import fresh
 
 #: Splitters come from so many rows at most, of which the driver sees so many leading characters and a hash. They only balance the ranges.
@@ -65,7 +65,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept_schema = T.StructType([f for f in flat.schema.fields if f.name != tie_])
     schema = T.StructType([*flat.schema.fields, T.StructField(part_, T.IntegerType())])
 
-    @lean
     def ranged(batches):
         """Adds each row's range, and drops the rows of a batch that another of that batch beats: hot texts shrink before the shuffle."""
         bounds = cuts.value
@@ -79,7 +78,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             where = [0 if s is None else bisect_right(bounds, (s, h)) for s, h in zip(head, hashes.take(best).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.take(best).columns, pa.array(where, pa.int32())], names=[*batch.schema.names, part_])
 
-    @lean
     def first_of_each(batches):
         """Sorted rows in; those out that differ from the row before, which may be in the batch before."""
         last, begun = None, False
@@ -95,10 +93,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield batch.filter(pa.array(keep)).drop_columns([tie_, part_])
 
     sorted_ = (
-        flat.withColumn(hash_, F.xxhash64(n_))
-        .mapInArrow(ranged, schema)
+        mapped(flat.withColumn(hash_, F.xxhash64(n_)), ranged, schema)
         .repartitionById(ranges, F.col(part_))
         .sortWithinPartitions(F.col(n_).asc_nulls_first(), F.col(f"`{id_col}`").asc_nulls_last(), F.col(tie_))
     )
-    out = sorted_.mapInArrow(first_of_each, kept_schema)
+    out = mapped(sorted_, first_of_each, kept_schema)
     return out.select(*[F.coalesce(own_, n_).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -121,7 +121,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
 
-    @arrow_text.lean
     def run(batches):
         for batch in batches:
             column = arrow_text.strings(batch.column(1))
@@ -134,4 +133,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     names=["id", "root", "height", "signatures"],
                 )
 
-    return texts.mapInArrow(run, f"id {kind}, root bigint, height int, signatures array<bigint>").withColumnRenamed("id", id_col)
+    return arrow_text.mapped(texts, run, f"id {kind}, root bigint, height int, signatures array<bigint>").withColumnRenamed("id", id_col)

@@ -85,7 +85,6 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width=SHINGLE_WORDS,
     taken = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = taken.schema["id"].dataType
 
-    @arrow_text.lean
     def run(batches):
         scatter, windows = permutations(universe, bands * rows, seed)
         salt = arrow_text.mix64(np.arange(1, bands + 1, dtype=np.uint64))
@@ -110,7 +109,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width=SHINGLE_WORDS,
                     names=["id", "n", "hi", "lo", "bands"],
                 )
 
-    return taken.mapInArrow(run, f"id {kind.simpleString()}, n int, hi bigint, lo bigint, bands array<bigint>")
+    return arrow_text.mapped(taken, run, f"id {kind.simpleString()}, n int, hi bigint, lo bigint, bands array<bigint>")
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, width=SHINGLE_WORDS) -> DataFrame:
@@ -119,14 +118,13 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, width=S
     kind = taken.schema["id"].dataType
     wanted = taken.join(F.broadcast(ids) if small(ids) else ids.hint("merge"), "id", "left_semi")
 
-    @arrow_text.lean
     def run(batches):
         for batch in batches:
             for first, sets, bounds in shingle_sets(batch.column(1), width):
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sets.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(lists)), lists], names=["id", "s"])
 
-    return wanted.mapInArrow(run, f"id {kind.simpleString()}, s array<bigint>")
+    return arrow_text.mapped(wanted, run, f"id {kind.simpleString()}, s array<bigint>")
 
 
 def small(ids: DataFrame) -> bool:

@@ -103,7 +103,6 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_
     sample = spark.createDataFrame(rows, "id {}, y int, half int".format(docs.schema[id_col].dataType.simpleString()))
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(sample), "id")
 
-    @arrow_text.lean
     def count(batches):
         sums = np.zeros((k, 1 << FEATURE_BITS), np.int64)
         for batch in batches:
@@ -115,20 +114,19 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], id_
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums.reshape(-1)[at])], names=["f", "n"])
 
     sums = np.zeros(k << FEATURE_BITS)
-    for f, n in text.where("half = 0").select("text", "y").mapInArrow(count, "f bigint, n bigint").groupBy("f").agg(F.sum("n")).collect():
+    for f, n in arrow_text.mapped(text.where("half = 0").select("text", "y"), count, "f bigint, n bigint").groupBy("f").agg(F.sum("n")).collect():
         sums[f] = n
     sums = sums.reshape(k, -1)
     weights = np.log((sums + 0.5) / (sums.sum(axis=1, keepdims=True) + 0.5 * sums.shape[1])).astype(np.float32)
     model = spark.sparkContext.broadcast(Classifier(weights, np.eye(k), np.zeros(k)))
 
-    @arrow_text.lean
     def means(batches):
         for batch in batches:
             for first, codes, at, _ in trigrams(batch.column(0)):
                 m = model.value.means(codes, at)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, len(m)), pa.array(list(m), pa.list_(pa.float64()))], names=["y", "m"])
 
-    held = text.where("half = 1").select("text", "y").mapInArrow(means, "y int, m array<double>").collect()
+    held = arrow_text.mapped(text.where("half = 1").select("text", "y"), means, "y int, m array<double>").collect()
     if not held:
         return None
     held.sort(key=lambda r: (r.y, r.m))
@@ -180,7 +178,7 @@ def solve(parts: DataFrame, weights: np.ndarray, total: float, store_every: int
     def summed(df):
         return np.sum([r.s for r in df.collect()], axis=0)
 
-    metric = np.linalg.pinv(summed(parts.select("p", "n").mapInArrow(arrow_text.lean(moments), "s array<double>")).reshape(k, k), rcond=1e-12, hermitian=True)
+    metric = np.linalg.pinv(summed(arrow_text.mapped(parts.select("p", "n"), moments, "s array<double>")).reshape(k, k), rcond=1e-12, hermitian=True)
     state = parts.select("p", "n", F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
     kept, since = Steps([]), Steps([])
     root = np.linalg.cholesky(metric + 1e-12 * np.trace(metric) * np.eye(k))
@@ -195,7 +193,7 @@ def solve(parts: DataFrame, weights: np.ndarray, total: float, store_every: int
                 s += np.concatenate([(n * rate) @ p, (n * ahead) @ p, (p.T @ (p * (n * (ahead > 0))[:, None])).reshape(-1)])
             yield pa.RecordBatch.from_arrays([pa.array(s.reshape(1, -1).tolist(), pa.list_(pa.float64()))], names=["s"])
 
-        s = summed(state.mapInArrow(arrow_text.lean(totals), "s array<double>"))
+        s = summed(arrow_text.mapped(state, totals, "s array<double>"))
         kept.totals = s[:k]
         miss = kept.totals - weights
         value = float(miss @ metric @ miss)
@@ -225,7 +223,7 @@ def solve(parts: DataFrame, weights: np.ndarray, total: float, store_every: int
                     rate, ahead = now.replay(_matrix(batch.column(0), k), batch.column(2).to_numpy(), batch.column(3).to_numpy())
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rate), pa.array(ahead)], names=["p", "n", "rate", "ahead"])
 
-            old, state = state, written(state.mapInArrow(arrow_text.lean(move), schema), "rates")
+            old, state = state, written(arrow_text.mapped(state, move, schema), "rates")
             discard(old)
             since = Steps([])
     discard(state)
@@ -259,7 +257,6 @@ def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
     asked = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias(text_))
     schema = T.StructType([*asked.schema.fields[:-1], T.StructField(p_, T.ArrayType(T.DoubleType())), T.StructField(n_, T.LongType())])
 
-    @arrow_text.lean
     def judged(batches):
         for batch in batches:
             for first, codes, at, words in trigrams(batch.column(len(names))):
@@ -269,20 +266,19 @@ def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
                 yield pa.RecordBatch.from_arrays([*rows.columns, p, pa.array(words)], names=[*rows.schema.names, p_, n_])
 
     # Texts are scored once: the solver reads the posteriors of this table, and what is returned all of it.
-    posteriors = written(asked.mapInArrow(judged, schema), "posteriors")
+    posteriors = written(arrow_text.mapped(asked, judged, schema), "posteriors")
     parts = posteriors.select(F.col(p_).alias("p"), F.col(n_).alias("n")).where("n > 0")
     total = parts.agg(F.sum("n")).first()[0] or 0
     wanted = np.array([targets[d] for d in domains], float)
     steps = solve(parts, wanted / wanted.sum() * ((tokens or total) / total), float(total)) if total else Steps([])
     out = T.StructType([*asked.schema.fields[:-1], T.StructField(rate_col, T.DoubleType())])
 
-    @arrow_text.lean
     def rate(batches):
         for batch in batches:
             rates = np.where(batch.column(n_).to_numpy() > 0, steps.replay(_matrix(batch.column(p_), k))[0], 1.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(rates)], names=[*batch.schema.names[:-2], rate_col])
 
-    return posteriors.mapInArrow(rate, out)
+    return arrow_text.mapped(posteriors, rate, out)
 
 
 def copies(rate, id_, seed: int = 0):

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm.arc import convert
+from loomtext.llm.arrow_text import mapped
 from loomtext.llm.exact_dedup import exact_dedup
 from loomtext.llm.fingerprints import fingerprints
 from loomtext.llm.minhash import near_duplicates
@@ -65,7 +66,7 @@ def archived(pages: DataFrame) -> DataFrame:
                 out.append(b"".join(gzip.compress(m, 1, mtime=0) for m in members) if file_ // 2 % 2 else b"".join(members))
             yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(out, pa.binary())], names=["path", "content"])
 
-    return files.select("file", "head", "pages", "path").mapInArrow(joined, "path string, content binary")
+    return mapped(files.select("file", "head", "pages", "path"), joined, "path string, content binary")
 
 
 @query

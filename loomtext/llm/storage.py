@@ -1,43 +1,10 @@
-"""Where intermediate tables go: a folder that every executor can reach."""
+"""Names that clash with none, and the tables between steps."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from loomtext.storage import discard, shared_dir, written
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests, one machine), a temporary one is made and set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="loomtext-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the plan behind it is cut, and losing an executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._loomtext_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by :func:`written` that nothing reads any more."""
-    path = getattr(df, "_loomtext_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+__all__ = ["discard", "fresh", "shared_dir", "written"]
 
 
 def fresh(taken, *names: str) -> list[str]:

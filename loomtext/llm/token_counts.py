@@ -64,7 +64,6 @@ def _chunked(texts: DataFrame, shared, pattern: str, chunk: int, overlap: int) -
     # Rows of one id and text have one number, whichever task reads them: they are encoded each and counted together.
     rows = texts.withColumn("r", F.xxhash64("id", "h", "size"))
 
-    @arrow_text.lean
     def split(batches):
         for batch in batches:
             ids, h, size, text, r = batch.columns
@@ -79,7 +78,6 @@ def _chunked(texts: DataFrame, shared, pattern: str, chunk: int, overlap: int) -
                         names=["id", "h", "size", "r", "start", "piece"],
                     )
 
-    @arrow_text.lean
     def encode(batches):
         encoder, lengths = encoding(shared.value, pattern)
         scan = regex.compile(pattern)
@@ -97,8 +95,8 @@ def _chunked(texts: DataFrame, shared, pattern: str, chunk: int, overlap: int) -
                 names=["id", "h", "size", "r", "start", "hp", "hn", "tp", "tn", "n"],
             )
 
-    pieces = rows.select("id", "h", "size", "text", "r").mapInArrow(split, f"id {kind}, h bigint, size bigint, r bigint, start bigint, piece string")
-    coded = pieces.repartition("r", "start").mapInArrow(encode, f"id {kind}, h bigint, size bigint, r bigint, start bigint, hp array<bigint>, hn array<bigint>, tp array<bigint>, tn array<bigint>, n bigint")
+    pieces = arrow_text.mapped(rows.select("id", "h", "size", "text", "r"), split, f"id {kind}, h bigint, size bigint, r bigint, start bigint, piece string")
+    coded = arrow_text.mapped(pieces.repartition("r", "start"), encode, f"id {kind}, h bigint, size bigint, r bigint, start bigint, hp array<bigint>, hn array<bigint>, tp array<bigint>, tn array<bigint>, n bigint")
     same = ["id", "h", "size", "r", "start"]
     coded = coded.groupBy(*same).agg(*[F.any_value(c).alias(c) for c in ("hp", "hn", "tp", "tn", "n")], F.count(F.lit(1)).alias("times"))
     order = Window.partitionBy("r").orderBy("start")
@@ -129,7 +127,6 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
 
-    @arrow_text.lean
     def short(batches):
         encoder, _ = encoding(shared.value, pattern)
         for batch in batches:
@@ -139,7 +136,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
                 counts[lo:hi] = [len(encoder.encode_ordinary(t)) for t in column[lo:hi].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts)], names=["id", "n"])
 
-    result = texts.where(F.length("text") <= chunk).mapInArrow(short, f"id {kind}, n bigint")
+    result = arrow_text.mapped(texts.where(F.length("text") <= chunk), short, f"id {kind}, n bigint")
     long = texts.where(F.length("text") > chunk).select("id", F.xxhash64("text").alias("h"), F.length("text").cast("bigint").alias("size"), "text")
     todo = long
     while True:

@@ -135,7 +135,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(max_labelled).withColumn("held", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) == 0)
     ids = spark.createDataFrame(chosen.collect(), chosen.schema)
 
-    @arrow_text.lean
     def count(batches):
         """In how many toxic and clean documents each word occurs."""
         for batch in batches:
@@ -151,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
                 yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(of), pa.array(n - of)], names=["h", "toxic", "clean"])
 
     seen = text.join(F.broadcast(ids.where("NOT held").select("id", "y")), "id").select("text", "y")
-    counted = seen.mapInArrow(count, "h bigint, toxic bigint, clean bigint").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
+    counted = arrow_text.mapped(seen, count, "h bigint, toxic bigint, clean bigint").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
     vocabulary = counted.column("h").to_numpy().view(np.uint64)
     order = vocabulary.argsort()
     vocabulary, toxic, clean = vocabulary[order], counted.column("toxic").to_numpy()[order].astype(float), counted.column("clean").to_numpy()[order].astype(float)
@@ -173,21 +172,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
 
 
 def _lengths(held: DataFrame) -> int:
-    @arrow_text.lean
     def run(batches):
         n = 0
         for batch in batches:
             n += sum(len(hashes) for _, _, hashes, _, _ in _words(batch.column(0)))
         yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
 
-    return held.select("text").mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+    return arrow_text.mapped(held.select("text"), run, "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
 def _scan(texts: DataFrame, shared, alpha: float | None) -> DataFrame:
     """``id, score, words, p_value, passages`` of the texts ``(id, text)`` that have a scoring segment, or one significant at ``alpha``; without ``alpha`` passages are all segments, without their text."""
     kind = texts.schema["id"].dataType.simpleString()
 
-    @arrow_text.lean
     def run(batches):
         m = shared.value
         for batch in batches:
@@ -226,7 +223,7 @@ def _scan(texts: DataFrame, shared, alpha: float | None) -> DataFrame:
                 names=["id", "score", "words", "p_value", "passages"],
             )
 
-    return texts.mapInArrow(run, f"id {kind}, score double, words bigint, p_value double, passages array<struct<score: double, text: string>>")
+    return arrow_text.mapped(texts, run, f"id {kind}, score double, words bigint, p_value double, passages array<struct<score: double, text: string>>")
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", alpha=ALPHA, max_labelled=MAX_LABELLED) -> DataFrame:
