@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from loomtext.functions import markdown
 from loomtext.functions import text as T
 from loomtext.operators import conditions, filters, ignore, intervals, lookup, render, report
-from loomtext.plans import adaptive, sections, template
+from loomtext.plans import adaptive, code_catalogue, sections, template
 from loomtext.sources import cache, changes, files
 from loomtext.storage import written
 
@@ -666,3 +666,7 @@ def range_membership(spark, sf_dir):
     r = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.min("at").alias("start"), F.max("at").alias("end"))
     hit = intervals.in_any(e.select("event_id", "user_id", "at"), r, ["user_id"], "at").where("inside")
     return hit.join(r.select("user_id", F.col("start").alias("a")), "user_id").select("event_id", "a")
+
+
+QUERIES |= code_catalogue.QUERIES
+ORACLE_SQL |= code_catalogue.ORACLE_SQL
