@@ -470,11 +470,12 @@ def _trim_block(src: Source, start: int, end: int, most: int) -> None:
 
 def _quoted(src: Source, start: int, end: int) -> str:
     """The text with comments blanked and strings as words, so that splitting sees neither's commas."""
-    out = src.text[start:end]
+    parts, at = [], start
     for s in src.spans:
-        if start <= s.start and s.end <= end:
-            out = out[: s.start - start] + ("x" if s.kind in ("string", "docstring") else " ") * (s.end - s.start) + out[s.end - start :]
-    return out
+        if at <= s.start and s.end <= end:
+            parts += [src.text[at : s.start], ("x" if s.kind in ("string", "docstring") else " ") * (s.end - s.start)]
+            at = s.end
+    return "".join([*parts, src.text[at:end]])
 
 
 def _is_literal(src: Source, at: int, before: str, declared: list[tuple[int, int]]) -> bool:

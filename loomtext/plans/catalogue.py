@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from loomtext.functions import markdown
 from loomtext.functions import text as T
 from loomtext.operators import conditions, filters, ignore, intervals, lookup, render, report
-from loomtext.plans import adaptive, code_catalogue, sections, template
+from loomtext.plans import adaptive, code_catalogue, more_catalogue, sections, template
 from loomtext.sources import cache, changes, files
 from loomtext.storage import written
 
@@ -591,7 +591,11 @@ def code_budget(spark, sf_dir):
     return frames.processed_files(files).select("rel_path", T.token_count(F.col("text")).alias("before"), T.token_count(F.col("processed_text")).alias("after"))
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, string_split_regex(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' +') AS w FROM documents),
+c AS (SELECT doc_id, w, len(w) AS n, list_transform(w, lambda x: CASE WHEN x = '' THEN 2 ELSE 3 END) AS t FROM w),
+k AS (SELECT *, greatest(1, len(list_filter(range(1, least(n, 6) + 1), lambda i: list_sum(t[:i]) <= 12))) AS k FROM c),
+d AS (SELECT *, list_sum(t) + n - 1 > 12 AND k < n AND list_sum(t[k + 1:]) + n - k > 4 AS cut FROM k)
+SELECT doc_id || '.py' AS rel_path, 'X = [' || array_to_string(list_transform(CASE WHEN cut THEN w[:k] ELSE w END, lambda x: '"' || x || '"'), ', ') || CASE WHEN cut THEN ', "…"' ELSE '' END || ']' || chr(10) AS processed_text FROM d""")
 def code_literals(spark, sf_dir):
     """All words of the documents as string lists, trimmed to twelve tokens."""
     from loomtext.operators.code import frames
@@ -668,5 +672,7 @@ def range_membership(spark, sf_dir):
     return hit.join(r.select("user_id", F.col("start").alias("a")), "user_id").select("event_id", "a")
 
 
-QUERIES |= code_catalogue.QUERIES
-ORACLE_SQL |= code_catalogue.ORACLE_SQL
+more_catalogue.register_outlines(_OUTLINE, _REGION, _KEPT, _LABEL)
+for _more in (code_catalogue, more_catalogue):
+    QUERIES |= _more.QUERIES
+    ORACLE_SQL |= _more.ORACLE_SQL

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from loomtext.functions import markdown
-from loomtext.operators.code import frames
+from loomtext.operators.code import frames, transforms
 from loomtext.plans import catalogue
 
 
@@ -32,10 +32,25 @@ def test_whole_texts_without_sql_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     text = {r.doc_id: r.text for r in docs}
     want = {i: markdown.slug(t) for i, t in text.items()}
-    for name in ("slugs", "slugify_all"):
+    for name in ("slugs", "slugify"):
         assert {r.doc_id: r.slug for r in catalogue.QUERIES[name](spark, sf).collect()} == want
     paths = [f"tree/all/{r.source}/{r.doc_id}" for r in docs]
-    assert [r.prefix for r in catalogue.QUERIES["common_prefix_all"](spark, sf).collect()] == [os.path.commonpath(paths)]
+    assert [r.prefix for r in catalogue.QUERIES["common_prefix"](spark, sf).collect()] == [os.path.commonpath(paths)]
+
+
+def test_budgets_against_the_ladder_by_hand(spark, sf, monkeypatch):
+    """Each module is reduced by the first step of the ladder that brings it within 200 tokens, or by the one that brings it nearest."""
+    seen = []
+    made = frames.processed_files
+    monkeypatch.setattr(frames, "processed_files", lambda files: seen.append(files) or made(files))
+    got = {r.rel_path: (r.before, r.after) for r in catalogue.QUERIES["code_budget"](spark, sf).collect()}
+    for r in seen[0].collect()[:40]:
+        o = transforms.options({"budget": {"max_tokens_per_file": 200}})
+        o["placeholders"] = {"ratio": 0.0, "least": 1}
+        sizes = [transforms.count_tokens(transforms.reduced(transforms.Source(r.text, "python"), step)[0]) for step in transforms.ladder(o)]
+        first = next((k for k, n in enumerate(sizes) if n <= 200), None)
+        want = min(sizes) if first is None else sizes[first]
+        assert got[r.rel_path] == (transforms.count_tokens(r.text), want)
 
 
 def test_literals_are_made_of_all_words(spark, sf, monkeypatch):
