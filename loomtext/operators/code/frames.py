@@ -92,10 +92,11 @@ def processed_files(files: DataFrame, holds: Callable[[str], bool] = lambda _: F
     Trivial files go, or with ``keep_trivial`` have a null text. Of a Markdown document that breaks its options' rules
     the metadata say so, under :data:`PROBLEM`.
     """
-    extra = dict(ADAPTERS)
+    extra, literals = dict(ADAPTERS), dict(transforms.LITERALS)
 
     @F.pandas_udf("keep boolean, text string, meta map<string,string>")
     def run(paths: pd.Series, texts: pd.Series, adapters: pd.Series, opts: pd.Series, labels: pd.Series) -> pd.DataFrame:
+        transforms.LITERALS.update(literals)
         memo: dict[str, dict] = {}
         rows = []
         for path, text, name, option, label in zip(paths, texts, adapters, opts, labels, strict=True):

@@ -322,6 +322,14 @@ def _balanced_cut(text: str, at: int, marks: tuple[str, ...]) -> int:
     return at
 
 
+#: Other ways to shorten a string: ``f(text with its quotes, most tokens, count) -> text or None``, by language. None leaves it to what is built in.
+LITERALS: dict[str, list[Callable[[str, int, Callable[[str], int]], str | None]]] = {}
+
+
+def register_literal(language: str, f: Callable[[str, int, Callable[[str], int]], str | None]) -> None:
+    LITERALS.setdefault(language, []).append(f)
+
+
 def literals(src: Source, o: Mapping) -> None:
     """Strings, collections and factory calls above the cap keep a prefix; what is nested in a trimmed one goes with it."""
     most = o["max_tokens"]
@@ -333,6 +341,10 @@ def literals(src: Source, o: Mapping) -> None:
         if id(s) in joined:
             continue
         if s.kind == "string" and src.count(text[s.inner[0] : s.inner[1]]) > most:
+            own = next((x for x in (f(text[s.start : s.end], most, src.count) for f in LITERALS.get(src.language, ())) if x is not None), None)
+            if own is not None:
+                src.remove(s.start, s.end, "literal_string", own, "truncated", mark=False)
+                continue
             body = text[s.inner[0] : s.inner[1]]
             at = max(1, len(body) * max(0, most - 1) // src.count(body))
             src.remove(s.start, s.end, "literal_string", _cut_string(src, s, at), "truncated", mark=False)

@@ -7,7 +7,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -105,6 +105,11 @@ class _Parser:
             while self.take("mark", "."):
                 parts.append(self.need("word", None, "a name after '.'"))
             return Node("provider", (".".join(parts),))
+        if word in PREDICATES:
+            names = []
+            while self.take("mark", ":"):
+                names.append(self.need("word", None, "a name"))
+            return Node("predicate", (word, *names))
         raise ConditionError("unexpected end" if word is None and self.tokens[self.at][0] == "end" else f"unexpected {word or self.tokens[self.at][1]!r}", start)
 
 
@@ -132,6 +137,15 @@ class Context:
     provider: str | None = None
 
 
+#: Other leaves, ``word:name:name``: ``f(names, context) -> bool``.
+PREDICATES: dict[str, Callable[[tuple[str, ...], Context], bool]] = {}
+
+
+def register(word: str, f: Callable[[tuple[str, ...], Context], bool]) -> None:
+    """Adds a kind of leaf. Its function must be one that workers can import or be sent."""
+    PREDICATES[word] = f
+
+
 def evaluate(node: Node | str, ctx: Context) -> bool:
     node = parse(node) if isinstance(node, str) else node
     a = node.args
@@ -156,13 +170,20 @@ def evaluate(node: Node | str, ctx: Context) -> bool:
             return bool(ctx.task and ctx.task.strip())
         case "provider":
             return bool(ctx.provider) and provider_base(ctx.provider) == a[0]
+        case "predicate":
+            return bool(PREDICATES[a[0]](tuple(a[1:]), ctx))
     raise ValueError(node.kind)
 
 
 def bound(ctx: Context):
     """``f(condition) -> bool`` over a copy of the context, which workers can be sent."""
-    own = Context(set(ctx.active), {k: set(v) for k, v in ctx.tagsets.items()}, ctx.origin, ctx.task, ctx.provider)
-    return lambda condition: evaluate(condition, own)
+    own, more = Context(set(ctx.active), {k: set(v) for k, v in ctx.tagsets.items()}, ctx.origin, ctx.task, ctx.provider), dict(PREDICATES)
+
+    def holds(condition):
+        PREDICATES.update(more)
+        return evaluate(condition, own)
+
+    return holds
 
 
 def column(node: Node | str, active: Column, ctx: Context) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import markdown, tokens
 from loomtext.functions import text as T
-from loomtext.operators import filters, ignore, lookup
+from loomtext.operators import filters, ignore, intervals, lookup
 from loomtext.operators.code import frames
 from loomtext.plans import engine
 from loomtext.sources import files
@@ -128,6 +128,23 @@ def conditional_options(spark, sf_dir):
     return spark.createDataFrame(rows, "region string, a string, b string, key string")
 
 
+@query(r"""SELECT page_id, d AS directory, regexp_matches(d, '(^|/)en$') OR regexp_matches(d || '/', '^m\.[^/]*/') AS ignored FROM (SELECT page_id, lower(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '/[^/]*$', '')) AS d FROM pages)""")
+def directory_ignored(spark, sf_dir):
+    """Whether the directory of each page is ignored."""
+    d = table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "/[^/]*$", "")).alias("directory"))
+    return d.select("page_id", "directory", ignore.is_directory_ignored(F.col("directory"), ignore.compiled({"": ["en/", "/m.*/"]})).alias("ignored"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type, floor(epoch(ts))::BIGINT AS a, floor(epoch(ts))::BIGINT + 1 + event_id % 5000 AS b FROM events)
+SELECT x.user_id, x.event_id AS outer_id, y.event_id AS inner_id FROM e x JOIN e y ON x.user_id = y.user_id AND x.event_type = 'view' AND y.event_type = 'click' AND y.a >= x.a AND y.a <= x.b + 10""")
+def edit_band(spark, sf_dir):
+    """Of a user's views and clicks, as spans of seconds, the pairs that an edit of one would touch."""
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", at.alias("start"), (at + 1 + F.col("event_id") % 5000).alias("end"))
+    met = intervals.within_band(e.where("event_type = 'view'"), e.where("event_type = 'click'"), ["user_id"])
+    return met.select(F.col("a.user_id").alias("user_id"), F.col("a.event_id").alias("outer_id"), F.col("b.event_id").alias("inner_id"))
+
+
 # Markdown
 
 

@@ -44,6 +44,19 @@ def register(name: str, priority: int, rule: Callable[[str], Node | None]) -> No
     RULES.sort(key=lambda r: (-r[0], r[1]))
 
 
+#: What other kinds of placeholder become: ``f(args, evaluator) -> text``, by the kind of node; and what is done to a finished document.
+EVALUATORS: dict[str, Callable[[dict, Evaluator], str]] = {}
+PROCESSORS: list[Callable[[str, Evaluator], str]] = []
+
+
+def register_evaluator(kind: str, f: Callable[[dict, Evaluator], str]) -> None:
+    EVALUATORS[kind] = f
+
+
+def register_processor(f: Callable[[str, Evaluator], str]) -> None:
+    PROCESSORS.append(f)
+
+
 def unescaped(text: str) -> str:
     return re.sub(r"\\(.)", lambda m: _ESCAPES.get(m[1], m[0]), text, flags=re.DOTALL)
 
@@ -267,6 +280,9 @@ class Evaluator:
         self._including.append(key)
         self.scopes.append((inner, folder))
         out = self.evaluate(nodes, body)
+        if len(self._including) == 1:
+            for f in PROCESSORS:
+                out = f(out, self)
         self.scopes.pop()
         self._including.pop()
         return out
@@ -302,6 +318,8 @@ class Evaluator:
                 out = self.evaluate(node.branches[0][1], body)
                 self.state = before
                 return out
+        if node.kind in EVALUATORS:
+            return EVALUATORS[node.kind](a, self)
         raise TemplateError(f"nothing evaluates {node.kind!r}")
 
     def _place(self, node: Node, body: str) -> HeadingContext:

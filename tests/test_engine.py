@@ -152,6 +152,46 @@ def test_errors(spark, tree):
         e.render("sec:a")
 
 
+def test_a_wrong_anchor_is_the_callers_error(spark, tree):
+    (tree / "context/bad.ctx.md").write_text("# T\n\n${md:README#no-such-part}\n")
+    with pytest.raises(EngineError, match="no-such-part"):
+        Engine(spark, str(tree)).render("ctx:bad")
+
+
+def test_processed_texts_and_counts_are_kept_between_runs(spark, tree, tmp_path, monkeypatch):
+    from loomtext.operators.code import frames
+
+    where = str(tmp_path / "kept")
+    first = Engine(spark, str(tree), Options(cache=where)).report("sec:all")
+    seen = []
+    made = frames.processed_files
+    monkeypatch.setattr(frames, "processed_files", lambda files, *a, **k: seen.append(files.count()) or made(files, *a, **k))
+    assert Engine(spark, str(tree), Options(cache=where)).report("sec:all") == first == Engine(spark, str(tree)).report("sec:all")
+    assert seen[0] == 0
+    (tree / "pkg/sub/a.py").write_text("y = 3\n")
+    assert "y = 3" in Engine(spark, str(tree), Options(cache=where)).render("sec:all") and seen[2] == 1
+
+
+def test_nothing_stays_cached(spark, tree):
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    e = Engine(spark, str(tree))
+    e.report("ctx:main")
+    e.render("sec:all")
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
+def test_other_placeholders_and_processors(spark, tree, monkeypatch):
+    monkeypatch.setattr(template, "RULES", list(template.RULES))
+    monkeypatch.setattr(template, "EVALUATORS", {})
+    monkeypatch.setattr(template, "PROCESSORS", [])
+    template.register("upper", 999, lambda body: template.Node("upper", {"of": body[3:]}) if body.startswith("up:") else None)
+    template.register_evaluator("upper", lambda args, ev: args["of"].upper() + (" asked" if "ask" in ev.state.tags else ""))
+    template.register_processor(lambda text, ev: text.replace("HELLO", "HALLO"))
+    (tree / "context/own.ctx.md").write_text("${up:hello} ${tpl:inner}\n")
+    (tree / "context/inner.tpl.md").write_text("${up:hello}")
+    assert Engine(spark, str(tree), Options(tags=frozenset({"ask"}))).render("ctx:own").strip() == "HALLO asked HALLO asked"
+
+
 def test_diagnosis_and_init(spark, tree, tmp_path):
     e = Engine(spark, str(tree))
     d = e.diagnose()

@@ -366,3 +366,58 @@ def test_heading_contexts():
     at = lambda s: template.heading_context(body, body.index(s))
     assert (at("${md:x}").level, at("${md:x}").strip_h1) == (3, False)
     assert (at("${md:z}").level, at("${md:w}").in_heading, at("${md:v}")) == (1, True, template.HeadingContext(3, True))
+
+
+def test_joined_strings_are_one_literal():
+    text = 'x = ("alpha beta gamma delta "\n     "epsilon zeta eta theta "\n     "iota")\n"doc one two"\n"other stmt"\n'
+    out = transforms.process(text, "python", {"literals": {"max_tokens": 6}})[0]
+    assert out == 'x = ("alpha beta gamma delta "\n     "epsil…")\n"doc one two"\n"other stmt"\n'
+    compile(out, "x.py", "exec")
+    whole = 'x = ("a b"\n     "c d")\n'
+    assert transforms.process(whole, "python", {"literals": {"max_tokens": 6}})[0] == whole
+
+
+def test_block_initialisers_keep_whole_statements():
+    text = 'class A {\n  Map<String, String> m = new HashMap<String, String>() {{\n    put("a", "b c");\n    put("long", "one two three four five six seven eight nine ten");\n    put("d", "e");\n    put("f", f(1, 2));\n  }};\n  int[] x = {1, 2};\n}\n'
+    out = transforms.process(text, "java", {"literals": {"max_tokens": 24}})[0]
+    inner = out.split("{{", 1)[1].split("}}", 1)[0]
+    assert 'put("a", "b c");' in inner and 'put("d", "e");' in inner and "one two" not in inner and out.count("put(") < 4
+    assert all(x.strip().endswith((";", "*/")) for x in inner.strip().split("\n"))
+
+
+def test_edits_inside_one_that_does_not_pay_are_made():
+    text = "def f():\n    x = 1\n    return [" + ", ".join(f'"w{i}"' for i in range(40)) + "]\n"
+    o = {"strip_function_bodies": True, "literals": {"max_tokens": 8}, "placeholders": {"min_savings_ratio": 1000}}
+    out = transforms.process(text, "python", o)[0]
+    assert "x = 1" in out and '"w39"' not in out and '"…"]' in out
+
+
+def test_other_processors_of_literals(monkeypatch):
+    monkeypatch.setattr(transforms, "LITERALS", {})
+    transforms.register_literal("python", lambda text, most, count: '"sql"' if "SELECT" in text else None)
+    out = transforms.process('a = "SELECT 1 FROM x WHERE y"\nb = "one two three four five six"\n', "python", {"literals": {"max_tokens": 4}})[0]
+    assert 'a = "sql"' in out and "…" in out
+
+
+def test_other_predicates_in_conditions(monkeypatch):
+    monkeypatch.setattr(conditions, "PREDICATES", {})
+    conditions.register("size", lambda names, ctx: len(ctx.active) >= int(names[0][1:]))
+    ctx = conditions.Context({"a", "b"})
+    assert conditions.evaluate("size:n2 AND NOT size:n3", ctx) and conditions.bound(ctx)("size:n1")
+    with pytest.raises(conditions.ConditionError):
+        conditions.parse("unheard:x")
+
+
+def test_ignore_entries_are_added_once(tmp_path):
+    assert ignore.ensure_entry(str(tmp_path), "cache/ ", "made here") and not ignore.ensure_entry(str(tmp_path), "cache/")
+    assert not ignore.ensure_entry(str(tmp_path), " ")
+    assert ignore.ensure_entry(str(tmp_path), "x") and (tmp_path / ".gitignore").read_text() == "# made here\ncache/\n\nx\n"
+
+
+def test_more_rules_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(ignore, "BLOCK", 2)
+    rules = ignore.compiled({"": ["*.log", "!keep.log", "b*", "!bc", "*.tmp"]})
+    paths = spark.createDataFrame([(p,) for p in ("a.log", "keep.log", "bb", "bc", "c.tmp", "d")], "rel_path string")
+    table = spark.createDataFrame(rules, "ord int, negated boolean, regex string")
+    assert sorted(r.rel_path for r in ignore.ignored_paths(paths, table).collect()) == ["a.log", "bb", "c.tmp"]
+    assert ignore.ignored_paths(paths, table.where("false")).collect() == []
