@@ -13,8 +13,6 @@ capped.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -153,6 +151,21 @@ def split_buckets(members: DataFrame, group: DataFrame) -> tuple[DataFrame, Data
     return labelled.join(open_.select("bucket"), "bucket", "left_semi"), open_
 
 
+def joined_groups(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """The groups ``(node, root)`` after more edges between nodes, of which those in no group are alone. Only the groups' roots are connected anew."""
+    if edges.isEmpty():
+        return found
+    root = found.select(F.col("node").alias("n"), F.col("root").alias("r"))
+    ends = edges.join(root, F.col("a") == F.col("n"), "left").select("b", F.coalesce("r", "a").alias("a"))
+    ends = ends.join(root, F.col("b") == F.col("n"), "left").select("a", F.coalesce("r", "b").alias("b"))
+    moved = connected(ends)
+    to = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    kept = found.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    out = written(kept.unionByName(moved.join(found.select("node"), "node", "left_anti")), "components")
+    discard(moved)
+    return out
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS, universe: int = UNIVERSE, seed: int = SEED, shortcut: bool = True
 ) -> DataFrame:
@@ -180,16 +193,17 @@ def near_duplicates(
     star = written(members.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).union(same.select("a", "b")).distinct(), "star")
     ids = written(star.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
     sets = written(sets_of(docs, id_col, text_col, ids, width), "sets")
-    edges = [written(verified(star, sets, threshold), "edges")]
-    apart = shortcut and not same.select("a", "b").join(edges[0], ["a", "b"], "left_anti").isEmpty()
+    edges = written(verified(star, sets, threshold), "edges")
+    apart = shortcut and not same.select("a", "b").join(edges, ["a", "b"], "left_anti").isEmpty()
     for used in (sig, alike, same, leads, ids):
         discard(used)
     if apart:  # sums of 128 bits agree, but the sets don't: no set may stand for another
-        for used in (members, star, sets, edges[0]):
+        for used in (members, star, sets, edges):
             discard(used)
         return near_duplicates(docs, id_col, text_col, threshold, width, bands, rows, universe, seed, shortcut=False)
-    found = connected(edges[0])
-    # What the stars left open. Leaders of a bucket are those of its members whose hashes are lowest, each time about twice
+    found = connected(edges)
+    discard(edges)
+    # What the stars left open. Leaders of a bucket are those of its members whose hashes are lowest, each time eight times
     # as many as before and at last all; those of the last round have met everyone.
     met = star
     leaders = 2
@@ -210,11 +224,11 @@ def near_duplicates(
         across = written(pairs.join(met, ["a", "b"], "left_anti"), "across")
         before, met = met, written(met.unionByName(across), "met")
         discard(before)
-        edges.append(written(verified(across, sets, threshold), "edges"))
-        for used in (sizes, across, found):
+        edges = written(verified(across, sets, threshold), "edges")
+        before, found = found, joined_groups(found, edges)
+        for used in (sizes, across, edges, *([before] if found is not before else [])):
             discard(used)
-        found = connected(functools.reduce(DataFrame.unionByName, edges))
-    for used in (star, met, members, sets, *edges):
+    for used in (met, members, sets):
         discard(used)
     return found.where("node != root").select(F.col("node").alias(id_col), F.col("root").alias(f"keep_{id_col}"))
 
