@@ -12,7 +12,7 @@ from llm_fixtures import awkward, edited, empty, frame, sentence
 
 from loomtext.llm import arrow_text, minhash
 from loomtext.llm.components import connected
-from loomtext.llm.exact_dedup import exact_dedup, normalised, splitters
+from loomtext.llm.exact_dedup import exact_dedup, splitters
 from loomtext.llm.minhash import near_duplicates, without_near_duplicates
 
 
@@ -41,7 +41,7 @@ def test_exact_dedup_keeps_texts_as_they_are(spark):
 def test_half_of_the_rows_may_be_one_text(spark):
     """The sample is of rows and stays within its bound, and the ranges stay even over the distinct texts."""
     df = spark.range(20_000).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'hot', CONCAT('a heading that all others share ', REPEAT('x', 600), id)) AS text")
-    cuts = splitters(df, normalised(df.text), 16, 500)
+    cuts = splitters(df, df.text, 16, 500)
     assert len(cuts) == 15
     rows = [r.n for r in exact_dedup(df).selectExpr("spark_partition_id() AS p").groupBy("p").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()]
     assert sum(rows) == 10_001 and max(rows) < 2 * 10_001 / 4
