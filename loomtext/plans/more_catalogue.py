@@ -128,7 +128,7 @@ def conditional_options(spark, sf_dir):
     return spark.createDataFrame(rows, "region string, a string, b string, key string")
 
 
-@query(r"""SELECT page_id, d AS directory, regexp_matches(d, '(^|/)en$') OR regexp_matches(d || '/', '^m\.[^/]*/') AS ignored FROM (SELECT page_id, lower(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '/[^/]*$', '')) AS d FROM pages)""")
+@query(r"""SELECT page_id, d AS directory, regexp_matches(d, '(^|/)en(/|$)') OR regexp_matches(d || '/', '^m\.[^/]*/') AS ignored FROM (SELECT page_id, lower(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '/[^/]*$', '')) AS d FROM pages)""")
 def directory_ignored(spark, sf_dir):
     """Whether the directory of each page is ignored."""
     d = table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "/[^/]*$", "")).alias("directory"))
