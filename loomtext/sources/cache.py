@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,13 +38,17 @@ class Store:
         target, fs = self._fs(self._path(name))
         return bool(fs.exists(target))
 
+    def _read(self, name: str) -> DataFrame:
+        """The table as it is now. Spark takes scans of one path for equal, though files came between them; an option of their own keeps them apart."""
+        return self.spark.read.option("loomtext.read", uuid.uuid4().hex).parquet(self._path(name))
+
     def through(self, name: str, keyed: DataFrame, compute: Callable[[DataFrame], DataFrame], key: str = "key") -> DataFrame:
         """``compute`` of the distinct keys that aren't stored yet, appended; then all of ``keyed`` with its stored columns."""
         todo = keyed.dropDuplicates([key])
         if self.exists(name):
-            todo = todo.join(self.spark.read.parquet(self._path(name)).select(key), key, "left_anti")
+            todo = todo.join(self._read(name).select(key), key, "left_anti")
         compute(todo).write.mode("append").parquet(self._path(name))
-        known = self.spark.read.parquet(self._path(name)).dropDuplicates([key])
+        known = self._read(name).dropDuplicates([key])
         return keyed.join(known, key, "left")
 
     def snapshot(self) -> dict[str, tuple[int, int]]:
