@@ -8,7 +8,8 @@ Documents that agree on a band are candidates. Every candidate pair whose outcom
 the full shingle sets: first each bucket's members against its smallest id, and then, where a bucket still spans more
 than one group, members against ever more leaders of the bucket, joining groups in between. Pairs inside one group would
 change nothing, so copies in thousands cost a star of comparisons and not a square, and no pair, bucket or partner is
-capped.
+capped. As groups only grow, a bucket that lies in one group is done with: the rounds go on with the members of the other
+buckets, and with those members' shingle sets.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ THRESHOLD = 0.55
 BANDS, ROWS = 32, 4
 UNIVERSE = 1 << 20
 SEED = 20240229
-#: Id lists of up to so many bytes are broadcast; longer ones are joined by a shuffle.
+#: Lists of ids, pairs and buckets of up to so many bytes are broadcast; longer ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 #: In an open bucket a task compares about so many pairs.
 SALT_PAIRS = 1 << 20
@@ -114,7 +115,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, width=S
     """``id`` and sorted distinct shingles ``s`` of the rows whose id is in ``ids``."""
     taken = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = taken.schema["id"].dataType
-    wanted = taken.join(F.broadcast(ids) if small(ids) else ids.hint("merge"), "id", "left_semi")
+    wanted = taken.join(sent(ids), "id", "left_semi")
 
     def run(batches):
         for batch in batches:
@@ -125,30 +126,44 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, width=S
     return arrow_text.mapped(wanted, run, f"id {kind.simpleString()}, s array<bigint>")
 
 
-def small(ids: DataFrame) -> bool:
-    """Whether a one-column table's ids may be broadcast, by their bytes."""
-    bytes_ = F.octet_length(F.col(ids.columns[0]).cast("string")) + 32
-    return (ids.agg(F.sum(bytes_)).first()[0] or 0) <= BROADCAST_BYTES
+def small(table: DataFrame) -> bool:
+    """Whether a table of ids and the like may be broadcast, by its bytes."""
+    bytes_ = sum(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 32 for c in table.columns)
+    return (table.agg(F.sum(bytes_)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def sent(table: DataFrame) -> DataFrame:
+    """The table with the hint by which it is joined: a broadcast if it is small, else a merge of shuffled rows."""
+    return F.broadcast(table) if small(table) else table.hint("merge")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``a, b`` whose shingle sets have Jaccard similarity of at least ``threshold``."""
+    """The pairs ``a, b`` whose shingle sets have Jaccard similarity of at least ``threshold``.
+
+    Pairs that may be broadcast are taken to the sets: then a set is shuffled once as ``a`` and once for each pair as ``b``,
+    and sets in no pair are not.
+    """
     left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    if small(pairs):
+        pairs, left = F.broadcast(pairs), left.join(F.broadcast(pairs.select("a").distinct()), "a", "left_semi")
     both = pairs.join(right, "b").join(left, "a")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
 def split_buckets(members: DataFrame, group: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(bucket, id, root)`` of the members whose buckets lie in several groups, and those buckets with their sizes.
+    """``(bucket, id, root)`` of the members whose buckets lie in several groups, and those buckets with their sizes. Both are written tables.
 
     Sizes and bounds are aggregated before they meet the members, so that a bucket of a third of all rows is a row here.
     """
-    labelled = members.join(group.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    labelled = members.select("bucket", "id").join(group.withColumnRenamed("node", "id"), "id", "left")
+    labelled = written(labelled.select("bucket", "id", F.coalesce("root", "id").alias("root")), "labelled")
     bounds = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    open_ = written(bounds.where("r0 != r1").select("bucket", "size"), "open-buckets")
-    return labelled.join(open_.select("bucket"), "bucket", "left_semi"), open_
+    sizes = written(bounds.where("r0 != r1").select("bucket", "size"), "open-buckets")
+    open_ = written(labelled.join(sent(sizes.select("bucket")), "bucket", "left_semi"), "open-members")
+    discard(labelled)
+    return open_, sizes
 
 
 def joined_groups(found: DataFrame, edges: DataFrame) -> DataFrame:
@@ -186,16 +201,17 @@ def near_duplicates(
     alike = written(sig.groupBy("hi", "lo", "n").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("k")).where(F.col("k") > (1 if shortcut else F.lit(None))).drop("k"), "alike")
     same = written(sig.select("id", "hi", "lo", "n").join(alike, ["hi", "lo", "n"]).where("id != a").select("a", F.col("id").alias("b"), "hi", "lo", "n").distinct(), "same")
     # Only the text that equals another goes: an id's other texts keep their bands.
-    reps = sig.join(same.select(F.col("b").alias("id"), "hi", "lo", "n"), ["id", "hi", "lo", "n"], "left_anti")
+    reps = written(sig.join(sent(same.select(F.col("b").alias("id"), "hi", "lo", "n")), ["id", "hi", "lo", "n"], "left_anti").select("id", "bands"), "representatives")
+    discard(sig)
     banded = reps.select("id", F.explode("bands").alias("bucket"))
     leads = written(banded.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead != last").select("bucket", "lead"), "leads")
-    members = written(banded.join(leads, "bucket").distinct(), "buckets")
+    members = written(banded.join(sent(leads), "bucket").distinct(), "buckets")
     star = written(members.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).union(same.select("a", "b")).distinct(), "star")
     ids = written(star.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
     sets = written(sets_of(docs, id_col, text_col, ids, width), "sets")
     edges = written(verified(star, sets, threshold), "edges")
     apart = shortcut and not same.select("a", "b").join(edges, ["a", "b"], "left_anti").isEmpty()
-    for used in (sig, alike, same, leads, ids):
+    for used in (reps, alike, same, leads, ids):
         discard(used)
     if apart:  # sums of 128 bits agree, but the sets don't: no set may stand for another
         for used in (members, star, sets, edges):
@@ -208,12 +224,16 @@ def near_duplicates(
     met = star
     leaders = 2
     while True:
-        open_, sizes = split_buckets(members, found)
+        before, (open_, sizes) = members, split_buckets(members, found)
+        members = open_
+        discard(before)
         hottest = sizes.agg(F.max("size")).first()[0]
         if hottest is None or leaders >= hottest:
             discard(sizes)
             break
         leaders *= 8
+        before, sets = sets, written(sets.join(sent(open_.select("id").distinct()), "id", "left_semi"), "sets")
+        discard(before)
         draw = F.pmod(F.xxhash64("bucket", "id"), F.lit(1 << 52)) / float(1 << 52)
         # With so many leaders a member is spread over as many keys, and the leaders are copied to each.
         salts = F.greatest(F.lit(1), F.least(F.lit(4096), F.ceil(F.col("size") * F.least(F.lit(leaders), F.col("size")) / SALT_PAIRS))).cast("int")

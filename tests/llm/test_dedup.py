@@ -140,6 +140,56 @@ def test_a_hot_bucket_of_several_groups_is_resolved(spark):
     assert got == wanted and len(wanted) >= 100
 
 
+def shuffled(spark):
+    """Bytes that this session's tasks have written for shuffles so far."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    executors = spark._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.length()))
+
+
+def test_only_sets_of_pairs_are_shuffled(spark, tmp_path):
+    """A few pairs among many sets: what is compared moves, the rest stays where it is."""
+    rng = random.Random(5)
+    rows = [(i, sorted(rng.getrandbits(62) for _ in range(400))) for i in range(2000)]
+    rows += [(5000, rows[7][1][:300]), (5001, rows[8][1][:100])]
+    spark.createDataFrame(rows, "id int, s array<bigint>").write.parquet(str(tmp_path / "sets"))
+    spark.createDataFrame([(7, 5000), (8, 5001), (1, 2)], "a int, b int").write.parquet(str(tmp_path / "pairs"))
+    sets, pairs = spark.read.parquet(str(tmp_path / "sets")), spark.read.parquet(str(tmp_path / "pairs"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        assert [tuple(r) for r in minhash.verified(pairs, sets, 0.55).collect()] == [(7, 5000)]
+        assert shuffled(spark) - before < 200_000  # all sets are 6.4 MB
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+@pytest.mark.parametrize("most", [minhash.BROADCAST_BYTES, 0])
+def test_later_rounds_read_only_the_sets_of_open_buckets(spark, monkeypatch, most):
+    """Groups whose buckets are their own are done with after the stars, however much else is compared; nothing is broadcast at 0."""
+    rng = random.Random(22)
+    words = [f"w{i}" for i in range(60 + 18 * 20)]
+    rows = [(i, " ".join(words[18 * i : 18 * i + 60])) for i in range(20)]  # neighbours share buckets, but are too unlike
+    for g in range(30):
+        text = " ".join(f"g{g}w{k}" for k in range(50))
+        rows += [(100 + 2 * g, text), (101 + 2 * g, text + " end")]
+    rng.shuffle(rows)
+    seen, plain = [], minhash.verified
+
+    def verified(pairs, sets, threshold):
+        seen.append({r.id for r in sets.select("id").collect()})
+        return plain(pairs, sets, threshold)
+
+    monkeypatch.setattr(minhash, "verified", verified)
+    monkeypatch.setattr(minhash, "BROADCAST_BYTES", most)
+    got = {tuple(r) for r in near_duplicates(frame(spark, [(i, t, "en", "s", 1) for i, t in rows]), bands=96, rows=1).collect()}
+    assert got == brute_groups(rows) == {(101 + 2 * g, 100 + 2 * g) for g in range(30)}
+    assert len(seen) >= 2 and seen[0] == {i for i, _ in rows}
+    # The 20, and hardly a group: shingles that fall on one place of the permutation may put one into an open bucket.
+    assert all(0 < len(ids) <= 24 for ids in seen[1:])
+
+
 def test_without_the_shortcut_nothing_changes(spark):
     assert {tuple(r) for r in near_duplicates(frame(spark), shortcut=False).collect()} == brute_groups(awkward())
 
