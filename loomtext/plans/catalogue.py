@@ -330,7 +330,7 @@ def first_sentence(spark, sf_dir):
 FROM (SELECT source, lang, count(*) AS n, CASE lang WHEN 'de' THEN 'class' WHEN 'fr' THEN 'function body' WHEN 'es' THEN 'entry' ELSE 'comment' END AS k, sum(len(string_split(text, chr(10))))::BIGINT AS lines FROM documents GROUP BY source, lang)""")
 def plural_placeholder(spark, sf_dir):
     kind = F.when(F.col("lang") == "de", "class").when(F.col("lang") == "fr", "function_body").when(F.col("lang") == "es", "entry").otherwise("comment")
-    g = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum(T.count_lines(F.col("text"))).alias("lines"))
+    g = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum(T.count_pieces(F.col("text"))).alias("lines"))
     return g.select("source", "lang", "n", T.omission(kind, F.lit("omitted"), F.col("n"), F.col("lines")).alias("placeholder"))
 
 

@@ -19,6 +19,23 @@ def test_query_equals_its_sql(spark, sf, name):
         assert df.count() > 0
 
 
+@pytest.fixture(scope="module")
+def odd(spark, sf, tmp_path_factory):
+    """The tables with documents that are empty or of one blank line, have no text, language or source, or are in a group of their own."""
+    out = tmp_path_factory.mktemp("odd")
+    for t in oracle.TABLES:
+        os.symlink(f"{sf}/{t}.parquet", out / f"{t}.parquet") if t != "documents" else None
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(10**6 + i, text, lang, source, len(text or "")) for i, (text, lang, source) in enumerate([("", "en", "void"), ("", "en", "void"), ("", "fr", "void"), ("", "es", "void"), ("\n", "de", "void"), ("", "de", "wiki"), ("a\r\n\nb", "en", "wiki"), ("x", None, "wiki"), ("x", "de", None), (None, "en", "wiki")])]
+    docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).coalesce(1).write.parquet(str(out / "documents.parquet"))
+    return str(out)
+
+
+@pytest.mark.parametrize("name", ["plural_placeholder", "section_omission"])
+def test_odd_documents_count_as_in_sql(spark, odd, name):
+    assert oracle.differences(catalogue.QUERIES[name](spark, odd), oracle.connection(odd), catalogue.ORACLE_SQL[name]) == []
+
+
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert rows and abs(sum(r.promptShare for r in rows) - 100) < 1e-9
