@@ -2,50 +2,17 @@
 
 from __future__ import annotations
 
-import ctypes
-import functools
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+
+from loomtext.functions.batches import BATCH_BYTES, lean, mapped  # noqa: F401
 
 #: Bytes of text handled at once. Only the size of temporaries depends on it, never a result.
 SLICE_BYTES = 1 << 19
 
-#: Bytes of a batch on its way to Python, unless the session has a limit of its own, and of one on its way back.
-BATCH_BYTES = 4 << 20
-_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def lean(run: Callable) -> Callable:
-    """For functions of ``mapInArrow``: results leave in small batches, and as a worker serves one stage after another, what a task freed goes back to the system when it ends."""
-
-    @functools.wraps(run)
-    def inner(batches):
-        try:
-            for out in run(batches):
-                rows = max(1, out.num_rows * BATCH_BYTES // max(1, out.nbytes))
-                for at in range(0, max(1, out.num_rows), rows):
-                    yield out.slice(at, rows)
-        finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
-
-    return inner
-
-
-def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``df.mapInArrow`` with small batches both ways, so that a task's memory doesn't depend on how many rows a batch may have."""
-    spark = df.sparkSession
-    if not spark._jsparkSession.sessionState().conf().contains(_LIMIT):
-        spark.conf.set(_LIMIT, str(BATCH_BYTES))
-    return df.mapInArrow(lean(run), schema)
-
-
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True

@@ -358,14 +358,15 @@ def block_comment_clean(spark, sf_dir):
 
 
 _BODY = "[^A-Za-z0-9 .,]"
+_BODIES = f"[^{T.LETTERS}0123456789 .,\n]+"
 
 
 def outlined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as Markdown outlines: every line is a heading whose level comes from its length, or text; a last line closes each."""
-    body = lambda x: F.regexp_replace(x, _BODY, "")
-    level = lambda x: (F.length(body(x)) % 5).cast("int")
-    line = lambda x, i: F.when(level(x) > 0, F.concat(F.repeat(F.lit("#"), level(x)), F.lit(" h"), i.cast("string"), F.lit(" "), body(x))).otherwise(body(x))
-    lines = F.transform(F.split(F.concat("text", F.lit("\nended")), "\n"), line)
+    level = lambda x: (F.length(x) % 5).cast("int")
+    line = lambda x, i: F.when(level(x) > 0, F.concat(F.repeat(F.lit("#"), level(x)), F.lit(" h"), i.cast("string"), F.lit(" "), x)).otherwise(x)
+    # All lines are cleaned at once, before they are parted.
+    lines = F.transform(F.split(F.regexp_replace(F.concat("text", F.lit("\nended")), _BODIES, ""), "\n"), line)
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n").alias("md"))
 
 
@@ -550,12 +551,14 @@ def include_expansion(spark, sf_dir):
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a small Python module: one function a line, private when the line's length is odd."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    name = F.concat(F.when(F.length("line") % 2 == 1, "_").otherwise(""), F.lit("f"), F.col("i").cast("string"))
-    body = F.concat(F.lit("# "), F.length("line").cast("string"), F.lit("\ndef "), name, F.lit('(x):\n    """First. Second."""\n    y = x + '), F.col("i").cast("string"), F.lit("\n    return y\n"))
-    text = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", body.alias("b")))), lambda x: x["b"]), "\n").alias("text"))
-    head = F.concat(F.lit("import os\nfrom .near import thing\n\n"), F.col("text"))
-    return text.select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("rel_path"), head.alias("text"), F.lit("python").alias("adapter"), F.lit("x.py").alias("label"))
+
+    def one(line, i):
+        n, at = F.length(line), i.cast("string")
+        name = F.concat(F.when(n % 2 == 1, "_").otherwise(""), F.lit("f"), at)
+        return F.concat(F.lit("# "), n.cast("string"), F.lit("\ndef "), name, F.lit('(x):\n    """First. Second."""\n    y = x + '), at, F.lit("\n    return y\n"))
+
+    head = F.concat(F.lit("import os\nfrom .near import thing\n\n"), F.array_join(F.transform(F.split("text", "\n"), one), "\n"))
+    return table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("rel_path"), head.alias("text"), F.lit("python").alias("adapter"), F.lit("x.py").alias("label"))
 
 
 @query("""SELECT doc_id || '.py' AS rel_path, 'function' AS kind, CASE WHEN length(line) % 2 = 1 THEN '_' ELSE '' END || 'f' || (i - 1) AS name, length(line) % 2 = 0 AS public
@@ -600,7 +603,7 @@ def code_literals(spark, sf_dir):
     """All words of the documents as string lists, trimmed to twelve tokens."""
     from loomtext.operators.code import frames
 
-    words = F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " +")
+    words = F.split(F.regexp_replace("text", f"[^{T.LETTERS} ]+", ""), " +")
     text = F.concat(F.lit("X = ["), F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), w, F.lit('"'))), ", "), F.lit("]\n"))
     files = table(spark, sf_dir, "documents").select(F.concat("doc_id", F.lit(".py")).alias("rel_path"), text.alias("text"), F.lit("python").alias("adapter"), F.lit("x").alias("label"), F.lit('{"literals": {"max_tokens": 12}}').alias("options"))
     return frames.processed_files(files).select("rel_path", "processed_text")

@@ -36,6 +36,16 @@ def test_odd_documents_count_as_in_sql(spark, odd, name):
     assert oracle.differences(catalogue.QUERIES[name](spark, odd), oracle.connection(odd), catalogue.ORACLE_SQL[name]) == []
 
 
+def test_outlines_are_cleaned_once(spark, sf):
+    """The expression that cleans a line was evaluated for each use of the line, five times."""
+    plan = catalogue.heading_shift(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+
+
+def test_modules_are_made_without_a_shuffle(spark, sf):
+    assert "Exchange" not in catalogue.sources(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert rows and abs(sum(r.promptShare for r in rows) - 100) < 1e-9
