@@ -6,10 +6,12 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
-from loomtext.functions import markdown
+from loomtext.functions import batches, markdown
 from loomtext.operators.code import reading, transforms
 from loomtext.operators.code.languages import LANGUAGES
 
@@ -17,8 +19,8 @@ from loomtext.operators.code.languages import LANGUAGES
 def elements(files: DataFrame, path_col: str = "rel_path", text_col: str = "text", language_col: str = "adapter") -> DataFrame:
     """One row an element: ``rel_path, kind, name, parent, public, start, end, body_start, body_end, decorators``."""
 
-    def run(batches):
-        for pdf in batches:
+    def run(parts):
+        for pdf in parts:
             rows = [
                 (path, e.kind, e.name, e.parent, e.public, e.start, e.end, *(e.body or (None, None)), list(e.decorators))
                 for path, text, lang in zip(pdf[path_col], pdf[text_col], pdf[language_col], strict=True)
@@ -28,14 +30,15 @@ def elements(files: DataFrame, path_col: str = "rel_path", text_col: str = "text
             out = pd.DataFrame(rows, columns=["rel_path", "kind", "name", "parent", "public", "start", "end", "body_start", "body_end", "decorators"])
             yield out.astype({"body_start": "Int64", "body_end": "Int64"})
 
+    batches.limited(files.sparkSession)
     return files.select(path_col, text_col, language_col).mapInPandas(run, "rel_path string, kind string, name string, parent string, public boolean, start bigint, end bigint, body_start bigint, body_end bigint, decorators array<string>")
 
 
 def imports(files: DataFrame, path_col: str = "rel_path", text_col: str = "text", language_col: str = "adapter") -> DataFrame:
     """One row an import: ``rel_path, module, items, external, wildcard, aliases, start, end``."""
 
-    def run(batches):
-        for pdf in batches:
+    def run(parts):
+        for pdf in parts:
             rows = [
                 (path, i.module, list(i.items), i.external, i.wildcard, i.aliases, i.start, i.end)
                 for path, text, lang in zip(pdf[path_col], pdf[text_col], pdf[language_col], strict=True)
@@ -44,6 +47,7 @@ def imports(files: DataFrame, path_col: str = "rel_path", text_col: str = "text"
             ]
             yield pd.DataFrame(rows, columns=["rel_path", "module", "items", "external", "wildcard", "aliases", "start", "end"])
 
+    batches.limited(files.sparkSession)
     return files.select(path_col, text_col, language_col).mapInPandas(run, "rel_path string, module string, items array<string>, external boolean, wildcard boolean, aliases map<string,string>, start bigint, end bigint")
 
 
@@ -94,32 +98,44 @@ def processed_files(files: DataFrame, holds: Callable[[str], bool] = lambda _: F
     """
     extra, literals = dict(ADAPTERS), dict(transforms.LITERALS)
 
-    @F.pandas_udf("keep boolean, text string, meta map<string,string>")
-    def run(paths: pd.Series, texts: pd.Series, adapters: pd.Series, opts: pd.Series, labels: pd.Series) -> pd.DataFrame:
+    def run(parts):
         transforms.LITERALS.update(literals)
         memo: dict[str, dict] = {}
-        rows = []
-        for path, text, name, option, label in zip(paths, texts, adapters, opts, labels, strict=True):
-            text, option = text or "", option or "{}"
-            o = memo.setdefault(option, json.loads(option))
-            if name in extra:
-                out, meta = extra[name](text, o, label)
-            elif name == "markdown":
-                options = markdown_options(o)
-                try:
-                    out, meta = markdown.process(text, options, label, holds)
-                except markdown.MarkdownError as error:
-                    out, meta = text, {PROBLEM: str(error)}
-            elif name in LANGUAGES:
-                if o.get("skip_trivial_files", True) and reading.is_trivial(path, text, name):
-                    rows.append((False, None, None))
-                    continue
-                out, meta = transforms.process(text, name, o, count)
-            else:
-                out, meta = text, {}
-            rows.append((True, out.rstrip("\n") + "\n" if out else out, {k: str(v) for k, v in meta.items()}))
-        return pd.DataFrame(rows, columns=["keep", "text", "meta"])
-
-    done = "__done"
-    wide = files.withColumn(done, run("rel_path", "text", "adapter", "options", "label"))
-    return (wide if keep_trivial else wide.where(f"{done}.keep")).select(*files.columns, F.col(f"{done}.text").alias("processed_text"), F.col(f"{done}.meta").alias("meta"))
+        plans: dict[str, tuple] = {}
+        for part in parts:
+            columns = [part.column(c).to_pylist() for c in ("rel_path", "text", "adapter", "options", "label")]
+            made = []
+            for path, text, name, option, label in zip(*columns, strict=True):
+                text, option = text or "", option or "{}"
+                o = memo.get(option)
+                if o is None:
+                    o = memo.setdefault(option, json.loads(option))
+                if name in extra:
+                    out, meta = extra[name](text, o, label)
+                elif name == "markdown":
+                    options = markdown_options(o)
+                    try:
+                        out, meta = markdown.process(text, options, label, holds)
+                    except markdown.MarkdownError as error:
+                        out, meta = text, {PROBLEM: str(error)}
+                elif name in LANGUAGES:
+                    if o.get("skip_trivial_files", True) and reading.is_trivial(path, text, name):
+                        made.append((False, None, None))
+                        continue
+                    plan = plans.get(option)
+                    if plan is None:
+                        plan = plans.setdefault(option, transforms.steps(o))
+                    out, meta = transforms.processed(text, name, *plan, count)
+                else:
+                    out, meta = text, {}
+                made.append((True, out.rstrip("\n") + "\n" if out else out, [(k, str(v)) for k, v in meta.items()]))
+            if not keep_trivial:
+                stays = [x[0] for x in made]
+                part, made = part.filter(pa.array(stays, pa.bool_())), [x for x in made if x[0]]
+            kind = part.schema.field("text").type
+            texts, metas = pa.array([x[1] for x in made], kind), pa.array([x[2] for x in made], pa.map_(kind, kind))
+            yield pa.RecordBatch.from_arrays([*part.columns, texts, metas], names=[*part.schema.names, "processed_text", "meta"])
+
+    text = S.StringType()
+    schema = S.StructType([*files.schema.fields, S.StructField("processed_text", text), S.StructField("meta", S.MapType(text, text))])
+    return batches.mapped(files, run, schema)

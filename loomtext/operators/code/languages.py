@@ -33,6 +33,8 @@ class Language:
 _MOD = r"(?:(?:public|private|protected|internal|static|final|abstract|override|open|sealed|data|inline|suspend|async|export|default|declare|readonly|virtual|synchronized|native|implicit|lazy|case|const|extern|constexpr|explicit|noexcept|friend|unsafe|strictfp|transient|volatile|companion|operator|tailrec|infix|lateinit|annotation|value|inner|enum(?=\s+class))(?:\[[^\]]*\])?[ \t]+)*"
 _ANN = r"(?:@[\w.]+(?:\([^)]*\))?\s+)*"
 _HEAD = rf"^[ \t]*(?P<mods>{_ANN}{_MOD})"
+#: What most declarations begin with: annotations and modifiers.
+HEAD = _HEAD
 _NAME = r"(?P<name>[A-Za-z_$][\w$]*)"
 
 _JS_DECL = (

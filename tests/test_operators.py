@@ -2,13 +2,15 @@
 
 import random
 import re
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from loomtext.functions import globs, markdown, text, tokens
 from loomtext.operators import conditions, filters, ignore, intervals, lookup, render
-from loomtext.operators.code import model, reading, transforms
+from loomtext.operators.code import frames, model, reading, transforms
 from loomtext.plans import template
 
 GLOBS = [
@@ -421,3 +423,70 @@ def test_more_rules_than_a_block(spark, monkeypatch):
     table = spark.createDataFrame(rules, "ord int, negated boolean, regex string")
     assert sorted(r.rel_path for r in ignore.ignored_paths(paths, table).collect()) == ["a.log", "bb", "c.tmp"]
     assert ignore.ignored_paths(paths, table.where("false")).collect() == []
+
+
+def _long(language: str, n: int) -> str:
+    from loomtext.plans.code_catalogue import SAMPLES
+
+    s = SAMPLES[language]
+    ones = [s.one.replace("{p}", s.private if i % 3 else s.public).replace("{i}", str(i)).replace("{n}", str(i)) for i in range(n)]
+    return s.head + "\n\n".join(ones) + "\n" + s.foot
+
+
+@pytest.mark.parametrize("language", ["typescript", "javascript", "java", "scala", "kotlin", "go", "rust", "c", "cpp"])
+def test_long_sources_take_time_in_proportion(language):
+    """Of 3,000 declarations each was compared with all others; that took a minute in some languages."""
+    text, start = _long(language, 3000), time.process_time()
+    for options in ({"public_api_only": True, "placeholders": {"min_savings_ratio": 0}}, {"strip_function_bodies": True}, {"comment_policy": "strip_all"}):
+        _, meta = transforms.process(text, language, options)
+        assert sum(n for k, n in meta.items() if ".removed." in k) in (2000, 3000)
+    assert time.process_time() - start < 8
+
+
+def test_long_python_takes_time_in_proportion():
+    ones = [f'# {i}\ndef {"_" * (i % 2)}f{i}(x):\n    """First. Second."""\n    y = x + {i}\n    return y\n' for i in range(2000)]
+    start = time.process_time()
+    out, meta = transforms.process("import os\n\n" + "\n".join(ones), "python", {"budget": {"max_tokens_per_file": 200}})
+    assert meta["python.budget_step"] > 5 and transforms.count_tokens(out) < 40000
+    words = "X = [" + ", ".join(f'"{"w" * (i % 17)}"' for i in range(100_000)) + "]\n"
+    out, _ = transforms.process(words, "python", {"literals": {"max_tokens": 12}})
+    assert out == 'X = ["", "w", "ww", "www", "…"]\n'
+    assert time.process_time() - start < 8
+
+
+def test_plain_python_is_read_as_by_the_tokenizer():
+    for text in ('X = ["a", "b c", (1, "#")]\n', "x = 'a' \"b\"  # \"c\"\n", 'f(["a"\n  "b", {1: "\\""}])\nY = "z"', 'if"a"or"b": pass\n', 'X = ["a", r"\\d", "e"]\n', 'X = ["é", "ü"]\n'):
+        assert [(s.start, s.end, s.inner) for s in reading.spans(text, "python")] == [(s.start, s.end, s.inner) for s in reading._tokenized(text)]
+    for text in ('"doc"\nX = ["a"]\n', "X = [(1, 2]\n", "X = [1\n", 'X = 1\n  Y = "a"\n', "X = 0123\n", 'def f():\n    "doc"\n'):
+        assert reading.simple(text) is None
+
+
+def test_tokens_are_counted_as_by_the_expression():
+    for text in ("", "a", " a_1 b2", "a,b;c", "é a", "\x1c a\x1f.", "x" * 50 + "()", "\t\n- -"):
+        assert transforms.count_tokens(text) == len(transforms.TOKEN.findall(text))
+
+
+def test_a_file_is_processed_once_and_in_small_batches(spark):
+    from loomtext.functions import batches
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def adapter(text, options, label):
+        seen.add(1)
+        return text, {"size": len(text)}
+
+    rows = spark.range(300).selectExpr("concat(id, '.x') AS rel_path", "repeat('word ', 8000) AS text", "'counted' AS adapter", "'{}' AS options", "'l' AS label")
+    frames.register("counted", adapter)
+    try:
+        out = frames.processed_files(rows.coalesce(1)).select("rel_path", F.md5("processed_text").alias("d"), F.col("meta")["size"].alias("size"))
+        assert {r["size"] for r in out.collect()} == {"40000"} and seen.value == 300
+    finally:
+        frames.ADAPTERS.pop("counted")
+
+    @F.pandas_udf("long")
+    def whole(texts: pd.Series) -> pd.Series:
+        return pd.Series([int(texts.str.len().sum())] * len(texts))
+
+    markdown.processed(F.col("text"), F.lit("x"), markdown.MarkdownOptions())
+    most = rows.coalesce(1).select(whole("text").alias("n")).agg(F.max("n")).first()[0]
+    assert most <= batches.BATCH_BYTES + 40000
